@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: A run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def word_count(column: str = "text"):
     """Words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def running(df: DataFrame, key: str, chunk: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of value over the rows before each one, in the order of chunk and order within key.
+
+    Sums run within the chunks of a key, then over the chunks, so that a key with most rows is no single task.
+    """
+    inner = W.partitionBy(key, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = df.groupBy(key, chunk).agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(W.partitionBy(key).orderBy(chunk).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_sum")).drop("_sum")
+    return df.withColumn("_inner", F.sum(value).over(inner) - value).join(before, [key, chunk]).withColumn(name, F.col("_inner") + F.col("_before")).drop("_inner", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_gam, sentencepiece_bpe, simhash_dedup, source_mix, transport_stream, warc_zst
+from . import line_winnow, permutation_index, quality_gam, secret_forest, sentencepiece_bpe, simhash_dedup, source_mix, tool_links, transport_stream, warc_zst
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zst.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -31,15 +35,32 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+#: What the tools of `tool_links.as_messages` take.
+TOOLS = [("answer", "prompt", "string", True), ("answer", "turn", "integer", True), ("answer", "after", "string", False), ("configure", "instruction", "string", True)]
+
+
+def op6_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', '{p}', '{k}', {str(r).lower()})" for t, p, k, r in TOOLS) + " AS t(tool, property, type, required)")
+    return tool_links.link(tool_links.as_messages(read(spark, sf_dir, "conversations")), schemas)
+
+
 def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(transport_stream.store(read(spark, sf_dir, "documents")))
 
 
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(read(spark, sf_dir, "embeddings"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_winnow.line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op4_source_mix, op5_quality, op7_transport_stream, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_secret_scan, op4_source_mix, op5_quality, op6_tool_links, op7_transport_stream, op8_permutation_index, op9_line_dedup, op10_simhash)}
 
 #: Of equal payloads the largest page_id is the response. DuckDB has no base-32, so hex digits become bits, then letters.
 OP2_SQL = """

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, word_count
+from .common import materialize, running, word_count
 
 BLOCK_WORDS = 1024
 MOST_PASSES = 3
@@ -47,14 +47,6 @@ def targets(sources: DataFrame) -> DataFrame:
     return sources.withColumn("target", F.least(cap.cast("double"), F.lit(float(level)) * F.col("weight")))
 
 
-def _running(df: DataFrame, key: str, chunk: str, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of value over the rows before each one, in the order of chunk and order within key."""
-    inner = W.partitionBy(key, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = df.groupBy(key, chunk).agg(F.sum(value).alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(W.partitionBy(key).orderBy(chunk).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_sum")).drop("_sum")
-    return df.withColumn("_inner", F.sum(value).over(inner) - value).join(before, [key, chunk]).withColumn(name, F.col("_inner") + F.col("_before")).drop("_inner", "_before")
-
-
 def sources_of(sized: DataFrame) -> DataFrame:
     """Sources by code point, null last, with their number, weight (1, 2, 3, repeating), size and target."""
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -74,7 +66,7 @@ def schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
     grid = parts.where("hi > lo").select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))).alias("cell"))
     points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % TURN) * GOLDEN % TURN).alias("u")).withColumn("cell", F.floor(F.col("u") / step))
     drawn = points.join(grid, "cell").where("u >= lo and u < hi").select("slot", "sid", F.floor(F.col("slot") / SLOTS_PER_CHUNK).alias("chunk"))
-    ranked = _running(drawn, "sid", "chunk", [F.col("slot")], F.lit(1), "k").select("slot", "sid", "k")
+    ranked = running(drawn, "sid", "chunk", [F.col("slot")], F.lit(1), "k").select("slot", "sid", "k")
     ranked = materialize(ranked, "mix-slots")
     need = sources.where("target > 0").select("sid", F.ceil(F.round("target") / block).alias("need"))
     got = ranked.groupBy("sid").agg(F.count("*").alias("got"))
@@ -98,7 +90,7 @@ def plan(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFram
     known = sources.select(F.col("source").alias("_source"), "sid", "source_size", "target")
     own = sized.join(known, sized.source.eqNullSafe(known._source)).drop("_source").withColumn("_u", F.xxhash64(F.lit(SEED), "doc_id", "tie"))
     own = own.withColumn("chunk", F.shiftrightunsigned("_u", 64 - bits))
-    placed = _running(own, "sid", "chunk", [F.col("_u"), F.col("doc_id"), F.col("size")], F.col("size"), "start").drop("chunk", "_u")
+    placed = running(own, "sid", "chunk", [F.col("_u"), F.col("doc_id"), F.col("size")], F.col("size"), "start").drop("chunk", "_u")
     placed = materialize(placed, "mix-places")
     begin = F.col("pass") * F.col("source_size") + F.col("start")
     passes = placed.where("size > 0").withColumn("pass", F.explode(F.array(*[F.lit(p).cast("long") for p in range(MOST_PASSES)]))).withColumn("begin", begin)
@@ -120,7 +112,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 def mixture(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents: each row of docs as often as the mix takes its words, rounded to whole texts, up to three times."""
     count = mix(docs, block).groupBy("doc_id", "source", "tie").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
-    count = count.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("tie").alias("_tie"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).where("_n > 0")
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    same = own.doc_id.cast("long").eqNullSafe(count._doc) & own.source.eqNullSafe(count._src) & (own["_hash"] == count._tie)
-    return own.join(count, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    count = count.select("doc_id", "source", "tie", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("from"), F.xxhash64("text").alias("hash"))
+    same = own.id.eqNullSafe(count.doc_id) & own["from"].eqNullSafe(count.source) & (own["hash"] == count.tie)
+    return own.join(count, same).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
