@@ -132,7 +132,7 @@ def _quadrants(g: np.ndarray, h: np.ndarray, penalty: float) -> tuple[float, np.
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40, pairs: int = 6, bins: int = 32, pair_bins: int = 8, rate: float = 0.1, penalty: float = 2.0) -> Gam:
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Gam(bias=float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
     model = Gam(bias=float(np.log(share / (1 - share))))
     d = x.shape[1]

@@ -381,8 +381,8 @@ def _digest(v: Vocabulary, ids: np.ndarray) -> tuple[int, str, str]:
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id and ids (array of int) of each text."""
-    return _over(docs, model_path, "doc_id long, ids array<int>", lambda v, ids: (ids.tolist(),))
+    """doc_id and ids (array of long) of each text."""
+    return _over(docs, model_path, "doc_id long, ids array<long>", lambda v, ids: (ids.tolist(),))
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
