@@ -78,7 +78,8 @@ def _with_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """row (all columns of docs), text, and runs to delete or null."""
     found = materialize(repeats(docs, min_words), "winnow-runs")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    return own.join(found, own.id.eqNullSafe(found.doc) & (own["hash"] == found.tie), "left").select("row", F.col("row.text").alias("text"), "runs")
+    # runs grow with the input and are not to be broadcast, so texts are always dealt by document
+    return own.join(found.hint("merge"), own.id.eqNullSafe(found.doc) & (own["hash"] == found.tie), "left").select("row", F.col("row.text").alias("text"), "runs")
 
 
 def _kept_lines() -> Column:
