@@ -29,7 +29,7 @@ SEED = 20_24
 #: The golden ratio's fraction in 31 bits.
 GOLDEN, TURN = 1_327_217_885, 1 << 31
 SLOTS_PER_CHUNK = 1 << 16
-DOCS_PER_CHUNK = 20_000
+DOCS_PER_CHUNK = 1_000
 GRID = 4096
 
 
