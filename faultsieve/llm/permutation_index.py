@@ -29,11 +29,11 @@ from pyspark.sql import Window as W
 
 from .common import materialize
 
-PIVOTS = 256
-PREFIX = 48
+PIVOTS = 512
+PREFIX = 64
 SHARD = 8192
 QUERY_BLOCK = 4096
-CANDIDATES = 512
+CANDIDATES = 1024
 TOP = 20
 
 
