@@ -16,6 +16,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -301,6 +302,12 @@ def _ladder(runs: dict[int, int]) -> np.ndarray | None:
     return table
 
 
+@lru_cache(maxsize=2)
+def vocabulary(model: bytes) -> Vocabulary:
+    """The vocabulary of a model file's bytes; a worker keeps it for its next tasks."""
+    return Vocabulary(model)
+
+
 class Encoder:
     """Encodes texts with a bounded memory of words already seen."""
 
@@ -364,7 +371,7 @@ def _over(docs: DataFrame, model_path: str, schema: str, row) -> DataFrame:
     fields = docs.sparkSession.createDataFrame([], schema).schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(model.value))
+        encoder = Encoder(vocabulary(model.value))
         for batch in batches:
             at = 0
             for texts in groups(batch.column(1).to_pylist()):
@@ -396,7 +403,7 @@ def decode(tokens: DataFrame, model_path: str) -> DataFrame:
         model = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model.value)
+        v = vocabulary(model.value)
         for batch in batches:
             texts = [v.decode(np.array(ids or [], dtype=np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
