@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,8 @@ def or_missing(c: Column, missing: str = "Not available") -> Column:
     """Stripped text, or the words for a gap."""
     text = strip(filled(c.cast("string")))
     return F.when(text == "", missing).otherwise(text)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once a row: later uses read it and are not merged with its expression."""
+    return df.withColumn(name, F.explode(F.array(value)))

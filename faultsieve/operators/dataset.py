@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import once
 from ..sources.storage import scan_dependency_errors
 from .rules import DEV_IDS, assign_split, classify_refined, classify_subtype, extract_failing_module
 
@@ -16,8 +17,8 @@ SAMPLE_LIMITS = {"missing_package": 10, "wrong_version": 10, "system_library": 5
 
 def dataset(executions: DataFrame) -> DataFrame:
     """Dependency failures with module, subtype, scope and split: 18 columns."""
-    rows = scan_dependency_errors(executions).withColumn("failing_module", extract_failing_module(F.col("error_message")))
-    rows = rows.withColumn("_c", classify_subtype(F.col("error_type"), F.col("error_message"), F.col("failing_module")))
+    rows = once(scan_dependency_errors(executions), "failing_module", extract_failing_module(F.col("error_message")))
+    rows = once(rows, "_c", classify_subtype(F.col("error_type"), F.col("error_message"), F.col("failing_module")))
     rows = rows.select("*", "_c.*").drop("_c").withColumn("split", assign_split(F.col("notebook_execution_id"), F.col("scope_status")))
     return rows.select(*[c for c in rows.columns if c != "created_at"], "created_at")
 
@@ -25,7 +26,7 @@ def dataset(executions: DataFrame) -> DataFrame:
 def refined(data: DataFrame) -> DataFrame:
     """Adds refined_subtype, confidence and root_cause_hint to the dataset."""
     rule = classify_refined(F.col("error_type"), F.col("error_message"), F.col("failing_module"), F.col("subtype"))
-    return data.withColumn("_r", rule).select("*", "_r.*").drop("_r")
+    return once(data, "_r", rule).select("*", "_r.*").drop("_r")
 
 
 def value_counts(data: DataFrame, *columns: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.jsontext import fenced, first_object, strict
-from ..functions.text import filled, strip, truncate_with_marker
+from ..functions.text import filled, once, strip, truncate_with_marker
 
 # The fields of an explanation, its confidence levels, and which failures are tried again.
 TEXT_FIELDS = ["summary", "root_cause", "limitations"]
@@ -18,11 +18,6 @@ INPUT_FIELDS = ["notebook_execution_id", "error_type", "error_message", "failing
 EXPLANATION = "struct<summary:string,root_cause:string,evidence:array<string>,failing_module:string,explanation_confidence:string,limitations:string>"
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that is worked out once a row: later uses read it and are not merged with its expression."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def extract_json(responses: DataFrame, column: str = "raw_response") -> DataFrame:
     """Adds payload (variant), shape (whole, fenced, embedded) and parse_error.
 
@@ -30,9 +25,9 @@ def extract_json(responses: DataFrame, column: str = "raw_response") -> DataFram
     the scan by characters runs only on rows that the cheaper ones left open.
     """
     text = strip(filled(F.col(column)))
-    out = _once(responses, "_whole", strict(text))
-    out = _once(out, "_fenced", F.when(F.col("_whole").isNull(), strict(fenced(text))))
-    out = _once(out, "_inner", F.when(F.col("_whole").isNull() & F.col("_fenced").isNull(), strict(first_object(text))))
+    out = once(responses, "_whole", strict(text))
+    out = once(out, "_fenced", F.when(F.col("_whole").isNull(), strict(fenced(text))))
+    out = once(out, "_inner", F.when(F.col("_whole").isNull() & F.col("_fenced").isNull(), strict(first_object(text))))
     payload = F.coalesce("_whole", "_fenced", "_inner")
     shape = F.when(F.col("_whole").isNotNull(), "whole").when(F.col("_fenced").isNotNull(), "fenced").when(F.col("_inner").isNotNull(), "embedded")
     out = out.withColumns({"payload": payload, "shape": shape}).drop("_whole", "_fenced", "_inner")
@@ -67,7 +62,7 @@ def parse_and_validate(responses: DataFrame, column: str = "raw_response") -> Da
     """Adds shape, parse_error, violations, errors (texts), valid and explanation (kept where only the rules are broken)."""
     out = extract_json(responses, column)
     is_object = F.col("parse_error").isNull()
-    out = _once(out, "violations", F.when(is_object, violations(F.col("payload"))))
+    out = once(out, "violations", F.when(is_object, violations(F.col("payload"))))
     errors = F.when(~is_object, F.array("parse_error")).otherwise(F.transform("violations", lambda v: F.concat(v.path, F.lit(": "), v.rule)))
     explanation = F.when(is_object, F.from_json(F.to_json("payload"), EXPLANATION))
     return out.withColumns({"errors": errors, "explanation": explanation}).withColumn("valid", F.size("errors") == 0)
