@@ -31,20 +31,19 @@ def fenced(c: Column) -> Column:
     return F.when((start > 0) & (line > 0) & (end > 0), strip(F.substr(body, F.lit(1), end - 1)))
 
 
+#: Pieces that a text falls into: strings (an open one reaches to the end), escaped characters, braces, and what lies between.
+PIECES = r'"(?:[^"\\]++|\\[\s\S])*+"|"[\s\S]*+|\\[\s\S]?|[{}]|[^{}"\\]++'
+
+
 def first_object(c: Column) -> Column:
     """The first balanced object from the first brace on, or null; braces in strings and escaped characters don't count."""
     text = F.substr(c, F.locate("{", c))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(s: Column, x: Column) -> Column:
-        live = s.end == 0
-        plain = live & ~s.escaped & (x != "\\")
-        quote = plain & (x == '"')
-        depth = s.depth + F.when(plain & ~s.quoted & (x == "{"), 1).when(plain & ~s.quoted & (x == "}"), -1).otherwise(0)
-        return F.struct(
-            depth.alias("depth"), F.when(quote, ~s.quoted).otherwise(s.quoted).alias("quoted"), (live & ~s.escaped & (x == "\\")).alias("escaped"),
-            (s.at + 1).alias("at"), F.when(plain & ~s.quoted & (x == "}") & (depth == 0), s.at + 1).otherwise(s.end).alias("end"),
-        )
-
-    end = F.aggregate(F.filter(F.split(text, ""), lambda x: x != ""), start, step, lambda s: s.end)
+        depth = s.depth + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        at = s.at + F.length(x)
+        return F.when(s.end > 0, s).otherwise(F.struct(depth.alias("depth"), at.alias("at"), F.when((x == "}") & (depth == 0), at).otherwise(0).alias("end")))
+
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), start, step, lambda s: s.end)
     return F.when((F.locate("{", c) > 0) & (end > 0), F.substr(text, F.lit(1), end))

@@ -36,33 +36,39 @@ def extract_json(responses: DataFrame, column: str = "raw_response") -> DataFram
     return out.withColumn("parse_error", error)
 
 
-def violations(payload: Column) -> Column:
-    """What is wrong with an explanation: structs of path and rule, by path."""
-    kind = lambda name: F.schema_of_variant(F.try_variant_get(payload, f"$.{name}", "variant"))
-    text = lambda name: F.try_variant_get(payload, f"$.{name}", "string")
-    keys = F.map_keys(F.from_json(F.to_json(payload), "map<string,variant>"))
+def violations(rows: DataFrame, payload: Column) -> DataFrame:
+    """Adds violations, what is wrong with an explanation: structs of path and rule, by path; null without a payload.
+
+    Fields, their types and their texts are read from the payload once a row; the rules use those.
+    """
+    out = once(rows, "_fields", F.try_variant_get(payload, "$", "map<string,variant>"))
+    out = once(out, "_read", F.struct(*[F.struct(F.schema_of_variant(F.col("_fields")[n]).alias("kind"), F.try_variant_get(F.col("_fields")[n], "$", "string").alias("text")).alias(n) for n in FIELDS]))
+    kind = lambda name: F.col(f"_read.{name}.kind")
+    text = lambda name: F.col(f"_read.{name}.text")
+    has = lambda name: kind(name).isNotNull()
     found = lambda path, rule: F.struct((path if isinstance(path, Column) else F.lit(path)).alias("path"), F.lit(rule).alias("rule"))
-    has = lambda name: F.array_contains(keys, name)
-    single = [F.when(~has(n), F.struct(F.lit("<root>").alias("path"), F.lit(f"required {n}").alias("rule"))) for n in FIELDS]
+    single = [F.when(~has(n), found("<root>", f"required {n}")) for n in FIELDS]
     for n in TEXT_FIELDS:
-        single += [F.when(has(n) & (kind(n) != "STRING"), found(n, "type")), F.when(has(n) & (kind(n) == "STRING") & (text(n) == ""), found(n, "minLength"))]
+        single += [F.when(has(n) & (kind(n) != "STRING"), found(n, "type")), F.when((kind(n) == "STRING") & (text(n) == ""), found(n, "minLength"))]
     level = "explanation_confidence"
     single += [
         F.when(has("failing_module") & ~kind("failing_module").isin("STRING", "VOID"), found("failing_module", "type")),
         F.when(has(level) & (kind(level) != "STRING"), found(level, "type")), F.when(has(level) & ~F.coalesce((kind(level) == "STRING") & text(level).isin(LEVELS), F.lit(False)), found(level, "enum")),
         F.when(has("evidence") & ~kind("evidence").startswith("ARRAY"), found("evidence", "type")),
     ]
-    items = F.coalesce(F.try_variant_get(payload, "$.evidence", "array<variant>"), F.array().cast("array<variant>"))
-    each = F.transform(items, lambda x, i: F.when(F.schema_of_variant(x) != "STRING", F.struct(F.concat(F.lit("evidence/"), i).alias("path"), F.lit("type").alias("rule"))).when(F.try_variant_get(x, "$", "string") == "", F.struct(F.concat(F.lit("evidence/"), i).alias("path"), F.lit("minLength").alias("rule"))))
-    extra = F.transform(F.array_except(keys, F.array(*map(F.lit, FIELDS))), lambda k: F.struct(F.lit("<root>").alias("path"), F.concat(F.lit("additional "), k).alias("rule")))
-    return F.sort_array(F.array_compact(F.concat(F.array(*single), each, extra)))
+    items = F.coalesce(F.try_variant_get(F.col("_fields")["evidence"], "$", "array<variant>"), F.array().cast("array<variant>"))
+    item = lambda i: F.concat(F.lit("evidence/"), i)
+    each = F.transform(items, lambda x, i: F.when(F.schema_of_variant(x) != "STRING", found(item(i), "type")).when(F.try_variant_get(x, "$", "string") == "", found(item(i), "minLength")))
+    extra = F.transform(F.array_except(F.map_keys("_fields"), F.array(*map(F.lit, FIELDS))), lambda k: F.struct(F.lit("<root>").alias("path"), F.concat(F.lit("additional "), k).alias("rule")))
+    broken = F.sort_array(F.array_compact(F.concat(F.array(*single), each, extra)))
+    return once(out, "violations", F.when(F.col("_fields").isNotNull(), broken)).drop("_fields", "_read")
 
 
 def parse_and_validate(responses: DataFrame, column: str = "raw_response") -> DataFrame:
     """Adds shape, parse_error, violations, errors (texts), valid and explanation (kept where only the rules are broken)."""
     out = extract_json(responses, column)
     is_object = F.col("parse_error").isNull()
-    out = once(out, "violations", F.when(is_object, violations(F.col("payload"))))
+    out = violations(out, F.when(is_object, F.col("payload")))
     errors = F.when(~is_object, F.array("parse_error")).otherwise(F.transform("violations", lambda v: F.concat(v.path, F.lit(": "), v.rule)))
     explanation = F.when(is_object, F.from_json(F.to_json("payload"), EXPLANATION))
     return out.withColumns({"errors": errors, "explanation": explanation}).withColumn("valid", F.size("errors") == 0)
