@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, split_paths, strip
+from ..functions.text import filled, once, split_paths, strip
 from .rules import legacy_matches, normalized_fields
 
 STORED_CHARS = 4_000
@@ -117,7 +117,7 @@ def enrich(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot
     if fetch:
         out = join_source_snapshot(join_repository(out, repositories), snapshot)
         files = collect_files(join_dependency_files(out.where("content is not null or repository is not null"), snapshot))
-        out = out.withColumn("remote", notebook_context(F.col("content"), F.col("error_cell_index"))).join(files, "notebook_execution_id", "left")
+        out = once(out, "remote", notebook_context(F.col("content"), F.col("error_cell_index"))).join(files, "notebook_execution_id", "left")
     else:
         out = out.withColumns({"remote": F.lit(None).cast("struct<failing_cell_source:string,import_cells:array<struct<cell_index:bigint,source:string>>,surrounding_cells:array<struct<cell_index:bigint,source:string>>>"), "dependency_files": F.lit(None).cast(FILES)})
     none = F.array().cast("array<struct<cell_index:bigint,source:string>>")
