@@ -1,8 +1,9 @@
 """SentencePiece BPE as vectorised merge rounds.
 
 Texts are cut into words where no piece of the vocabulary can cross. All distinct words of a batch lie in one flat numpy
-array of symbols. In each round every word finds its least pair rank (a segmented minimum), merges that pair at all its
-places at once from the left, and the array is compacted; words without a mergeable pair leave. Where a merge could make
+array of symbols, long ones cut again into segments between characters that no piece can hold together, so that a word of
+any length is short segments. In each round every segment finds its least pair rank (a segmented minimum), merges that pair at all its
+places at once from the left, and the array is compacted; segments without a mergeable pair leave. Where a merge could make
 a pair of lower or equal rank, the round merges only the first place, which is what merging one pair at a time does.
 
 Defined cases: null is the empty text; an empty text is the begin and end ids alone; characters outside the vocabulary
@@ -28,6 +29,8 @@ SPACE = "▁"
 GROUP_CHARS = 2_000_000
 #: A task remembers the ids of words of up to so many characters in all, then starts anew.
 MEMORY_CHARS = 8_000_000
+#: Words of more characters are cut into segments.
+LONG_WORD = 32
 NONE = np.int32(2**31 - 1)
 
 
@@ -130,6 +133,11 @@ class Vocabulary:
                         if part < n and len(pieces[part][0]) > 1 and rank[i] <= rank[part]:
                             early.add(int(rank[part]))
         self.width = np.int64(n + len(extra) + 0x110000)
+        # pieces of two characters, and all that stand side by side three at a time in longer ones
+        codes = [[names[c] for c in text] for text in symbol]
+        wide = int(self.width)
+        self.twos = np.array(sorted({a * wide + b for a, b in (c for c in codes if len(c) == 2)}), dtype=np.int64)
+        self.threes = np.array(sorted({(a * wide + b) * wide + c for x in codes for a, b, c in zip(x, x[1:], x[2:])}), dtype=np.int64)
         keys = np.array([a * int(self.width) + b for a, b in pairs], dtype=np.int64)
         self.bits = max(4, int(np.ceil(np.log2(len(keys) * 4 + 16))))
         self.slots = np.full(1 << self.bits, -1, dtype=np.int64)
@@ -162,13 +170,33 @@ class Vocabulary:
             left = left[~hit & (found != -1)]
         return out
 
+    def segments(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which characters begin a segment of their word: a cut is wherever no piece can hold the characters on both sides.
+
+        A piece over a place is its two characters or holds them with the one before or behind.
+        """
+        same = word[1:] == word[:-1]
+        two = sym[:-1] * self.width + sym[1:]
+        joined = _among(two, self.twos)
+        if len(sym) > 2:
+            three = _among(two[:-1] * self.width + sym[2:], self.threes) & same[:-1] & same[1:]
+            joined[:-1] |= three
+            joined[1:] |= three
+        return np.r_[True, ~(same & joined)]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each has."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         sym = self.chars[points].astype(np.int64)
         sym = np.where(sym < 0, points + (self.n + len(self.extra)), sym)
-        word = np.repeat(np.arange(len(words)), lengths)
+        whole = np.repeat(np.arange(len(words)), lengths)
+        begins = np.ones(len(sym), dtype=bool)
+        begins[1:] = whole[1:] != whole[:-1]
+        long = np.repeat(lengths > LONG_WORD, lengths)
+        if long.any():
+            begins[long] = self.segments(sym[long], whole[long])
+        word, owner = np.cumsum(begins) - 1, whole[begins]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         made = np.full(len(sym), -1, dtype=np.int32)
         if len(sym) > 1:
@@ -211,7 +239,7 @@ class Vocabulary:
         word = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
         sym = np.concatenate([s for _, s in done]) if done else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
-        return self._ids(sym[order], word[order], len(words))
+        return self._ids(sym[order], owner[word[order]], len(words))
 
     def _ids(self, sym: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         if self.ladder is not None and len(sym):
@@ -261,6 +289,12 @@ class Vocabulary:
             return "".join(out) + _bytes_text(bytes(run))
 
 
+def _among(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), dtype=bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+
+
 def _bytes_text(raw: bytes) -> str:
     """Byte pieces as text: each byte that begins no valid character is one U+FFFD."""
     out, at = [], 0

@@ -50,6 +50,13 @@ def test_runs_of_spaces(library, vocabulary):
             assert encoder.encode([text])[0].tolist() == library.encode(text, add_bos=True, add_eos=True)
 
 
+def test_long_words(library, vocabulary):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(letters, k=n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoinshr", "0123456789abcdef", "aé漢😀-", "ab▁") for n in (33, 200, 60_000)]
+    for text, ids in zip(texts, S.Encoder(vocabulary).encode(texts)):
+        assert ids.tolist() == [1, *library.encode(text), 2]
+
+
 def test_round_trip_query(documents, library):
     docs = documents([*enumerate(TEXTS), (0, None), (None, "no id"), (3, "a")])
     rows = S.round_trip(docs, PATH).collect()
