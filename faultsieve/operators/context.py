@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import one_row
 from ..functions.text import filled, once, split_paths, strip
 from .rules import legacy_matches, normalized_fields
 
@@ -170,4 +171,4 @@ def legacy_coverage(data: DataFrame, legacy: DataFrame) -> DataFrame:
     with_row = some.join(legacy, "notebook_id", "left_semi")
     mention = some.alias("s").join(legacy.alias("l"), (F.col("s.notebook_id") == F.col("l.notebook_id")) & (F.col("s.failing_module") != "") & F.contains("l.msg", "s.failing_module"), "left_semi")
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(some, "rows").join(count(with_row, "with_legacy")).join(count(mention, "mentioned"))
+    return one_row(count(some, "rows"), count(with_row, "with_legacy"), count(mention, "mentioned"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.frames import one_row, positions
 from ..functions.text import once
 from ..sources.storage import scan_dependency_errors
 from .rules import DEV_IDS, assign_split, classify_refined, classify_subtype, extract_failing_module
@@ -43,7 +44,7 @@ def split_manifest(data: DataFrame) -> DataFrame:
     """Ids of each split in order as rows; a split without rows has one row with a null id."""
     domain = data.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
     own = data.select("split", F.col("notebook_execution_id").alias("id"))
-    return domain.join(own, "split", "left").withColumn("position", F.when(F.col("id").isNotNull(), F.row_number().over(W.partitionBy("split").orderBy("id"))))
+    return domain.join(positions(own, "id", "split"), "split", "left")
 
 
 def top_failing_modules(data: DataFrame, n: int = 20) -> DataFrame:
@@ -57,17 +58,22 @@ def refinement_shift(rows: DataFrame) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, limits: dict[str, int] = SAMPLE_LIMITS) -> DataFrame:
-    """The first rows of each refined subtype by id, up to its limit; subtypes without a limit are taken whole."""
+    """The first rows of each refined subtype by id, up to its limit; subtypes without a limit are taken whole.
+
+    The largest limit stands in the filter by itself, so that rows beyond it fall away before the shuffle.
+    """
     limit = F.coalesce(*[F.when(F.col("refined_subtype") == k, v) for k, v in limits.items()])
     ranked = rows.where(F.col("refined_subtype").isin(list(limits))).withColumn("_n", F.row_number().over(W.partitionBy("refined_subtype").orderBy("notebook_execution_id")))
     whole = rows.where(~F.coalesce(F.col("refined_subtype").isin(list(limits)), F.lit(False)))
-    return ranked.where(F.col("_n") <= limit).drop("_n").unionByName(whole)
+    return ranked.where((F.col("_n") <= max(limits.values())) & (F.col("_n") <= limit)).drop("_n").unionByName(whole)
 
 
 def validation_sample(rows: DataFrame) -> DataFrame:
     """The sample as an annotator gets it, buckets in order of appearance."""
     sample = stratified_sample(rows)
-    return sample.withColumn("bucket", F.min("notebook_execution_id").over(W.partitionBy("refined_subtype"))).select(
+    buckets = sample.groupBy("refined_subtype").agg(F.min("notebook_execution_id").alias("bucket"))
+    known = buckets.withColumnRenamed("refined_subtype", "_subtype")
+    return sample.join(known, F.col("refined_subtype").eqNullSafe(F.col("_subtype")), "left").select(
         "notebook_execution_id", "error_type", "error_message", "failing_module", F.col("subtype").alias("original_subtype"), "refined_subtype",
         "confidence", "root_cause_hint", "context_status", F.lit("").alias("manual_label"), F.lit("").alias("notes"), "bucket",
     )
@@ -93,4 +99,4 @@ def label_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     right = cells.groupBy(F.col("b").alias("label")).agg(F.sum("n").alias("n_b"))
     chance = left.join(right, "label").agg(F.coalesce(F.sum(F.col("n_a").cast("double") * F.col("n_b")), F.lit(0.0)).alias("chance"))
     observed, expected = F.col("same") / F.col("total"), F.col("chance") / (F.col("total").cast("double") * F.col("total"))
-    return total.join(chance).select(F.col("total").alias("n"), F.round(observed, 6).alias("observed"), F.round((observed - expected) / (1 - expected), 6).alias("kappa"))
+    return one_row(total, chance).select(F.col("total").alias("n"), F.round(observed, 6).alias("observed"), F.round((observed - expected) / (1 - expected), 6).alias("kappa"))

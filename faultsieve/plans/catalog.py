@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..functions.frames import positions
 from ..functions.versions import python_compatibility
 from ..operators import attempts as A
 from ..operators import context as C
@@ -463,11 +463,7 @@ def _(t):
 
 @query("dataset_order", "SELECT notebook_execution_id, row_number() OVER (ORDER BY notebook_execution_id) AS position FROM ds")
 def _(t):
-    # positions are counted within ranges of ids, then shifted by the rows of the ranges before
-    rows = t.dataset.select("notebook_execution_id", F.floor(F.col("notebook_execution_id") / 4096).alias("chunk"))
-    before = rows.groupBy("chunk").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"))
-    own = rows.withColumn("k", F.row_number().over(W.partitionBy("chunk").orderBy("notebook_execution_id")))
-    return own.join(before, "chunk").select("notebook_execution_id", (F.col("k") + F.col("before")).alias("position"))
+    return positions(t.dataset.select("notebook_execution_id"), "notebook_execution_id")
 
 
 @query("record_slice", "SELECT notebook_execution_id, failing_module FROM (SELECT *, row_number() OVER (ORDER BY notebook_execution_id) AS k FROM ds WHERE notebook_execution_id >= 100) WHERE k <= 50")

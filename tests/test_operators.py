@@ -146,3 +146,16 @@ def test_bad_ids_are_kept_apart(spark):
     rows = rows.withColumns({c: F.lit("v") for c in ("error_type", "failing_module", "refined_subtype", "confidence", "root_cause_hint")})
     got = C.quarantine_bad_rows(rows).collect()
     assert [(r.notebook_execution_id, r.rejected, r.refined_subtype) for r in got] == [(1, False, "v"), (None, True, "out_of_scope"), (None, True, "s")]
+
+
+def test_positions_and_one_row(spark):
+    from faultsieve.functions.frames import one_row, positions
+
+    ids = [(k, None if i % 50 == 7 else i * 997) for k in ("a", "b", None) for i in range(60)]
+    got = positions(spark.createDataFrame(ids, "k string, id long"), "id", "k").collect()
+    assert len(got) == len(ids)
+    for k in ("a", "b", None):
+        own = sorted(i for g, i in ids if g == k and i is not None)
+        assert {r.id: r.position for r in got if r.k == k and r.id is not None} == {i: n for n, i in enumerate(own, 1)}
+    assert all(r.position is None for r in got if r.id is None)
+    assert one_row(spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "y int")).collect() == [(1, 2)]
