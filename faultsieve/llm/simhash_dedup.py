@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _forest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of one pair of blocks, as a spanning forest."""
     fp = pdf["fp"].to_numpy(np.int64)
     nodes, index = np.unique(fp, return_inverse=True)
