@@ -144,3 +144,51 @@ def test_pipeline_stage_keeps_columns(documents):
     assert rows[2].text == "own start" and rows[2].n_chars == 9 and rows[2].tie == 1 and rows[2].runs == 2
     assert rows[1].text == long and rows[3].text == "own text" and rows[4].text is None
     assert L.drop_repeats(documents([])).count() == 0
+
+
+def brute_similar(docs):
+    """The least doc_id of each document's component, linked by a Jaccard index of 0.8 or more of five-word shingles."""
+    sets = {}
+    for d, t in docs.items():
+        words = (t or "").lower().split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    parent = {d: d for d in docs}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    links = 0
+    for a in docs:
+        for b in docs:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                links += 1
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d: root(d) for d in docs}, links
+
+
+def test_stage_finds_all_near_copies(documents):
+    import corpus_pipeline
+
+    random.seed(11)
+    docs = {}
+    for i in range(40):
+        words = [f"w{random.randint(0, 3000)}" for _ in range(random.choice([6, 12, 45, 150, 600]))]
+        own = " ".join(words)
+        for v in range(6):  # up to a similarity of about 0.6 to the first, so many lie near 0.8
+            copy = list(words)
+            for _ in range(random.randint(0, max(1, len(words) // 25))):
+                copy[random.randrange(len(copy))] = f"n{random.randint(0, 999)}"
+            docs[len(docs)] = " ".join(copy) if v else own
+    notice = "this line stands in many of the documents and is no sign of a copy"
+    docs |= {500 + i: f"{notice} {i} " + " ".join(f"u{i}x{j}" for j in range(random.randint(0, 12))) for i in range(60)}
+    docs |= {700: None, 701: "", 702: " ", 703: "a b c", 704: "A b  c", 705: "a b d"}
+    want, links = brute_similar(docs)
+    assert links > 200
+    keys = list(docs)
+    random.shuffle(keys)
+    kept = corpus_pipeline.near_dedup(None, documents([(d, docs[d]) for d in keys]).repartition(3), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d in docs if want[d] == d)
+    assert corpus_pipeline.near_dedup(None, documents([]), "").count() == 0
