@@ -5,7 +5,8 @@ nearest pivots in order. The index is dealt into shards of about `SHARD` vectors
 places of the pivots, in one inverted file per pivot. A query block meets each shard in one task: the postings of a query's
 pivots add up to the footrule distance of the two orders (a pivot outside a prefix counts as at its end), the best
 `CANDIDATES` of the shard are ranked again by the exact inner product in double precision, and the best of all shards are
-merged. Lengths are taken into account by one more coordinate that brings all vectors to equal length.
+merged. Lengths are taken into account by one more coordinate that brings all vectors to equal length. A query is scaled to
+length 1 and has zero there, so that the points nearest to it are those with the greatest inner products.
 
 Equal vectors are one entry with their smallest ids, at most one more than asked for, so a group of copies is neither a
 large posting nor many equal queries.
@@ -18,7 +19,7 @@ smaller vec_id; rows that repeat id and vector count once; extra columns are ign
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,12 @@ def _lifted(v: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1)))])
 
 
+def _asked(v: np.ndarray) -> np.ndarray:
+    """Vectors over their own lengths, with a coordinate of zero."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return np.column_stack([v / np.sqrt((v * v).sum(axis=1, keepdims=True)), np.zeros(len(v))])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -66,13 +73,13 @@ def _nearest(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(np.take_along_axis(near, part, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def represent(found: DataFrame, pivots: np.ndarray, longest: float, prefix: int) -> DataFrame:
-    """Adds near, the numbers of the nearest pivots in order, to entries (rep, v)."""
+def represent(found: DataFrame, pivots: np.ndarray, lift: Callable[[np.ndarray], np.ndarray], prefix: int) -> DataFrame:
+    """Adds near, the numbers of the nearest pivots to the lifted vectors in order, to entries (rep, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = _nearest(_lifted(_matrix(batch.column(1)), longest), pivots, prefix)
+                near = _nearest(lift(_matrix(batch.column(1))), pivots, prefix)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["rep", "v", "near"])
 
     return found.select("rep", "v").mapInArrow(run, "rep long, v array<double>, near array<int>")
@@ -119,11 +126,11 @@ def search(vectors: DataFrame, top: int = TOP, every: int = 20, n_pivots: int =
     pivots = _lifted(np.array(sample, dtype=float).reshape(len(sample), -1), longest) if sample else np.zeros((1, 1))
     asked = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))).alias("v")).where(F.col("query_id") % every == 0)
     asked = materialize(asked.join(found.select("rep", "v"), "v").select("query_id", F.col("rep").alias("query")).distinct(), "ann-asked")
-    index = materialize(represent(found, pivots, longest or 1.0, prefix), "ann-index")
+    index = materialize(represent(found, pivots, lambda v: _lifted(v, longest or 1.0), prefix), "ann-index")
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(n / QUERY_BLOCK / max(1, every) * 2))
     dealt = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     side = index.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), dealt(blocks).alias("block"), "rep", F.col("v").alias("vector"), F.col("near").alias("pivots"))
-    own = index.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
+    own = represent(found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi"), pivots, _asked, prefix)
     queries = own.select(dealt(shards).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).alias("block"), F.col("rep").alias("query"), F.col("v").alias("q"), F.col("near").alias("q_pivots"))
     met = queries.groupBy("shard", "block").cogroup(side.groupBy("shard", "block")).applyInPandas(_search(prefix, n_pivots, candidates, top + 1), "query long, rep long, score double")
     w = W.partitionBy("query").orderBy(F.desc("score"), "rep")

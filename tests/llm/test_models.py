@@ -126,6 +126,19 @@ def test_neighbours_equal_brute_force(spark):
     assert hits / 400 >= 0.9 and len(got) == 400
 
 
+def test_neighbours_of_unequal_lengths(spark):
+    r = np.random.default_rng(12)
+    v = r.normal(size=(2000, 16)) * np.exp(r.normal(scale=0.5, size=(2000, 1)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = N.search(df, n_pivots=128, prefix=32, candidates=300, top=10).collect()
+    hits = 0
+    for q in range(0, 2000, 20):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:10]) & {x.vec_id for x in got if x.query_id == q})
+    assert hits >= 0.9 * 1000
+
+
 def test_few_candidates_and_ties(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [1.0, 0.0]), (40, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in N.search(df).collect())
