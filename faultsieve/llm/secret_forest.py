@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions and Spark ML only.
 
-Candidates are runs of 16 or more characters of base64 or its URL form within a word. Their features are the length, how
+Candidates are runs of 16 or more characters of base64 or its URL form within a word; '=' belongs to them as padding at the
+end only, so a name that a value is assigned to without space or quotes is text in front of it. Their features are the length, how
 likely their character transitions are and how much of them dictionary words cover, what the path (a column, by default
 source) names, and the words around: credential names, names of harmless digests, assignments and quotes. Transitions and
 dictionary come from counts over all words of all documents; of the dictionary the `DICTIONARY` most frequent words of
@@ -31,7 +32,8 @@ from .common import materialize
 
 TRAIN_FINDINGS = 20_000
 DICTIONARY = 300
-CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
+#: A whole run with its padding; not a run that a sign and a value follow, which is a name.
+CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?!=+[A-Za-z0-9+/_-]))"
 CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)"
 HARMLESS = "(?i)(commit|sha\\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|example|dummy)"
 TEST_PATH = "(?i)(test|mock|fixture|example|sample|doc)"
@@ -84,7 +86,11 @@ def featurize(found: DataFrame, table: list[float], dictionary: list[str]) -> Da
     logs = F.array(*[F.lit(x) for x in table])
     steps = F.zip_with(F.slice("_codes", 1, F.col("_k") - 1), F.slice("_codes", 2, F.col("_k") - 1), lambda a, b: F.element_at(logs, a * width + b + 1))
     rest = F.regexp_replace(lower, "|".join(map(re.escape, sorted(dictionary, key=lambda w: (-len(w), w)))), "") if dictionary else lower
-    around = F.concat_ws(" ", "b3", "b2", "b1", F.split_part(F.col("w"), c, F.lit(1)))
+    before = F.split_part(F.col("w"), c, F.lit(1))
+    cut = lambda x: F.regexp_extract(x, "[^,;&?{}]*$", 0)  # noqa: E731  the last parameter or member only
+    named = before.rlike(r"\w[\"']?[=:][\"'`]?$")  # the name stands in the word itself, so other words' names are not its own
+    around = F.when(named, cut(before)).otherwise(cut(F.concat_ws(" ", "b3", "b2", "b1", before)))
+    owner = F.when(named & F.col("b1").rlike("^[A-Za-z]+$") & (cut(before) == before), F.concat_ws(" ", "b1", before)).otherwise(around)
     flag = lambda x: x.cast("double")
     count = lambda p: F.regexp_count(c, F.lit(p)).cast("double")
     return rows.withColumns({
@@ -94,7 +100,7 @@ def featurize(found: DataFrame, table: list[float], dictionary: list[str]) -> Da
         "digits": count("[0-9]") / n,
         "uppers": count("[A-Z]") / n,
         "kinds": flag(c.rlike("[a-z]")) + flag(c.rlike("[A-Z]")) + flag(c.rlike("[0-9]")) + flag(c.rlike("[+/_=-]")),
-        "credential": flag(around.rlike(CREDENTIAL)),
+        "credential": flag(owner.rlike(CREDENTIAL)),
         "harmless": flag(around.rlike(HARMLESS)),
         "assigned": flag(around.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(F.col("w").rlike("[\"'`]")),

@@ -1,5 +1,6 @@
 """Quality classifier, secret scan, nearest neighbours and tool links."""
 
+import hashlib
 import json
 import random
 import zlib
@@ -92,6 +93,22 @@ def test_secret_scan(spark, documents):
     assert E.scan(documents([(1, "x" * 20)])).collect()[0].probability == 0.0
 
 
+def test_secrets_in_assignments_without_spaces(spark, documents):
+    r = random.Random(21)
+    draw = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+    forms = ["TOKEN={}", "aws_secret_access_key={}", "https://host.net/path?page=2&token={}&x=1", '{{"sha": "{other}", "api_key": "{}"}}', '{{"sha":"{other}","api_key":"{}"}}', "COMMIT={other}\nTOKEN={}"]
+    rows, want = [], {}
+    for i in range(240):
+        value = draw(40) + ("==" if i % 12 == 0 else "")
+        rows.append((i, "some words " + forms[i % 6].format(value, other=draw(40))))
+        want[i] = hashlib.sha256(value.encode()).hexdigest()
+    rows += [(1000 + i, f"commit={draw(40)} etag:{draw(32)}") for i in range(120)]
+    got = E.scan(documents(rows)).collect()
+    for i in want:
+        assert [x.secret_sha256 for x in got if x.doc_id == i and x.is_secret] == [want[i]], rows[i]
+    assert not any(x.is_secret for x in got if x.doc_id >= 1000)
+
+
 def test_features_of_candidates(documents):
     found = E.candidates(documents([(1, 'my api key="AAAA1111bbbb2222cccc;ZZZZ1111bbbb2222cccc" next')]))
     rows = E.featurize(found, [0.0] * 28 * 28, ["bbb", "ccc"]).orderBy("nth").collect()
