@@ -42,8 +42,12 @@ def simhash(words: list[bytes], shingle: int = 3) -> int:
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
-    hashes = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=n)
+    return majority(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that are set in over half of the hashes."""
+    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     for i in range(0, n, 1 << 16):
         part = hashes[i : i + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -97,7 +101,8 @@ def links(prints: DataFrame) -> DataFrame:
             lambda x: x.isNotNull(),
         )
         parts += [base, lower]
-    posted = rows.select("fp", F.explode(F.concat(*parts)).alias("p")).select("p.cell", "p.base", "fp")
+    # one row becomes about 25, so few large partitions are dealt anew before
+    posted = rows.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", F.explode(F.concat(*parts)).alias("p")).select("p.cell", "p.base", "fp")
     w = W.partitionBy("cell")
     met = posted.withColumns({"n": F.count("*").over(w), "bases": F.count_if("base").over(w)}).where("n > 1 and bases > 0").drop("bases")
     met = materialize(met, "simhash-cells")
@@ -150,13 +155,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     owner = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     owner = materialize(owner, "simhash-owner")
     return prints.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but the document with the least doc_id of each component.
-
-    Rows that repeat a kept doc_id go; rows without an id can't be told apart and stay.
-    """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -8,6 +8,7 @@ import pytest
 xxhash = pytest.importorskip("xxhash")
 
 from faultsieve.llm import line_winnow as L  # noqa: E402
+from faultsieve.llm import shingle_join as S  # noqa: E402
 from faultsieve.llm import simhash_dedup as H  # noqa: E402
 
 
@@ -85,9 +86,9 @@ def test_repeated_rows_null_ids_and_empty_tables(documents):
     got = H.near_duplicates(documents([(5, "a b c"), (5, "a b c"), (None, "a b c"), (None, "other text here"), (2, "x y z")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 5), (2, 2), (5, 5), (5, 5)]
     assert H.near_duplicates(documents([])).count() == 0
-    kept = H.keep_one(documents([(5, "a b c"), (5, "a b c"), (4, "A b c"), (None, "a b c"), (2, "x y z")]))
+    kept = S.keep_one(documents([(5, "a b c"), (5, "a b c"), (4, "A b c"), (None, "a b c"), (2, "x y z"), (5, "another text of the same id")]))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "fp", "tie", "runs"]
-    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "a b c"), (2, "x y z"), (4, "A b c")]
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "a b c"), (2, "x y z"), (4, "A b c"), (5, "another text of the same id")]
 
 
 def brute_lines(docs, least=50):
@@ -169,6 +170,20 @@ def brute_similar(docs):
     return {d: root(d) for d in docs}, links
 
 
+def test_group_of_near_copies_is_no_square(documents, spark):
+    random.seed(31)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for d in range(400):
+        words = list(base)
+        for _ in range(random.randint(1, 4)):
+            words[random.randrange(150)] = f"n{random.randint(0, 10**6)}"
+        rows.append((d, " ".join(words)))
+    want, links = brute_similar(dict(rows))
+    kept = S.keep_one(documents(rows)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({want[d] for d in want}) and links > 10_000
+
+
 def test_stage_finds_all_near_copies(documents):
     import corpus_pipeline
 
