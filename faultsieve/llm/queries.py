@@ -28,7 +28,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return source_mix.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slot", "source")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,25 @@ SELECT page_id, payload_bytes,
 FROM m
 """
 
+#: Each slot's source is the one that its point falls to; block k of a source goes to its slot k. The level of the targets is that of the first source, by cap and weight, that it does not fill.
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS tie FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+w AS (SELECT *, (sid - 1) % 3 + 1 AS weight, {source_mix.MOST_PASSES} * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
+o AS (SELECT *, cap / weight AS ratio, CAST(total - (sum(cap) OVER f - cap) AS BIGINT) / CAST(sum(weight) OVER () - sum(weight) OVER f + weight AS BIGINT) AS level FROM w WHERE source_size > 0 WINDOW f AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT w.*, least(CAST(cap AS DOUBLE), (SELECT arg_min(level, ratio) FILTER (WHERE level <= ratio) FROM o) * weight) AS target FROM w),
+p AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CAST(sum(round(target)) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto, CAST(sum(round(target)) OVER () AS BIGINT) AS whole FROM t WHERE source_size > 0),
+e AS (SELECT sid, CAST(upto - words AS HUGEINT) * {source_mix.TURN} // whole AS lo, CAST(upto AS HUGEINT) * {source_mix.TURN} // whole AS hi FROM p),
+b AS (SELECT least({source_mix.BLOCK_WORDS}, greatest(1, any_value(total) // {source_mix.SLOTS})) AS block, any_value(total) AS total FROM w),
+n AS (SELECT slot, CAST(slot AS HUGEINT) * {source_mix.GOLDEN} % {source_mix.TURN} AS u FROM (SELECT unnest(range((total + block - 1) // block)) AS slot FROM b)),
+k AS (SELECT n.slot, e.sid, row_number() OVER (PARTITION BY e.sid ORDER BY n.slot) - 1 AS k FROM n JOIN e ON n.u >= e.lo AND n.u < e.hi),
+l AS (SELECT d.*, t.sid, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY t.sid ORDER BY md5('{source_mix.SEED}|' || doc_id || '|' || tie), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+h AS (SELECT doc_id, sid, start, size, source_size * pass + start AS first_, source_size * pass + start + size AS last_ FROM l CROSS JOIN (SELECT unnest(range({source_mix.MOST_PASSES})) AS pass) WHERE size > 0),
+x AS (SELECT h.doc_id, h.sid, first_, last_, block, unnest(range(first_ // block, (last_ - 1) // block + 1)) AS k FROM h CROSS JOIN b),
+y AS (SELECT x.doc_id, CAST(sum(least(last_, (x.k + 1) * block) - greatest(first_, x.k * block)) AS BIGINT) AS taken, min(slot) AS slot FROM x JOIN k ON k.sid = x.sid AND k.k = x.k GROUP BY 1)
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(y.taken, 0) AS taken, y.slot, l.source FROM l LEFT JOIN y ON y.doc_id = l.doc_id
+"""
+
 #: Each user turn is a call, the assistant turn behind it its result; all calls stand in the order of their turns.
 OP6_SQL = """
 WITH c AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations),
@@ -105,4 +124,4 @@ t AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_deleted, coales
 SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_deleted, 0) AS n_deleted, coalesce(t.text, '') AS text FROM documents d LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op6_tool_links": OP6_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op4_source_mix": OP4_SQL, "op6_tool_links": OP6_SQL, "op9_line_dedup": OP9_SQL}

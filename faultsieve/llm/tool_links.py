@@ -7,13 +7,15 @@ conversation, so its call depends on that one.
 
 Calls and results are hash-joined on conversation and identifier. Calls are ordered so that each stands behind the calls it
 depends on and, as far as that allows, in the order of their turns: a call's place is the pair (turn that it waits for,
-steps behind it), the greatest of its own turn and its dependencies' places one step on. Conversations whose calls stand
-in order are done after one round; others take as many rounds as calls were moved one behind another. Arguments are checked
-against schemas (rows tool, property, type, required), and calls are written as canonical JSON: keys sorted, no white space.
+steps behind it), the greatest of its own turn and its dependencies' places one step on. Where all calls of a conversation stand
+behind what they need, their turns are their places. The dependencies of the other conversations fall into connected components;
+one of up to `LOCAL` calls is ordered in one aggregation, a larger one takes rounds of a join over all such components, as many as
+calls were moved one behind another. Arguments are checked against schemas (rows tool, property, type, required), and calls are
+written as canonical JSON: keys sorted, no white space.
 
 Defined cases: messages that are no calls or results give no rows; a call without id or without result is unlinked; of
 several results of a call the first turn counts; calls that repeat an id each get a row, but rows that repeat
-a whole call count once; dependencies on unknown ids are
+a whole call (conversation, turn, place, id, name and arguments, null being a value like any other) count once; dependencies on unknown ids are
 ignored; calls in a cycle of dependencies, or behind one, get place null, stand at the end and have the error "cycle";
 arguments that are null or no JSON object have the error "json"; a call of a tool without schema has the error "tool"; null
 conv_ids are one conversation; extra columns are ignored; an empty table gives an empty result.
@@ -21,13 +23,16 @@ conv_ids are one conversation; extra columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialize, running
+from .simhash_dedup import components
 
 CALLS_PER_CHUNK = 4096
+#: Calls of a component that are ordered in one aggregation.
+LOCAL = 1024
 
 
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,17 +53,54 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def places(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(key, place) of each call that is in no cycle nor behind one; calls (key, seq), needs (key, on).
+    """(key, place) of each call that is in no cycle nor behind one; calls (key, seq), needs (conv_id, key, on).
 
     place is a struct (seq, step) by which calls stand behind all they need.
     """
-    at = materialize(calls.select("key", "seq", F.struct(F.col("seq"), F.lit(0).cast("long").alias("step")).alias("place")), "tool-places")
-    needs = materialize(needs, "tool-needs")
-    if not needs.head(1):
-        return at.select("key", "place")
-    rounds = 0
+    seqs = materialize(calls.select("key", "seq"), "tool-calls")
+    plain = seqs.select("key", _place(F.col("seq"), F.lit(0)).alias("place"))
+    of = lambda name, seq: seqs.select(F.col("key").alias(name), F.col("seq").alias(seq))
+    edges = materialize(needs.join(of("key", "seq"), "key").join(of("on", "on_seq"), "on"), "tool-needs")
+    moved = materialize(edges.where("on_seq >= seq").select(F.col("conv_id").alias("_conv")).distinct(), "tool-moved")
+    if not moved.head(1):
+        return plain
+    edges = materialize(edges.join(moved, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi"), "tool-needs")
+    found = components(edges.select(F.col("key").alias("a"), F.col("on").alias("b"))).withColumnRenamed("node", "key")
+    nodes = edges.select("key", "seq").unionByName(edges.select(F.col("on").alias("key"), F.col("on_seq").alias("seq"))).distinct()
+    nodes = nodes.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    nodes = materialize(nodes.join(nodes.groupBy("root").agg(F.count("*").alias("n")), "root"), "tool-nodes")
+    few, many = nodes.where(F.col("n") <= LOCAL), nodes.where(F.col("n") > LOCAL)
+    settled = _ordered(few, edges)
+    if many.head(1):
+        settled = settled.unionByName(_rounds(many, edges.join(many.select("key"), "key", "left_semi").select("key", "on")))
+    return plain.join(nodes.select("key"), "key", "left_anti").unionByName(settled)
+
+
+def _place(seq: Column, step: Column) -> Column:
+    return F.struct(seq.cast("long").alias("seq"), step.cast("long").alias("step"))
+
+
+def _ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Places of the calls of small components (root, key, seq): calls whose needs are all settled are settled, until none is left or none moves."""
+    wants = edges.join(nodes.select("key", "root"), "key").groupBy("root", "key").agg(F.collect_set("on").alias("needs"))
+    graph = nodes.join(wants, ["root", "key"], "left").groupBy("root").agg(F.collect_list(F.struct("key", _place(F.col("seq"), F.lit(0)).alias("own"), F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))).alias("g"))
+    graph = graph.select("root", F.col("g.key").alias("keys"), F.col("g.own").alias("own"), F.col("g.needs").alias("needs"))
+    graph = materialize(graph.withColumn("idx", F.expr("transform(needs, x -> transform(x, k -> cast(array_position(keys, k) - 1 as int)))")).drop("needs"), "tool-graphs")
+    places = F.expr("""
+        aggregate(sequence(0, size(own)), named_struct('s', transform(own, x -> cast(null as struct<seq: bigint, step: bigint>)), 'open', -1),
+          (a, r) -> if(size(filter(a.s, x -> x is null)) = a.open, a, named_struct('s', transform(a.s, (p, i) -> case when p is not null then p when exists(idx[i], j -> a.s[j] is null) then null
+            else array_max(concat(array(own[i]), transform(idx[i], j -> named_struct('seq', a.s[j].seq, 'step', a.s[j].step + 1)))) end), 'open', size(filter(a.s, x -> x is null)))),
+          a -> a.s)
+    """)
+    return graph.select(F.explode(F.arrays_zip("keys", places.alias("place"))).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.place").alias("place")).where("place is not null")
+
+
+def _rounds(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """Places of calls (key, seq) by rounds of a join with what they need."""
+    at = materialize(calls.select("key", "seq", _place(F.col("seq"), F.lit(0)).alias("place")), "tool-places")
+    needs, rounds = materialize(needs, "tool-needs"), 0
     while True:
-        on = at.select(F.col("key").alias("on"), F.struct(F.col("place.seq").alias("seq"), (F.col("place.step") + 1).alias("step")).alias("least"))
+        on = at.select(F.col("key").alias("on"), _place(F.col("place.seq"), F.col("place.step") + 1).alias("least"))
         bound = needs.join(on, "on").groupBy("key").agg(F.max("least").alias("least"))
         moved = F.coalesce(F.col("least") > F.col("place"), F.lit(False))
         new = materialize(at.join(bound, "key", "left").select("key", "seq", F.greatest("place", F.coalesce("least", "place")).alias("place"), moved.alias("moved")), "tool-places")
@@ -86,7 +128,9 @@ def _waiting(needs: DataFrame) -> DataFrame | None:
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each call: conv_id, position, call_id, name, linked, valid, errors (sorted), json."""
     calls, results = parse(messages)
-    calls = materialize(calls.withColumn("key", F.xxhash64("conv_id", "turn", "at", "call_id", "name", "arguments")).withColumn("args", F.expr("try_parse_json(arguments)")).dropDuplicates(["key"]), "tool-calls")
+    # a null field is left out of the JSON, a value is not, so no two different calls have the same text
+    whole = F.md5(F.to_json(F.struct("conv_id", "turn", "at", "call_id", "name", "arguments")))
+    calls = materialize(calls.withColumn("key", whole).withColumn("args", F.expr("try_parse_json(arguments)")).dropDuplicates(["key"]), "tool-calls")
     is_object = F.coalesce(F.expr("schema_of_variant(args) like 'OBJECT%'"), F.lit(False))
     fields = calls.where(is_object).select("conv_id", "key", "name", F.explode(F.expr("from_json(arguments, 'map<string,variant>')")).alias("property", "value"))
     fields = fields.select("conv_id", "key", "name", "property", F.expr("schema_of_variant(value)").alias("kind"), F.expr("try_variant_get(value, '$', 'string')").alias("text"))
@@ -94,7 +138,7 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     # what each call needs: "$ID" names the first call of that id in the conversation
     named = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "at", "key")).alias("first"))
     refs = fields.where("kind = 'STRING' and text like '$%'").select("conv_id", "key", F.substring("text", 2, 1 << 30).alias("call_id")).distinct()
-    needs = refs.join(named, refs.conv_id.eqNullSafe(named.conv_id) & (refs.call_id == named.call_id)).select("key", F.col("first.key").alias("on"))
+    needs = refs.join(named, refs.conv_id.eqNullSafe(named.conv_id) & (refs.call_id == named.call_id)).select(refs.conv_id, "key", F.col("first.key").alias("on"))
     seq = F.col("turn") * (1 << 20) + F.col("at")
     placed = places(calls.select("key", F.coalesce(seq, F.lit(-1)).alias("seq")), needs)
 
@@ -138,10 +182,15 @@ def as_messages(conversations: DataFrame) -> DataFrame:
 
     A call refers to the conversation's call before it, if there is one; a system turn is a call of configure.
     """
-    by = W.partitionBy("conv_id").orderBy("turn")
-    before = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    # the last user turn before: within a chunk of turns, else that of the chunks before, so that one long conversation is no single task
+    asked, chunk = F.when(F.col("role") == "user", F.col("turn")), F.floor(F.col("turn") / CALLS_PER_CHUNK)
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("chunk", chunk)
+    last = rows.groupBy("conv_id", "chunk").agg(F.max(asked).alias("last"))
+    last = last.withColumn("earlier", F.max("last").over(W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))).select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"), "earlier")
+    inner = F.max(asked).over(W.partitionBy("conv_id", "chunk").orderBy("turn").rangeBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("inner", inner).join(last, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("chunk").eqNullSafe(F.col("_chunk")), "left")
+    rows = rows.select("conv_id", "turn", "role", "text", F.coalesce("inner", "earlier").alias("before"))
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("before", before)
     ask = F.to_json(F.struct(F.col("text").alias("prompt"), F.concat(F.lit("$"), name(F.col("before"))).alias("after"), F.col("turn").alias("turn")))
     call = lambda tool, arguments: F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.lit(tool).alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
     result = F.to_json(F.struct(name(F.col("before")).alias("tool_call_id"), F.col("text").alias("content")))

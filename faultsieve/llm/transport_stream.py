@@ -3,11 +3,14 @@
 A payload is cut into access units; each is one elementary packet with a presentation time stamp, carried in transport
 packets of 188 bytes behind a program association table and a program map table. Every eighth unit is a random-access
 point and holds a clock reference. The reader finds the elementary stream through the tables, checks their CRC-32 and the
-continuity counters, drops repeated packets, reassembles the units and lists their time stamps and random-access points.
+continuity counters, drops packets that repeat the one before, reassembles the units and lists their time stamps and
+random-access points.
 
 Defined cases: a null text is empty; a payload is the text in UTF-8, filled up with spaces to a positive multiple of 192
 bytes; equal texts give equal values; repeated rows each get a row; extra columns are ignored; an empty table gives an empty
-result. A stream that is not well formed raises ValueError.
+result. Lost packets are counted as continuity errors, and what is left of their units is read. A value that is null, has no
+units, or is not well formed gives a row whose error says so, with null in place of what can't be read, and no units; `demux`
+itself raises ValueError for the latter.
 """
 
 from __future__ import annotations
@@ -92,9 +95,9 @@ def mux(payload: bytes) -> bytes:
 
 def _section(packet: bytes, table_id: int) -> bytes:
     at = 5 + packet[4]
-    size = struct.unpack_from(">H", packet, at + 1)[0] & 0xFFF
+    size = struct.unpack_from(">H", packet, at + 1)[0] & 0xFFF if at + 3 <= PACKET else PACKET
     section = packet[at : at + 3 + size]
-    if section[0] != table_id or crc32_mpeg(section):
+    if len(section) != 3 + size or size < 9 or section[0] != table_id or crc32_mpeg(section):
         raise ValueError("a program table is damaged")
     return section[8:-4]
 
@@ -104,7 +107,7 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
     if len(stream) % PACKET:
         raise ValueError("the stream does not end with a packet")
     tables: dict[int, int] = {}
-    pid_of_data, last, errors = -1, -1, 0
+    pid_of_data, last, errors, whole, before = -1, -1, 0, True, b""
     units: list[list] = []
     for at in range(0, len(stream), PACKET):
         sync, word, flags = struct.unpack_from(">BHB", stream, at)
@@ -123,24 +126,28 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
                     pid_of_data = to & 0x1FFF
                 i += 5 + (more & 0xFFF)
         elif pid == pid_of_data and flags & 0x10:
-            count = flags & 15
-            if count == last:  # sent twice
+            count, packet = flags & 15, stream[at : at + PACKET]
+            if count == last and packet == before:  # sent twice
                 continue
-            errors += last >= 0 and count != (last + 1) & 15
-            last = count
-            begin, random = at + 4, False
+            lost = last >= 0 and count != (last + 1) & 15
+            last, before, errors = count, packet, errors + lost
+            begin, random = 4, False
             if flags & 0x20:
-                random = bool(stream[begin] and stream[begin + 1] & 0x40)
-                begin += 1 + stream[begin]
+                begin, random = 5 + packet[4], bool(packet[4] and packet[5] & 0x40)
+                if begin > PACKET:
+                    raise ValueError(f"an adaptation field is too long at byte {at}")
             if start:
                 units.append([random, []])
-            if units:
-                units[-1][1].append(stream[begin : at + PACKET])
+            whole = bool(start) or whole and not lost  # what follows a gap within a unit has no known place
+            if units and whole:
+                units[-1][1].append(packet[begin:])
     out, listed, offset = [], [], 0
     for random, parts in units:
         pes = b"".join(parts)
+        if len(pes) < 14:
+            raise ValueError("an elementary packet is too short")
         prefix, size, _, stamped, extra = struct.unpack_from(">IHBBB", pes)
-        if prefix != 0x100 | PRIVATE_STREAM or len(pes) != size + 6 or not stamped & 0x80:
+        if prefix != 0x100 | PRIVATE_STREAM or not stamped & 0x80 or 9 + extra > len(pes) or (len(pes) != size + 6 and not errors):
             raise ValueError("an elementary packet is damaged")
         a, b, c = struct.unpack_from(">BHH", pes, 9)
         data = pes[9 + extra :]
@@ -150,6 +157,17 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
     return b"".join(out), listed, errors
 
 
+def _read(stream: bytes | None) -> tuple[bytes, list[tuple[int, int, int, bool]], int, str | None]:
+    """What `demux` gives, and what is wrong with the stream."""
+    if stream is None:
+        return b"", [], 0, "no stream"
+    try:
+        payload, listed, errors = demux(stream)
+    except ValueError as e:
+        return b"", [], 0, str(e)
+    return payload, listed, errors, f"{errors} continuity errors" if errors else None if listed else "no units"
+
+
 def _column(batch: pa.RecordBatch, i: int) -> Iterator:
     return (x.as_py() for x in batch.column(i))
 
@@ -177,7 +195,7 @@ def units(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, stream in zip(_column(batch, 0), _column(batch, 1)):
-                rows = [(doc_id, i, *u) for i, u in enumerate(demux(stream)[1])]
+                rows = [(doc_id, i, *u) for i, u in enumerate(_read(stream)[1])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_()])], names=["doc_id", "unit", "pts", "offset", "n_bytes", "random_access"])
 
@@ -185,19 +203,23 @@ def units(media: DataFrame) -> DataFrame:
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What reading each stream of media (doc_id, n_bytes, media) back gives: digests of payload and stream, and a feature."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """What reading each stream of media (doc_id, n_bytes, media) back gives: digests of payload and stream, a feature, and what is wrong with it."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def values(stream: bytes | None) -> tuple:
+        payload, listed, errors, error = _read(stream)
+        own = (None, None) if stream is None else (len(stream), hashlib.sha256(stream).hexdigest())
+        if not listed:
+            return None, None, None, *own, None, error
+        random = [u[0] for u in listed if u[3]]
+        feature = f"units={len(listed)};random_access={len(random)};first_pts={listed[0][0]};last_pts={listed[-1][0]};last_random_pts={random[-1] if random else None};continuity_errors={errors}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *own, feature, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for stream in _column(batch, 2):
-                payload, listed, errors = demux(stream)
-                random = [u[0] for u in listed if u[3]]
-                feature = f"units={len(listed)};random_access={len(random)};first_pts={listed[0][0]};last_pts={listed[-1][0]};last_random_pts={random[-1]};continuity_errors={errors}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows = [values(stream) for stream in _column(batch, 2)]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -78,8 +78,10 @@ def test_stream_faults():
     stream = T.mux(b"a" * 192 * 40)
     packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
     assert T.demux(b"".join(packets[:4] + packets[3:]))[2] == 0  # a packet sent twice is dropped
-    with pytest.raises(ValueError):
-        T.demux(b"".join(packets[:5] + packets[6:]))  # a lost packet leaves a damaged unit
+    payload, units, errors = T.demux(b"".join(packets[:5] + packets[6:]))  # a lost packet takes the rest of its unit along
+    assert errors == 1 and len(units) == 3 and units[0][2] < T.UNIT_BYTES and units[1][2] == T.UNIT_BYTES and len(payload) == sum(u[2] for u in units)
+    other = packets[4][:-1] + b"!"
+    assert T.demux(b"".join(packets[:5] + [other] + packets[5:]))[2] == 2  # an equal counter with other bytes is no repeat
     with pytest.raises(ValueError):
         T.demux(stream[:-1])
     with pytest.raises(ValueError):
@@ -87,6 +89,20 @@ def test_stream_faults():
     assert T.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def test_damaged_values_give_rows_with_errors(spark):
+    good = T.mux(b"a" * 192 * 40)
+    packets = [good[i : i + 188] for i in range(0, len(good), 188)]
+    long_field = packets[2][:4] + b"\xb8" + packets[2][5:]
+    values = [good, None, b"", good[:-1], good[:376], b"".join(packets[:5] + packets[6:]), b"".join([*packets[:2], long_field, *packets[3:]]), b"\x47" * 188, good[:200] + b"x" + good[201:]]
+    media = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in T.digest(media).collect()}
+    assert got[0].error is None and got[0].payload_bytes == 7680
+    assert [got[i].error for i in (1, 2, 4, 5)] == ["no stream", "no units", "no units", "1 continuity errors"] and "continuity_errors=1" in got[5].feature
+    assert all(got[i].payload_sha256 is None and got[i].error for i in (1, 2, 3, 4, 6)) and len(got) == len(values)
+    assert got[1].media_bytes is None and got[3].media_bytes == len(good) - 1
+    assert {r.doc_id for r in T.units(media).collect()} >= {0, 5}
+
+
 def test_time_stamps_keep_33_bits():
     for pts in (0, 1, 0x7FFF, 1 << 15, 1 << 30, (1 << 33) - 1):
         a, b, c = int.from_bytes(T._stamp(pts)[:1]), int.from_bytes(T._stamp(pts)[1:3]), int.from_bytes(T._stamp(pts)[3:])
@@ -101,6 +117,7 @@ def test_media_query(documents):
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         r = rows[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert all(r.error is None for r in rows.values())
     assert rows[3][3:] == rows[5][3:] and rows[1][3:] == rows[2][3:]
     assert T.digest(T.store(documents([]))).count() == 0
     listed = T.units(T.store(documents([(4, texts[4])]))).orderBy("unit").collect()

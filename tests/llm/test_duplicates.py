@@ -136,6 +136,27 @@ def test_line_dedup_equals_brute_force(documents):
     assert next(r for r in got if r.doc_id == 100).n_lines == docs[100].count("\n") + 1
 
 
+def test_fingerprints_are_window_minima(documents):
+    random.seed(8)
+    docs = documents([(d, "\n".join(" ".join(random.choices("abcdefghijklm", k=random.randint(3, 14))) for _ in range(40))) for d in range(30)])
+    want, n_windows = set(), 0
+    lines = {}
+    for r in L._lines(docs).orderBy("doc", "pos").collect():
+        lines.setdefault(r.doc, []).append((r.h, r.pos, r.w))
+    for d, own in lines.items():
+        for p in range(len(own)):
+            n, q = 0, p
+            while q < len(own) and n < 50:
+                n, q = n + own[q][2], q + 1
+            if n >= 50:
+                n_windows += 1
+                want.add((d, min(own[p:q])[1]))
+    got = L.fingerprints(docs).collect()
+    assert {(r.doc, r.pos) for r in got} == want and len(got) == len(want)
+    assert len(got) < 0.5 * n_windows  # constant fingerprints would choose each window's first line
+    assert sum(len(r.windows) for r in got) == n_windows
+
+
 def test_pipeline_stage_keeps_columns(documents):
     long = "\n".join(" ".join(f"x{i}-{j}" for j in range(30)) for i in range(4))
     docs = documents([(1, long), (2, "own start\n" + long), (3, "own text"), (4, None), (None, "z")])

@@ -207,6 +207,29 @@ def test_chains_against_the_order(spark):
     assert [r.call_id for r in got] == [f"c{i}" for i in reversed(range(n))]
 
 
+def test_calls_that_differ_in_nulls_are_different_calls(spark):
+    got = link(spark, [message(None, 1, [("a", "say", {"text": "x"})]), message(1, None, [("a", "say", {"text": "x"})]), message(7, 1, [(None, "say", {"text": "x"})]), message(7, 1, [("say", None, {"text": "x"})]), message(7, 1, [("say", None, {"text": "x"})])])
+    assert sorted((r.conv_id or 0, r.call_id or "", r.name or "") for r in got) == [(0, "a", "say"), (1, "a", "say"), (7, "", "say"), (7, "say", "")]
+
+
+def test_components_larger_than_one_aggregation(spark, monkeypatch):
+    def messages(n):
+        out = []
+        for conv in range(3):  # reversed chains, a fork, and a circle with a call behind it
+            out += [message(conv, i, [(f"c{i}", "say", {"text": f"$c{i + 1}"})]) for i in range(n)]
+            out += [message(conv, 100, [("f", "add", {"a": "$g", "b": "$h"}), ("g", "say", {"text": "$h"}), ("h", "say", {"text": "end"}), ("o", "say", {"text": "$o"}), ("p", "say", {"text": "$q"}), ("q", "say", {"text": "$p"}), ("r", "say", {"text": "$q"})])]
+        return out
+
+    want = [f"c{i}" for i in reversed(range(20))] + ["h", "g", "f", "o", "p", "q", "r"]
+    for local in (1024, 8):
+        monkeypatch.setattr(T, "LOCAL", local)
+        got = link(spark, messages(20))
+        for conv in range(3):
+            own = [r for r in got if r.conv_id == conv]
+            assert [r.call_id for r in own] == want, local
+            assert {r.call_id for r in own if "cycle" in r.errors} == {"o", "p", "q", "r"}
+
+
 def test_conversations_as_messages(spark):
     rows = [(1, 0, "system", "be good"), (1, 1, "user", 'a "b"'), (1, 2, "assistant", "c"), (1, 3, "user", None), (2, 0, "assistant", "alone"), (None, 0, "user", "x")]
     schemas = spark.createDataFrame([("answer", "prompt", "string", True), ("answer", "turn", "integer", True), ("answer", "after", "string", False), ("configure", "instruction", "string", True)], "tool string, property string, type string, required boolean")
