@@ -2,11 +2,12 @@
 
 Pivots are vectors of a bounded sample, those with the least hashes. Every distinct vector is represented by its `PREFIX`
 nearest pivots in order. The index is dealt into shards of about `SHARD` vectors; each shard posts its vectors, with the
-places of the pivots, in one inverted file per pivot. A query block meets each shard in one task: the postings of a query's
-pivots add up to the footrule distance of the two orders (a pivot outside a prefix counts as at its end), the best
-`CANDIDATES` of the shard are ranked again by the exact inner product in double precision, and the best of all shards are
-merged. Lengths are taken into account by one more coordinate that brings all vectors to equal length. A query is scaled to
-length 1 and has zero there, so that the points nearest to it are those with the greatest inner products.
+places of the pivots, in one inverted file per pivot. A query block meets each shard in one task: the files of a query's pivots
+add up to the footrule distance of the two orders (a pivot outside a prefix counts as at its end), the best of the
+shard are ranked again by the exact inner product in double precision, and the best of all shards are merged. In all shards
+together about `BREADTH` times the root of the number of vectors are ranked again, a share that falls as the table grows. Lengths
+are taken into account by one more coordinate that brings all vectors to equal length. A query is scaled to length 1 and has
+zero there, so that the points nearest to it are those with the greatest inner products.
 
 Equal vectors are one entry with their smallest ids, at most one more than asked for, so a group of copies is neither a
 large posting nor many equal queries.
@@ -30,14 +31,20 @@ from pyspark.sql import Window as W
 
 from .common import materialize
 
-PIVOTS = 512
-PREFIX = 64
+PIVOTS = 1024
+PREFIX = 256
 SHARD = 8192
-QUERY_BLOCK = 4096
-CANDIDATES = 1024
+QUERY_BLOCK = 16384
+BREADTH = 4.0
 TOP = 20
 
 
+def candidates_of(n: int, shards: int, breadth: float = BREADTH) -> int:
+    """How many vectors of each shard are ranked again for a query: its part of breadth * sqrt(n), and three deviations more."""
+    mean = breadth * math.sqrt(n) / shards
+    return math.ceil(mean + 3 * math.sqrt(mean)) if shards > 1 else math.ceil(mean)
+
+
 def entries(vectors: DataFrame, top: int = TOP) -> DataFrame:
     """Distinct vectors: rep (smallest id), v (array of double), ids (the smallest, at most top + 1)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -80,9 +87,9 @@ def represent(found: DataFrame, pivots: np.ndarray, lift: Callable[[np.ndarray],
         for batch in batches:
             if batch.num_rows:
                 near = _nearest(lift(_matrix(batch.column(1))), pivots, prefix)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["rep", "v", "near"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in near.astype(np.int16)], pa.binary())], names=["rep", "v", "near"])
 
-    return found.select("rep", "v").mapInArrow(run, "rep long, v array<double>, near array<int>")
+    return found.select("rep", "v").mapInArrow(run, "rep long, v array<double>, near binary")
 
 
 def _search(prefix: int, n_pivots: int, candidates: int, keep: int):
@@ -92,23 +99,21 @@ def _search(prefix: int, n_pivots: int, candidates: int, keep: int):
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         shard = shard.sort_values("rep", kind="stable")
         n, ids, v = len(shard), shard["rep"].to_numpy(), np.stack(shard["vector"].to_numpy())
-        flat = np.concatenate(shard["pivots"].to_numpy())
-        order = np.argsort(flat, kind="stable")
-        member, place = order // prefix, order % prefix  # the inverted files, one after the other
-        bounds = np.searchsorted(flat[order], np.arange(n_pivots + 1))
-        out = []
+        pivots = np.frombuffer(b"".join(shard["pivots"]), np.int16)
+        # the inverted files: for each pivot and vector how far the pivot stands from the end of the vector's prefix
+        files = np.zeros((n_pivots, n), np.uint16)
+        files[pivots, np.repeat(np.arange(n), prefix)] = np.tile(np.arange(prefix, 0, -1, dtype=np.uint16), n)
+        out, both, shared = [], np.empty(n, np.uint16), np.empty(n, np.uint16)
         for query, q, near in zip(queries["query"], queries["q"], queries["q_pivots"]):
-            spans = [slice(bounds[p], bounds[p + 1]) for p in near]
-            who = np.concatenate([member[s] for s in spans])
-            # footrule distance = prefix * (prefix + 1) - 2 * sum over common pivots of (prefix - larger place)
-            common = np.concatenate([prefix - np.maximum(place[s], a) for a, s in enumerate(spans)])
-            shared = np.bincount(who, weights=common, minlength=n)
-            if n > candidates:
-                least = np.partition(shared, n - candidates)[n - candidates]
-                above, level = np.flatnonzero(shared > least), np.flatnonzero(shared == least)
-                chosen = np.concatenate([above, level[: candidates - len(above)]])
-            else:
-                chosen = np.arange(n)
+            # footrule distance = prefix * (prefix + 1) - 2 * sum over pivots of the lesser of the two distances from the end
+            shared[:] = 0
+            for a, p in enumerate(np.frombuffer(near, np.int16)):
+                np.minimum(files[p], np.uint16(prefix - a), out=both)
+                np.add(shared, both, out=shared)
+            few = min(n, candidates)
+            least = np.partition(shared, n - few)[n - few]
+            above, level = np.flatnonzero(shared > least), np.flatnonzero(shared == least)
+            chosen = np.concatenate([above, level[: few - len(above)]])
             score = v[chosen] @ q
             best = np.lexsort((ids[chosen], -score))[:keep]
             out.append((np.full(len(best), query), ids[chosen][best], score[best]))
@@ -117,7 +122,7 @@ def _search(prefix: int, n_pivots: int, candidates: int, keep: int):
     return run
 
 
-def search(vectors: DataFrame, top: int = TOP, every: int = 20, n_pivots: int = PIVOTS, prefix: int = PREFIX, shard: int = SHARD, candidates: int = CANDIDATES) -> DataFrame:
+def search(vectors: DataFrame, top: int = TOP, every: int = 20, n_pivots: int = PIVOTS, prefix: int = PREFIX, shard: int = SHARD, breadth: float = BREADTH) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of the rows whose vec_id is divisible by every."""
     found = materialize(entries(vectors, top), "ann-entries")
     n, longest = found.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
@@ -132,7 +137,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = 20, n_pivots: int =
     side = index.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), dealt(blocks).alias("block"), "rep", F.col("v").alias("vector"), F.col("near").alias("pivots"))
     own = represent(found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi"), pivots, _asked, prefix)
     queries = own.select(dealt(shards).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).alias("block"), F.col("rep").alias("query"), F.col("v").alias("q"), F.col("near").alias("q_pivots"))
-    met = queries.groupBy("shard", "block").cogroup(side.groupBy("shard", "block")).applyInPandas(_search(prefix, n_pivots, candidates, top + 1), "query long, rep long, score double")
+    met = queries.groupBy("shard", "block").cogroup(side.groupBy("shard", "block")).applyInPandas(_search(prefix, n_pivots, max(top + 1, candidates_of(n, shards, breadth)), top + 1), "query long, rep long, score double")
     w = W.partitionBy("query").orderBy(F.desc("score"), "rep")
     merged = materialize(met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top + 1), "ann-merged")
     # the copies of each vector found, then the best ids by score; one more than asked for, as the query itself goes

@@ -81,7 +81,7 @@ def test_stream_faults():
     payload, units, errors = T.demux(b"".join(packets[:5] + packets[6:]))  # a lost packet takes the rest of its unit along
     assert errors == 1 and len(units) == 3 and units[0][2] < T.UNIT_BYTES and units[1][2] == T.UNIT_BYTES and len(payload) == sum(u[2] for u in units)
     other = packets[4][:-1] + b"!"
-    assert T.demux(b"".join(packets[:5] + [other] + packets[5:]))[2] == 2  # an equal counter with other bytes is no repeat
+    assert T.demux(b"".join(packets[:5] + [other] + packets[5:]))[2] == 1  # an equal counter with other bytes is no repeat
     with pytest.raises(ValueError):
         T.demux(stream[:-1])
     with pytest.raises(ValueError):

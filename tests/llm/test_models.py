@@ -2,10 +2,14 @@
 
 import hashlib
 import json
+import os
 import random
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
+import pytest
 
 from faultsieve.llm import permutation_index as N
 from faultsieve.llm import quality_gam as G
@@ -75,7 +79,8 @@ def hexes(n):
     return "".join(random.choice("0123456789abcdef") for _ in range(n))
 
 
-def test_secret_scan(spark, documents):
+def test_secret_scan(spark, documents, monkeypatch):
+    monkeypatch.setattr(E, "PLANTED", 1_500)
     rows = []
     for i in range(120):
         rows.append((i, prose(30) + f' token = "{hexes(40)}" ' + prose(5)))
@@ -90,31 +95,63 @@ def test_secret_scan(spark, documents):
     assert not any(k[0] in (5000, 5001, 5002) for k in found)
     assert [r.is_secret for r in got if r.doc_id is None] == [True]
     assert E.scan(documents([])).count() == 0
-    assert E.scan(documents([(1, "x" * 20)])).collect()[0].probability == 0.0
+    assert not E.scan(documents([(1, "x" * 20)])).collect()[0].is_secret
 
 
-def test_secrets_in_assignments_without_spaces(spark, documents):
+def test_secrets_in_assignments_without_spaces(spark, documents, monkeypatch):
+    monkeypatch.setattr(E, "PLANTED", 3_000)
     r = random.Random(21)
     draw = lambda k: "".join(r.choices("0123456789abcdef", k=k))
-    forms = ["TOKEN={}", "aws_secret_access_key={}", "https://host.net/path?page=2&token={}&x=1", '{{"sha": "{other}", "api_key": "{}"}}', '{{"sha":"{other}","api_key":"{}"}}', "COMMIT={other}\nTOKEN={}"]
+    forms = ["TOKEN={}", "aws_secret_access_key={}", "https://host.net/path?page=2&token={}&x=1", '{{"sha": "{other}", "api_key": "{}"}}', '{{"sha":"{other}","api_key":"{}"}}', "COMMIT={other}\nTOKEN={}", 'mail@host6.example.com token = "{}"']
     rows, want = [], {}
-    for i in range(240):
+    for i in range(280):
         value = draw(40) + ("==" if i % 12 == 0 else "")
-        rows.append((i, "some words " + forms[i % 6].format(value, other=draw(40))))
+        rows.append((i, f"{prose(20)} {forms[i % 7].format(value, other=draw(40))}"))
         want[i] = hashlib.sha256(value.encode()).hexdigest()
-    rows += [(1000 + i, f"commit={draw(40)} etag:{draw(32)}") for i in range(120)]
+    rows += [(1000 + i, f"{prose(20)} commit={draw(40)} etag:{draw(32)}") for i in range(120)]
     got = E.scan(documents(rows)).collect()
-    for i in want:
-        assert [x.secret_sha256 for x in got if x.doc_id == i and x.is_secret] == [want[i]], rows[i]
-    assert not any(x.is_secret for x in got if x.doc_id >= 1000)
-
-
-def test_features_of_candidates(documents):
-    found = E.candidates(documents([(1, 'my api key="AAAA1111bbbb2222cccc;ZZZZ1111bbbb2222cccc" next')]))
-    rows = E.featurize(found, [0.0] * 28 * 28, ["bbb", "ccc"]).orderBy("nth").collect()
-    assert [(r.nth, r.word, r.length) for r in rows] == [(0, 2, 20.0), (1, 2, 20.0)]
-    assert rows[0].credential == 1 and rows[0].assigned == 1 and rows[0].quoted == 1 and rows[0].digits == 0.4
-    assert abs(rows[0].coverage - 6 / 20) < 1e-9
+    found = [[x.secret_sha256 for x in got if x.doc_id == i and x.is_secret] == [want[i]] for i in want]
+    assert sum(found) >= 0.95 * len(found), [rows[i] for i in want if not found[i]][:5]
+    assert sum(x.is_secret for x in got if x.doc_id >= 1000) <= 12
+
+
+def test_short_values_with_punctuation_are_candidates(documents):
+    texts = {1: 'the password = "hunter2!Xy9" was', 2: "pwd: Tr0ub4dor&3", 3: "no password: here or there", 4: "token=abc123", 5: "login(secret='p@ss:w0rd')", 6: "one two three = fourfive", 7: "password", 8: "token ="}
+    got = {(r.doc_id, r.candidate) for r in E.candidates(documents(texts.items())).collect()}
+    assert got >= {(1, "hunter2!Xy9"), (2, "Tr0ub4dor&3"), (4, "abc123"), (5, "p@ss:w0rd")}
+    assert not {d for d, _ in got} & {3, 6, 7, 8}
+
+
+def test_forest_on_held_out_findings(spark, documents):
+    """Planted secrets and look-alikes of documents that the forest has not seen, against the labels and against the rule alone."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnoprstuvwy", k=r.randint(3, 9))) for _ in range(300)]
+    docs = documents([(i, " ".join(r.choices(words, k=r.randint(1, 60))), r.choice(["src0", "src1"])) for i in range(3000)])
+    seen, held = docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0")
+    planted, truth = E.plant(held, salt=77)
+    rows = E.scan(planted, findings=E.findings(*E.plant(seen, salt=1), E.words(seen)), features=True).join(truth, ["doc_id", "candidate"]).collect()
+    n_ones = truth.where("label = 1").count()
+    ones = [x for x in rows if x.label == 1]
+    assert len(ones) > 0.98 * n_ones  # planted secrets are candidates, whole and alone; look-alikes need not be
+    rule = lambda x: x.credential == 1 and x.assigned == 1 and x.harmless == 0 and 0.1 < x.digits < 1
+
+    def rates(says):
+        hits, said = sum(says(x) for x in ones), sum(says(x) for x in rows)
+        return hits / said, hits / n_ones
+
+    (precision, recall_), (rule_precision, rule_recall) = rates(lambda x: x.is_secret), rates(rule)
+    print("held out", precision, recall_, "rule", rule_precision, rule_recall)
+    assert precision >= 0.9 and recall_ >= 0.9, (precision, recall_, rule_precision, rule_recall)
+    assert precision > rule_precision and recall_ > rule_recall
+
+
+def test_features_of_candidates(spark, documents):
+    found = E.candidates(documents([(1, 'my api key="AAAA1111bbbb2222cccc;ZZZZ1111bbbb2222cccc" next'), (2, "riverstone/lightwaterxq 0123456789abcdef")]))
+    counts = spark.createDataFrame([("river", 9), ("stone", 9), ("light", 9), ("water", 9), ("bbbb", 9), ("rare", 1)], "word string, n long")
+    rows = {(r.doc_id, r.nth, r.word): r for r in E.featurize(found, counts).collect()}
+    a, b = rows[1, 0, 2], rows[1, 1, 2]
+    assert a.length == 20 and a.credential == 1 and a.assigned == 1 and a.quoted == 1 and a.digits == 0.4 and b.length == 20
+    assert abs(a.coverage - 4 / 20) < 1e-9 and abs(rows[2, 0, 0].coverage - 20 / 23) < 1e-9 and rows[2, 0, 1].coverage == 0
 
 
 # nearest neighbours
@@ -128,7 +165,7 @@ def test_neighbours_equal_brute_force(spark):
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
     odd = [(1000, None, 0), (1020, [0.0] * 16, 0), (1040, [float("nan")] + [1.0] * 15, 0), (1060, [None] + [1.0] * 15, 0), (1080, [1.0] * 3, 0), (1100, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (20, rows[20][1], 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, rank int")
-    got = N.search(df, shard=64, candidates=64, n_pivots=64, prefix=32).collect()
+    got = N.search(df, shard=128, breadth=5.0, n_pivots=64, prefix=32).collect()
     x = np.array(vectors)
     hits = 0
     for q in range(0, 400, 20):
@@ -147,7 +184,7 @@ def test_neighbours_of_unequal_lengths(spark):
     r = np.random.default_rng(12)
     v = r.normal(size=(2000, 16)) * np.exp(r.normal(scale=0.5, size=(2000, 1)))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    got = N.search(df, n_pivots=128, prefix=32, candidates=300, top=10).collect()
+    got = N.search(df, n_pivots=128, prefix=32, breadth=6.7, top=10).collect()
     hits = 0
     for q in range(0, 2000, 20):
         score = v @ v[q]
@@ -156,6 +193,37 @@ def test_neighbours_of_unequal_lengths(spark):
     assert hits >= 0.9 * 1000
 
 
+def recall(spark, vectors, df):
+    got = {}
+    for r in N.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in range(0, len(vectors), 20):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & got[q])
+        total += 20
+    return hits / total
+
+
+def test_recall_of_several_shards_with_the_given_parameters(spark):
+    v = np.random.default_rng(3).normal(size=(17_000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(v)), "embedding": v.tolist()}), "vec_id long, embedding array<double>")
+    assert N.candidates_of(17_000, 3) * 3 < 0.05 * 17_000
+    assert N.candidates_of(10**9, 10**9 // N.SHARD) * (10**9 // N.SHARD) < 0.001 * 10**9
+    assert recall(spark, v, df) >= 0.9
+
+
+def test_recall_on_given_vectors(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    rows = pq.read_table(path).sort_by("vec_id")
+    assert rows["vec_id"].to_pylist() == list(range(rows.num_rows))
+    assert recall(spark, np.array(rows["embedding"].to_pylist(), float), spark.read.parquet(path)) >= 0.9
+
+
 def test_few_candidates_and_ties(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [1.0, 0.0]), (40, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in N.search(df).collect())
