@@ -23,7 +23,6 @@ def strict(c: Column) -> Column:
 def fenced(c: Column) -> Column:
     """What stands between the line of the first code fence and the next fence, stripped, or null."""
     start = F.locate("```", c)
-    line = F.locate("\n", c, 1)
     rest = F.substr(c, start)
     line = F.locate("\n", rest)
     body = F.substr(rest, line + 1)

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Release numbers are compared over so many parts.
-PARTS = 8
-VERSION = r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)[-_.]?((?:a|b|c|rc|alpha|beta|pre|preview)[-_.]?\d*)?(?:(?:[-_.]?(?:post|rev|r)[-_.]?(\d*))|-(\d+))?(?:[-_.]?(dev)[-_.]?\d*)?(?:\+.*)?$"
+VERSION = r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)[-_.]?((?:a|b|c|rc|alpha|beta|pre|preview)[-_.]?\d*)?(?:(?:[-_.]?(?:post|rev|r)[-_.]?(\d*))|-(\d+))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+.*)?$"
 
 
 def _group(c: Column, n: int) -> Column:
     return F.regexp_extract(F.lower(c), VERSION, n)
 
 
-def padded(c: Column) -> Column:
-    """Parts of a dotted number as an array of fixed length."""
-    parts = F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), PARTS)), 1, PARTS)
+def numbers(c: Column) -> Column:
+    """Parts of a dotted number as an array."""
+    return F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+
+
+def trimmed(parts: Column) -> Column:
+    """Parts without the zeros at their end, so that arrays compare as release numbers of any length."""
+    last = F.array_position(F.transform(F.reverse(parts), lambda x: x != 0), True)
+    return F.when(last > 0, F.slice(parts, F.lit(1), (F.size(parts) - last + 1).cast("int"))).otherwise(F.slice(parts, 1, 0))
 
 
 def is_version(c: Column) -> Column:
@@ -29,17 +32,23 @@ def is_pre_release(c: Column) -> Column:
 
 
 def version_key(c: Column) -> Column:
-    """A struct that sorts versions: epoch, release, final after pre-release, post number."""
+    """A struct that sorts versions: epoch, release, phase (dev alone, a, b, rc, final) and its number, post number, dev number (none is last)."""
+    pre, dev = _group(c, 3), _group(c, 6) != ""
+    letter, number = F.substring(pre, 1, 1), F.regexp_extract(pre, r"(\d+)$", 1).try_cast("bigint")
     post = F.when(_group(c, 4) != "", _group(c, 4).try_cast("bigint")).when(_group(c, 5) != "", _group(c, 5).try_cast("bigint")).when(F.lower(c).rlike(r"(post|rev|\dr)\d*"), 0).otherwise(-1)
     return F.struct(
-        F.coalesce(_group(c, 1).try_cast("bigint"), F.lit(0)).alias("epoch"), padded(_group(c, 2)).alias("release"),
-        F.when(is_pre_release(c), 0).otherwise(1).alias("final"), post.cast("bigint").alias("post"),
+        F.coalesce(_group(c, 1).try_cast("bigint"), F.lit(0)).alias("epoch"), trimmed(numbers(_group(c, 2))).alias("release"),
+        F.when(letter == "a", 1).when(letter == "b", 2).when(letter != "", 3).when(dev & (post < 0), 0).otherwise(4).alias("phase"), F.coalesce(number, F.lit(0)).alias("number"),
+        post.cast("bigint").alias("post"), F.when(dev, F.coalesce(_group(c, 7).try_cast("bigint"), F.lit(0))).otherwise((1 << 63) - 1).alias("dev"),
     )
 
 
 def python_compatibility(requires: Column, python: Column) -> Column:
     """compatible, incompatible, or unknown if either is missing."""
-    own = padded(python)
+    full = numbers(python)
+    own = trimmed(full)
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n)
+    first = lambda parts, n: F.slice(F.concat(parts, zeros(n)), F.lit(1), n)
 
     def clause(x: Column) -> Column:
         x = F.regexp_replace(x, r"\s", "")
@@ -47,9 +56,10 @@ def python_compatibility(requires: Column, python: Column) -> Column:
         number = F.regexp_replace(x, r"^[=~!<>]+", "")
         wild = number.endswith(".*")
         base = F.regexp_replace(number, r"\.\*$", "")
-        other, depth = padded(base), F.size(F.split(base, r"\."))
-        starts = F.slice(own, 1, F.least(depth, F.lit(PARTS))) == F.slice(other, 1, F.least(depth, F.lit(PARTS)))
-        near = F.slice(own, 1, F.greatest(depth - 1, F.lit(1))) == F.slice(other, 1, F.greatest(depth - 1, F.lit(1)))
+        parts = numbers(base)
+        other, depth = trimmed(parts), F.size(parts)
+        starts = first(full, depth) == parts
+        near = first(full, F.greatest(depth - 1, F.lit(1))) == first(parts, F.greatest(depth - 1, F.lit(1)))
         return (
             F.when(op == "===", python == number).when(op == "==", F.when(wild, starts).otherwise(own == other)).when(op == "!=", F.when(wild, ~starts).otherwise(own != other))
             .when(op == "~=", (own >= other) & near).when(op == "<=", own <= other).when(op == ">=", own >= other).when(op == "<", own < other).when(op == ">", own > other).otherwise(False)

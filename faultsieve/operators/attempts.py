@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 ACTIONS = ["install", "pin_version", "none"]
+PREFIXES = {"repr": "urn:notebook-repair:", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "prov": "http://www.w3.org/ns/prov#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 OUTCOMES = ["fixed", "still_failing", "apply_error"]
 FACTS = [
     "id", "notebook_execution_id", "failing_module", "subtype", "explanation", "action", "install_name", "version", "command", "rationale",
@@ -59,10 +61,10 @@ def ablation_rounds(attempts: DataFrame) -> DataFrame:
     return last.groupBy("one_round", "all_rounds").agg(F.count("*").alias("failures"))
 
 
-def second_round_worklist(attempts: DataFrame) -> DataFrame:
-    """First-round attempts that still fail and have no second round."""
-    done = attempts.where("round = 2").select("notebook_execution_id").distinct()
-    return attempts.where("round = 1 and outcome = 'still_failing'").join(done, "notebook_execution_id", "left_anti").select("notebook_execution_id", "id")
+def second_round_worklist(facts: DataFrame) -> DataFrame:
+    """First-round attempts (facts) that still fail and have no second round, with the error that the second round starts from."""
+    done = facts.where("round = 2").select("notebook_execution_id").distinct()
+    return facts.where("round = 1 and outcome = 'still_failing'").join(done, "notebook_execution_id", "left_anti").select("notebook_execution_id", "id", "new_error_type", "new_error_message")
 
 
 def outside_domain(attempts: DataFrame) -> DataFrame:
@@ -71,19 +73,32 @@ def outside_domain(attempts: DataFrame) -> DataFrame:
 
 
 def repair_triples(facts: DataFrame) -> DataFrame:
-    """Triples (s, p, o) of each attempt and its notebook; null objects give none."""
+    """Triples (s, p, o) of each attempt and its notebook, with prefixed names; null objects give none."""
     node = F.concat(F.lit("repr:repairattempt_"), F.col("id"))
-    text = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    marks = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    escaped = lambda c: reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), marks.items(), F.col(c).cast("string"))
+    text = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"'))
     triple = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
     time = F.concat(F.lit('"'), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"^^xsd:dateTime'))
     rows = F.array(
         triple(F.concat(F.lit("repr:notebook_"), F.col("notebook_execution_id")), "repr:hadRepairAttempt", node), triple(node, "rdf:type", F.lit("prov:Activity")), triple(node, "rdf:type", F.lit("repr:RepairAttempt")),
         triple(node, "repr:failingModule", text("failing_module")), triple(node, "repr:appliedFix", text("command")), triple(node, "repr:fixOutcome", text("outcome")), triple(node, "repr:exception", text("new_error_type")),
-        triple(node, "prov:wasAssociatedWith", F.concat(F.lit("repr:"), F.col("llm_model"))), triple(node, "prov:endedAtTime", time),
+        triple(node, "prov:wasAssociatedWith", F.concat(F.lit("repr:"), F.url_encode("llm_model"))), triple(node, "prov:endedAtTime", time),
     )
     return facts.select(F.explode(rows).alias("t")).select("t.*").where("o is not null")
 
 
+def triple_lines(triples: DataFrame) -> DataFrame:
+    """Triples as lines of N-Triples: prefixed names become whole identifiers, also the type of a literal."""
+    def whole(c: Column) -> Column:
+        kind = F.regexp_extract(c, r'"\^\^(\w+:\w+)$', 1)
+        name = F.when(c.startswith('"'), kind).otherwise(c)
+        iri = F.concat(F.lit("<"), F.coalesce(*[F.when(name.startswith(k + ":"), F.concat(F.lit(v), F.substr(name, F.lit(len(k) + 2)))) for k, v in PREFIXES.items()]), F.lit(">"))
+        return F.when(~c.startswith('"'), iri).when(kind == "", c).otherwise(F.concat(F.substr(c, F.lit(1), F.length(c) - F.length(kind)), iri))
+
+    return triples.select(F.concat_ws(" ", *[whole(F.col(x)) for x in ("s", "p", "o")], F.lit(".")).alias("line"))
+
+
 def repair_history(triples: DataFrame) -> DataFrame:
     """Notebooks, their attempts and outcomes, by a pattern over the triples."""
     had = triples.where("p = 'repr:hadRepairAttempt'").select(F.col("s").alias("notebook"), F.col("o").alias("attempt"))
@@ -91,9 +106,11 @@ def repair_history(triples: DataFrame) -> DataFrame:
     return had.join(outcome, "attempt").select("notebook", "attempt", "outcome")
 
 
-def model_strategy_comparison(attempts: DataFrame) -> DataFrame:
-    """Fixed attempts by model and round, a column for each prompt strategy."""
-    return attempts.groupBy("llm_model", "round").agg(*[F.count_if((F.col("prompt_strategy") == s) & (F.col("outcome") == "fixed")).alias(f"fixed_{s}") for s in ("zero_shot", "few_shot")], F.count("*").alias("attempted"))
+def model_strategy_comparison(attempts: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """Fixed attempts by run, model and round, a column for each prompt strategy; external attempts are further runs."""
+    columns = ["run_id", "llm_model", "round", "prompt_strategy", "outcome"]
+    rows = attempts.select(*columns) if external is None else attempts.select(*columns).unionByName(external.select(*columns))
+    return rows.groupBy("run_id", "llm_model", "round").agg(*[F.count_if((F.col("prompt_strategy") == s) & (F.col("outcome") == "fixed")).alias(f"fixed_{s}") for s in ("zero_shot", "few_shot")], F.count("*").alias("attempted"))
 
 
 def multi_granularity_rates(attempts: DataFrame, executions: DataFrame) -> DataFrame:
@@ -105,8 +122,3 @@ def multi_granularity_rates(attempts: DataFrame, executions: DataFrame) -> DataF
     levels = {"notebook": F.col("notebook_id").cast("string"), "error_type": F.col("error_type"), "all": F.lit("all")}
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), c.alias("key")) for k, c in levels.items()]))
     return rows.select("fixed", "progress", pairs.alias("k")).groupBy("k.level", "k.key").agg(*measures)
-
-
-def latest_rounds(attempts: DataFrame) -> DataFrame:
-    w = W.partitionBy("notebook_execution_id").orderBy(F.desc("round"), F.desc("id"))
-    return attempts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

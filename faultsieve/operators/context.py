@@ -12,6 +12,8 @@ from .rules import legacy_matches, normalized_fields
 STORED_CHARS = 4_000
 IMPORT_CELLS = 5
 AROUND = 2
+# The ruler around a failing cell, and the lines that import.
+IMPORT_LINE = r"(?md)^\s*(import|from)\s+\S+"
 CELL_SOURCE = r"(?s)executing the following cell:\s*\n-+\n(.*?)\n-+\n"
 FILE_FIELDS = ["requirements", "setups", "pipfiles", "pipfile_locks"]
 FILES = "array<struct<path:string,fetched:boolean,ref:string,content:string>>"
@@ -61,16 +63,16 @@ def join_source_snapshot(data: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def dependency_paths(data: DataFrame) -> DataFrame:
-    """One row for each listed dependency file: notebook_execution_id, field_no, pos, path."""
+    """One row for each dependency file that a row with a repository lists: notebook_execution_id, field_no, pos, path."""
     fields = F.array(*[F.struct(F.lit(i).alias("field_no"), split_paths(F.col(c)).alias("paths")) for i, c in enumerate(FILE_FIELDS)])
-    rows = data.select("notebook_execution_id", "repository", "commit_ref", F.explode(fields).alias("f"))
+    rows = data.where(filled(F.col("repository")) != "").select("notebook_execution_id", "repository", "commit_ref", F.explode(fields).alias("f"))
     return rows.select("notebook_execution_id", "repository", "commit_ref", "f.field_no", F.posexplode("f.paths").alias("pos", "path"))
 
 
 def join_dependency_files(data: DataFrame, snapshot: DataFrame) -> DataFrame:
     """One row for each listed file with fetched, ref and content; files are looked up once per repository."""
     listed = dependency_paths(data)
-    once = listed.where("repository is not null").select("repository", "commit_ref", "path").distinct()
+    once = listed.select("repository", "commit_ref", "path").distinct()
     found = _first_present(once.withColumns({"_repo": F.col("repository"), "_path": F.col("path"), "_commit": F.coalesce("commit_ref", F.lit(""))}), snapshot, ["_repo", "_path", "_commit"])
     same = (F.col("repository") == F.col("_repo")) & (F.col("path") == F.col("_path")) & (F.coalesce("commit_ref", F.lit("")) == F.col("_commit"))
     out = listed.join(found, same, "left")
@@ -102,7 +104,7 @@ def notebook_context(content: Column, index: Column) -> Column:
     """failing_cell_source, import_cells and surrounding_cells; null if there are no cells."""
     listed = cells(content)
     pair = lambda c: F.struct(c.cell_index.cast("bigint").alias("cell_index"), c.source)
-    imports = F.slice(F.filter(listed, lambda c: (c.cell_type == "code") & c.source.rlike(r"(?md)^\s*(import|from)\s+\S+")), 1, IMPORT_CELLS)
+    imports = F.slice(F.filter(listed, lambda c: (c.cell_type == "code") & c.source.rlike(IMPORT_LINE)), 1, IMPORT_CELLS)
     near = F.filter(listed, lambda c: F.coalesce(F.abs(c.cell_index - index) <= AROUND, F.lit(False)))
     failing = F.when((index >= 0) & (index < F.size(listed)), F.try_element_at(listed, index.cast("int") + 1).source)
     return F.when(F.size(listed) > 0, F.struct(failing.alias("failing_cell_source"), F.transform(imports, pair).alias("import_cells"), F.transform(near, pair).alias("surrounding_cells")))
@@ -117,7 +119,7 @@ def enrich(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot
     out = join_legacy_hint(rows, legacy)
     if fetch:
         out = join_source_snapshot(join_repository(out, repositories), snapshot)
-        files = collect_files(join_dependency_files(out.where("content is not null or repository is not null"), snapshot))
+        files = collect_files(join_dependency_files(out, snapshot))
         out = once(out, "remote", notebook_context(F.col("content"), F.col("error_cell_index"))).join(files, "notebook_execution_id", "left")
     else:
         out = out.withColumns({"remote": F.lit(None).cast("struct<failing_cell_source:string,import_cells:array<struct<cell_index:bigint,source:string>>,surrounding_cells:array<struct<cell_index:bigint,source:string>>>"), "dependency_files": F.lit(None).cast(FILES)})
@@ -160,9 +162,9 @@ def hint_coverage(records: DataFrame) -> DataFrame:
     )
 
 
-def dependency_file_counts(records: DataFrame) -> DataFrame:
-    files = F.col("dependency_file_metadata")
-    return records.agg(F.sum(F.size(files)).alias("attempted"), F.sum(F.size(F.filter(files, lambda f: f.fetched))).alias("fetched"))
+def dependency_file_counts(files: DataFrame) -> DataFrame:
+    """Files that were looked for and those that were there, of the rows of `join_dependency_files`."""
+    return files.agg(F.count("*").alias("attempted"), F.count_if("fetched").alias("fetched"))
 
 
 def legacy_coverage(data: DataFrame, legacy: DataFrame) -> DataFrame:

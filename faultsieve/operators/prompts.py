@@ -72,7 +72,7 @@ def _indented(array: Column, fields: list[str]) -> Column:
     return F.when(F.size(array) > 0, F.concat(F.lit("[\n"), F.array_join(F.transform(array, item), ",\n"), F.lit("\n]"))).otherwise(NOT_AVAILABLE)
 
 
-def template_values(records: DataFrame | None = None) -> dict[str, Column]:
+def template_values() -> dict[str, Column]:
     """The values for templates, by name, as text; gaps read as not available."""
     plain = {n: or_missing(F.col(n)) for n in ("notebook_execution_id", "error_type", "error_message", "original_subtype", "refined_subtype", "root_cause_hint", "failing_module", "context_status", "error_cell_index")}
     cell = ["cell_index", "source"]

@@ -25,9 +25,14 @@ def resolve_distribution(failures: DataFrame) -> DataFrame:
     return failures.join(names, "import_name", "left").withColumn("mapping_status", F.when(F.col("distribution_name").isNull(), "mapping_unknown").otherwise("mapped"))
 
 
-def release_grouping(files: DataFrame) -> DataFrame:
-    """One row for each distribution and version; it is yanked if all its files are."""
-    return files.groupBy("distribution_name", "version").agg(F.bool_and("yanked").alias("yanked"), F.max("requires_python").alias("requires_python"), F.max(F.when(F.col("yanked"), F.col("yanked_reason"))).alias("yanked_reason"), F.count("*").alias("files"))
+def release_grouping(files: DataFrame, python: str | None = None) -> DataFrame:
+    """One row for each distribution and version; it is yanked if all its files are.
+
+    requires_python is that of the file that serves best: not yanked, then not against python, then with a requirement, then by name.
+    """
+    fit = python_compatibility(F.col("requires_python"), F.lit(python))
+    rank = F.struct("yanked", fit == "incompatible", F.col("requires_python").isNull(), "filename")
+    return files.groupBy("distribution_name", "version").agg(F.bool_and("yanked").alias("yanked"), F.min_by("requires_python", rank).alias("requires_python"), F.max(F.when(F.col("yanked"), F.col("yanked_reason"))).alias("yanked_reason"), F.count("*").alias("files"))
 
 
 def judged_releases(releases: DataFrame, python: str | None) -> DataFrame:
@@ -62,7 +67,7 @@ def retrieval_status(distribution: Column, http_status: Column, parsed: Column,
 
 def retrieval_results(failures: DataFrame, lookups: DataFrame, files: DataFrame, python: str | None) -> DataFrame:
     """One result for each import name of failures, with at most five candidates and only if the status is resolved."""
-    judged = judged_releases(release_grouping(files), python)
+    judged = judged_releases(release_grouping(files, python), python)
     best = release_top5(judged).groupBy("distribution_name").agg(F.sort_array(F.collect_list(F.struct("rank", "version", "requires_python", "python_compatibility", "yanked", "yanked_reason"))).alias("candidates"))
     facts = latest_version(judged).join(best, "distribution_name", "left")
     names = resolve_distribution(failures.select("import_name").distinct())
@@ -75,11 +80,12 @@ def retrieval_results(failures: DataFrame, lookups: DataFrame, files: DataFrame,
         "status", "import_name", "distribution_name", F.when(asked & F.col("http_status").isin(200, 404), F.col("http_status") == 200).alias("package_found"), F.lit(python).cast("string").alias("python_version"),
         F.when(F.col("status").isin("resolved", "no_compatible_release"), F.col("latest_version")).alias("latest_version"), F.when(resolved, found).otherwise(F.array().cast(kind)).alias("candidate_versions"),
         F.when(asked, F.concat(F.lit("/simple/"), normalize_distribution(F.col("distribution_name")), F.lit("/"))).alias("source_endpoint"), F.when(F.col("status").isin("network_error", "invalid_response"), F.col("status")).alias("error"),
+        F.when(asked, F.col("retrieved_at")).alias("retrieved_at"),
     )
 
 
 def provenance(results: DataFrame) -> DataFrame:
-    return results.select("import_name", "distribution_name", "status", "python_version", "source_endpoint", "candidate_versions", "error")
+    return results.select("import_name", "distribution_name", "status", "python_version", "source_endpoint", "candidate_versions", "error", "retrieved_at")
 
 
 def safe_action_gate(results: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ class Tables:
 
     @property
     def judged(self) -> DataFrame:
-        return V.judged_releases(V.release_grouping(self.f_releases), PYTHON)
+        return V.judged_releases(V.release_grouping(self.f_releases, PYTHON), PYTHON)
 
     @property
     def results(self) -> DataFrame:
@@ -169,10 +169,15 @@ UNION ALL SELECT 'repr:repairattempt_' || id, 'prov:wasAssociatedWith', 'repr:'
 UNION ALL SELECT 'repr:repairattempt_' || id, 'prov:endedAtTime', '"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || 'Z"^^xsd:dateTime' FROM f_attempts"""
 
 
-@query("sink_triples", f"SELECT s || ' ' || p || ' ' || o || ' .' AS line FROM ({TRIPLES})")
+def _iri_sql(c: str) -> str:
+    names = " ".join(f"WHEN starts_with({c}, '{k}:') THEN '<{v}' || substr({c}, {len(k) + 2}) || '>'" for k, v in A.PREFIXES.items())
+    return f"CASE WHEN {c} LIKE '\"%^^xsd:dateTime' THEN replace({c}, '^^xsd:dateTime', '^^<{A.PREFIXES['xsd']}dateTime>') {names} ELSE {c} END"
+
+
+@query("sink_triples", f"SELECT {_iri_sql('s')} || ' ' || {_iri_sql('p')} || ' ' || {_iri_sql('o')} || ' .' AS line FROM ({TRIPLES})")
 def _(t):
     path = S.new_path(t.spark, "triples")
-    A.repair_triples(t.facts).select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("line")).write.mode("overwrite").text(path)
+    A.triple_lines(A.repair_triples(t.facts)).write.mode("overwrite").text(path)
     return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -248,6 +253,7 @@ def _(t):
 
 
 ENDPOINT = "CASE WHEN distribution_name IS NOT NULL THEN '/simple/' || distribution_name || '/' END"
+RETRIEVED = "CASE WHEN distribution_name IS NOT NULL THEN retrieved_at END"
 FAILED = "CASE WHEN status IN ('network_error', 'invalid_response') THEN status END"
 LISTED = "CASE WHEN status = 'resolved' THEN coalesce((SELECT string_agg(version || '|' || coalesce(requires_python, '') || '|' || python_compatibility, ';' ORDER BY rank) FROM g4 WHERE g4.distribution_name = k3.distribution_name), '') ELSE '' END"
 
@@ -256,7 +262,7 @@ def _flat(column: str = "candidate_versions"):
     return F.array_join(F.transform(column, lambda c: F.concat_ws("|", c.version, F.coalesce(c.requires_python, F.lit("")), c.python_compatibility)), ";")
 
 
-@query("pypi_provenance_projection", f"SELECT import_name, distribution_name, status, '{PYTHON}' AS python_version, {ENDPOINT} AS source_endpoint, {LISTED} AS candidates, {FAILED} AS error FROM k3")
+@query("pypi_provenance_projection", f"SELECT import_name, distribution_name, status, '{PYTHON}' AS python_version, {ENDPOINT} AS source_endpoint, {LISTED} AS candidates, {FAILED} AS error, {RETRIEVED} AS retrieved_at FROM k3")
 def _(t):
     return V.provenance(t.results).withColumn("candidates", _flat()).drop("candidate_versions")
 
@@ -385,7 +391,7 @@ def _(t):
 
 @query("dependency_file_counts", "SELECT count(*) AS attempted, count(content) AS fetched FROM p3")
 def _(t):
-    return C.dependency_file_counts(t.records)
+    return C.dependency_file_counts(C.join_dependency_files(C.join_repository(t.dataset, t.f_repositories), t.f_snapshot))
 
 
 @query("reason_share", "SELECT error_type, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM f_executions GROUP BY 1")
@@ -395,7 +401,7 @@ def _(t):
 
 @query("release_grouping", "SELECT * FROM g1")
 def _(t):
-    return V.release_grouping(t.f_releases)
+    return V.release_grouping(t.f_releases, PYTHON)
 
 
 @query("retrieval_status_counts", "SELECT status, count(*) AS count FROM k3 GROUP BY 1")
@@ -403,9 +409,10 @@ def _(t):
     return t.results.groupBy("status").agg(F.count("*").alias("count"))
 
 
-@query("explanation_outcomes", "SELECT context_status, status, failure_category, count(*) AS count, CAST(sum(attempts) AS BIGINT) AS attempts FROM oc JOIN ctx USING (notebook_execution_id) GROUP BY 1, 2, 3")
+@query("explanation_outcomes", "SELECT 'model_a' AS llm_model, 'few_shot' AS prompt_strategy, 'v1' AS prompt_version, context_status, status, failure_category, count(*) AS count, CAST(sum(attempts) AS BIGINT) AS attempts FROM oc JOIN ctx USING (notebook_execution_id) GROUP BY ALL")
 def _(t):
-    return Q.explanation_outcomes(t.outcomes.join(t.records.select("notebook_execution_id", "context_status"), "notebook_execution_id"), "context_status")
+    rows = t.outcomes.join(t.records.select("notebook_execution_id", "context_status"), "notebook_execution_id").select("*", Q.llm_metadata(*MODEL).alias("llm")).select("*", "llm.*")
+    return Q.explanation_outcomes(rows, "llm_model", "prompt_strategy", "prompt_version", "context_status")
 
 
 @query("latency_token_profile", "SELECT round(avg(latency_ms), 6) AS mean_ms, quantile_cont(latency_ms, 0.5) AS median_ms, max(latency_ms) AS max_ms, CAST(sum(tokens_input) AS BIGINT) AS tokens_input, CAST(sum(tokens_output) AS BIGINT) AS tokens_output FROM oc")
@@ -416,9 +423,10 @@ def _(t):
 RATE = "count(*) AS attempted, count(*) FILTER (WHERE outcome = 'fixed') AS fixed, round(count(*) FILTER (WHERE outcome = 'fixed') / count(*), 6) AS rate"
 
 
-@query("repair_success_rate", f"SELECT llm_model, prompt_strategy, round, run_id, {RATE} FROM f_attempts GROUP BY 1, 2, 3, 4")
+@query("repair_success_rate", f"SELECT subtype, llm_model, prompt_strategy, round, run_id, {RATE} FROM f_attempts LEFT JOIN ds USING (notebook_execution_id) GROUP BY 1, 2, 3, 4, 5")
 def _(t):
-    return A.success_rate(t.f_attempts, "llm_model", "prompt_strategy", "round", "run_id")
+    rows = t.f_attempts.join(t.dataset.select("notebook_execution_id", "subtype"), "notebook_execution_id", "left")
+    return A.success_rate(rows, "subtype", "llm_model", "prompt_strategy", "round", "run_id")
 
 
 @query("ablation_rounds", """SELECT one_round, all_rounds, count(*) AS failures FROM (SELECT arg_max(outcome, id) FILTER (WHERE round = 1) AS one_round, arg_max(outcome, round) AS all_rounds FROM f_attempts GROUP BY notebook_execution_id) GROUP BY 1, 2""")
@@ -687,11 +695,11 @@ def _(t):
     return t.judged.where("excluded is not null").select("distribution_name", "version", F.col("excluded").alias("reason"))
 
 
-@query("python_compatibility", """SELECT distribution_name, version, python, CASE WHEN python IS NULL OR requires_python IS NULL THEN 'unknown' WHEN requires_python = '>=3.10' THEN CASE WHEN python IN ('3.10', '3.13') THEN 'compatible' ELSE 'incompatible' END
+@query("python_compatibility", """SELECT distribution_name, version, python, CASE WHEN python IS NULL OR requires_python IS NULL THEN 'unknown' WHEN requires_python = '>=3.10' THEN CASE WHEN python IN ('3.10', '3.13') THEN 'compatible' ELSE 'incompatible' END WHEN requires_python = '>=3.12' THEN CASE python WHEN '3.13' THEN 'compatible' ELSE 'incompatible' END
   ELSE CASE WHEN python IN ('3.8', '3.10') THEN 'compatible' ELSE 'incompatible' END END AS compatibility FROM g1 CROSS JOIN (VALUES ('3.7'), ('3.8'), ('3.10'), ('3.13'), (NULL)) v(python)""")
 def _(t):
     pythons = F.explode(F.array(*[F.lit(v).cast("string") for v in ("3.7", "3.8", "3.10", "3.13", None)])).alias("python")
-    rows = V.release_grouping(t.f_releases).select("distribution_name", "version", "requires_python", pythons)
+    rows = V.release_grouping(t.f_releases, PYTHON).select("distribution_name", "version", "requires_python", pythons)
     return rows.select("distribution_name", "version", "python", python_compatibility(F.col("requires_python"), F.col("python")).alias("compatibility"))
 
 
@@ -711,7 +719,7 @@ def _(t):
     return t.results.select("import_name", "distribution_name", "status")
 
 
-@query("retrieval_results", f"SELECT status, import_name, distribution_name, CASE WHEN http_status IN (200, 404) THEN http_status = 200 END AS package_found, '{PYTHON}' AS python_version, CASE WHEN status IN ('resolved', 'no_compatible_release') THEN latest END AS latest_version, {LISTED} AS candidates, {ENDPOINT} AS source_endpoint, {FAILED} AS error FROM k3")
+@query("retrieval_results", f"SELECT status, import_name, distribution_name, CASE WHEN http_status IN (200, 404) THEN http_status = 200 END AS package_found, '{PYTHON}' AS python_version, CASE WHEN status IN ('resolved', 'no_compatible_release') THEN latest END AS latest_version, {LISTED} AS candidates, {ENDPOINT} AS source_endpoint, {FAILED} AS error, {RETRIEVED} AS retrieved_at FROM k3")
 def _(t):
     return t.results.withColumn("candidates", _flat()).drop("candidate_versions")
 
@@ -746,9 +754,9 @@ def _(t):
     return t.facts
 
 
-@query("second_round_worklist", "SELECT notebook_execution_id, id FROM f_attempts a WHERE round = 1 AND outcome = 'still_failing' AND NOT EXISTS (SELECT 1 FROM f_attempts b WHERE b.round = 2 AND b.notebook_execution_id = a.notebook_execution_id AND b.id % 7 <> 0)")
+@query("second_round_worklist", "SELECT notebook_execution_id, id, d.error_type AS new_error_type, d.error_message AS new_error_message FROM f_attempts a LEFT JOIN ds d USING (notebook_execution_id) WHERE round = 1 AND outcome = 'still_failing' AND NOT EXISTS (SELECT 1 FROM f_attempts b WHERE b.round = 2 AND b.notebook_execution_id = a.notebook_execution_id AND b.id % 7 <> 0)")
 def _(t):
-    return A.second_round_worklist(t.f_attempts.where("round = 1 or id % 7 <> 0"))
+    return A.second_round_worklist(t.facts.where("round = 1 or id % 7 <> 0"))
 
 
 @query("outcome_domain_check", "SELECT id, outcome FROM f_attempts WHERE outcome IS NULL OR outcome NOT IN ('fixed', 'still_failing', 'apply_error')")
@@ -766,6 +774,7 @@ def _(t):
     return A.repair_history(A.repair_triples(t.facts))
 
 
-@query("model_strategy_comparison", "SELECT llm_model, round, count(*) FILTER (WHERE prompt_strategy = 'zero_shot' AND outcome = 'fixed') AS fixed_zero_shot, count(*) FILTER (WHERE prompt_strategy = 'few_shot' AND outcome = 'fixed') AS fixed_few_shot, count(*) AS attempted FROM f_attempts GROUP BY 1, 2")
+@query("model_strategy_comparison", "SELECT run_id, llm_model, round, count(*) FILTER (WHERE prompt_strategy = 'zero_shot' AND outcome = 'fixed') AS fixed_zero_shot, count(*) FILTER (WHERE prompt_strategy = 'few_shot' AND outcome = 'fixed') AS fixed_few_shot, count(*) AS attempted FROM (SELECT run_id, llm_model, round, prompt_strategy, outcome FROM f_attempts UNION ALL SELECT 'external', 'model_x', round, prompt_strategy, outcome FROM f_attempts WHERE id % 3 = 0) GROUP BY 1, 2, 3")
 def _(t):
-    return A.model_strategy_comparison(t.f_attempts)
+    external = t.f_attempts.where("id % 3 = 0").withColumns({"run_id": F.lit("external"), "llm_model": F.lit("model_x")})
+    return A.model_strategy_comparison(t.f_attempts, external)

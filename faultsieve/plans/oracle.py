@@ -59,7 +59,7 @@ SOURCES = {
   JOIN f_snapshot s ON s.repository = s1.repository AND s.path = s1.notebook_name AND s.ref = CASE k.kind WHEN 'commit' THEN s1.commit_ref ELSE k.kind END GROUP BY 1""",
     "s3": """SELECT s1.*, s2.content, s2.ref FROM s1 LEFT JOIN s2 USING (notebook_execution_id)""",
     "p1": """SELECT notebook_execution_id, repository, commit_ref, field_no, unnest(string_split(paths, ';')) AS raw, unnest(range(len(string_split(paths, ';')))) AS place FROM s1,
-  LATERAL (SELECT 0 AS field_no, requirements AS paths UNION ALL SELECT 1, setups UNION ALL SELECT 2, pipfiles UNION ALL SELECT 3, pipfile_locks) f WHERE paths IS NOT NULL""",
+  LATERAL (SELECT 0 AS field_no, requirements AS paths UNION ALL SELECT 1, setups UNION ALL SELECT 2, pipfiles UNION ALL SELECT 3, pipfile_locks) f WHERE paths IS NOT NULL AND repository <> ''""",
     "p2": """SELECT *, trim(raw) AS path, row_number() OVER (PARTITION BY notebook_execution_id, field_no ORDER BY place) - 1 AS pos FROM p1 WHERE trim(raw) <> ''""",
     "p3": """SELECT p2.notebook_execution_id, p2.field_no, p2.pos, p2.path, arg_min(s.ref, k.rank) AS ref, arg_min(s.content, k.rank) AS content FROM p2 CROSS JOIN refs k
   LEFT JOIN f_snapshot s ON s.repository = p2.repository AND s.path = p2.path AND s.ref = CASE k.kind WHEN 'commit' THEN p2.commit_ref ELSE k.kind END GROUP BY 1, 2, 3, 4""",
@@ -91,19 +91,19 @@ RESPONSES = {
   max(attempt) AS attempts, arg_max(raw_response, attempt) FILTER (WHERE kind = 'reply') AS raw, arg_max_null(tokens_input, attempt) AS tokens_input, arg_max_null(tokens_output, attempt) AS tokens_output, CAST(sum(latency_ms) AS BIGINT) AS latency_ms,
   arg_max(payload, attempt) AS payload FROM a8 WHERE attempt <= stop_at GROUP BY 1""",
 }
-VERSION_KEY = """SELECT *, CAST(split_part(version, '.', 1) AS BIGINT) AS v1, CAST(regexp_extract(version, '^\\d+\\.(\\d+)', 1) AS BIGINT) AS v2, CASE WHEN regexp_matches(version, '(b\\d|rc\\d|dev)') THEN 0 ELSE 1 END AS final,
-  CASE WHEN contains(version, 'post') THEN 1 ELSE -1 END AS post FROM g1"""
+VERSION_KEY = """SELECT *, CAST(split_part(version, '.', 1) AS BIGINT) AS v1, CAST(regexp_extract(version, '^\\d+\\.(\\d+)', 1) AS BIGINT) AS v2, CASE WHEN contains(version, 'rc') THEN 3 WHEN regexp_matches(version, 'b\\d') THEN 2 WHEN contains(version, 'dev') AND NOT contains(version, 'post') THEN 0 ELSE 4 END AS phase,
+  coalesce(TRY_CAST(regexp_extract(version, '(?:b|rc)(\\d+)', 1) AS BIGINT), 0) AS number, CASE WHEN contains(version, 'post') THEN 1 ELSE -1 END AS post, coalesce(TRY_CAST(regexp_extract(version, 'dev(\\d+)', 1) AS BIGINT), 99) AS dev FROM g1"""
 PYTHON = "3.11"
 RELEASES = {
-    "g1": "SELECT distribution_name, version, bool_and(yanked) AS yanked, max(requires_python) AS requires_python, max(yanked_reason) FILTER (WHERE yanked) AS yanked_reason, count(*) AS files FROM f_releases GROUP BY 1, 2",
+    "g1": "SELECT distribution_name, version, bool_and(yanked) AS yanked, arg_min_null(requires_python, struct_pack(y := yanked, i := coalesce(requires_python = '>=3.12', false), n := requires_python IS NULL, f := filename)) AS requires_python, max(yanked_reason) FILTER (WHERE yanked) AS yanked_reason, count(*) AS files FROM f_releases GROUP BY 1, 2",
     "g2": VERSION_KEY,
-    # 3.11 satisfies both requirements that occur
-    "g3": """SELECT *, CASE WHEN yanked THEN 'yanked' WHEN final = 0 THEN 'pre-release' END AS excluded, CASE WHEN requires_python IS NULL THEN 'unknown' ELSE 'compatible' END AS python_compatibility,
-  row_number() OVER (PARTITION BY distribution_name ORDER BY v1 DESC, v2 DESC, final DESC, post DESC, version DESC) AS position FROM g2""",
+    # of the requirements that occur, 3.11 is against >=3.12 alone
+    "g3": """SELECT *, CASE WHEN yanked THEN 'yanked' WHEN phase < 4 OR dev < 99 THEN 'pre-release' WHEN requires_python = '>=3.12' THEN 'incompatible requires-python' END AS excluded, CASE WHEN requires_python IS NULL THEN 'unknown' WHEN requires_python = '>=3.12' THEN 'incompatible' ELSE 'compatible' END AS python_compatibility,
+  row_number() OVER (PARTITION BY distribution_name ORDER BY v1 DESC, v2 DESC, phase DESC, number DESC, post DESC, dev DESC, version DESC) AS position FROM g2""",
     "g4": "SELECT *, row_number() OVER (PARTITION BY distribution_name ORDER BY position) AS rank FROM g3 WHERE excluded IS NULL QUALIFY rank <= 5",
     "names": "SELECT * FROM (VALUES ('sklearn', 'scikit-learn'), ('umap', 'umap-learn'), ('pkg_resources', 'setuptools'), ('scipy', 'scipy'), ('numpy', 'numpy'), ('pandas', 'pandas'), ('Bio', 'biopython')) n(import_name, distribution_name)",
     "k1": "SELECT DISTINCT failing_module AS import_name FROM ds",
-    "k2": """SELECT k1.import_name, n.distribution_name, l.http_status, l.parse_ok, (SELECT count(*) FROM g4 WHERE g4.distribution_name = n.distribution_name) AS found, (SELECT arg_min(version, position) FROM g3 WHERE g3.distribution_name = n.distribution_name) AS latest
+    "k2": """SELECT k1.import_name, n.distribution_name, l.http_status, l.parse_ok, l.retrieved_at, (SELECT count(*) FROM g4 WHERE g4.distribution_name = n.distribution_name) AS found, (SELECT arg_min(version, position) FROM g3 WHERE g3.distribution_name = n.distribution_name) AS latest
   FROM k1 LEFT JOIN names n USING (import_name) LEFT JOIN f_lookups l ON l.distribution_name = n.distribution_name""",
     "k3": """SELECT *, CASE WHEN distribution_name IS NULL THEN 'mapping_unknown' WHEN http_status = 404 THEN 'package_not_found' WHEN http_status IS NULL OR http_status <> 200 THEN 'network_error' WHEN NOT parse_ok THEN 'invalid_response'
   WHEN found = 0 THEN 'no_compatible_release' ELSE 'resolved' END AS status FROM k2""",

@@ -32,7 +32,7 @@ SELECT event_id AS id, user_id AS notebook_id,
     WHEN 1 THEN 'ModuleNotFoundError: No module named ' || chr(39) || 'pandas' || chr(39) ELSE 'NameError: x' END AS msg
 FROM (SELECT event_id, user_id, {MODULE_CASE} AS m FROM events WHERE event_type = 'click' AND user_id % 4 <> 3) b""",
     "f_repositories": """
-SELECT DISTINCT user_id % 40 AS id, 'org/repo' || CAST(user_id % 40 AS VARCHAR(20)) AS repository,
+SELECT DISTINCT user_id % 40 AS id, CASE WHEN user_id % 40 = 13 THEN '' WHEN user_id % 40 = 14 THEN NULL ELSE 'org/repo' || CAST(user_id % 40 AS VARCHAR(20)) END AS repository,
   CASE WHEN (user_id % 40) % 5 = 0 THEN NULL ELSE 'c' || CAST(user_id % 40 AS VARCHAR(20)) END AS commit_ref,
   CASE WHEN (user_id % 40) % 4 = 0 THEN NULL ELSE 'requirements.txt; env/dev.txt ;' END AS requirements,
   CASE WHEN (user_id % 40) % 3 = 0 THEN 'setup.py' ELSE NULL END AS setups,
@@ -63,14 +63,14 @@ FROM (SELECT event_id, a, (event_id + a) % 12 AS k, '{"summary":"s {x}","root_ca
     "f_releases": """
 SELECT CASE p_partkey % 5 WHEN 0 THEN 'scikit-learn' WHEN 1 THEN 'setuptools' WHEN 2 THEN 'scipy' WHEN 3 THEN 'numpy' ELSE 'umap-learn' END AS distribution_name,
   CAST(p_partkey AS VARCHAR(20)) || '.whl' AS filename,
-  CAST(p_size % 3 AS VARCHAR(20)) || '.' || CAST(p_partkey % 23 AS VARCHAR(20)) || CASE p_partkey % 9 WHEN 0 THEN 'b1' WHEN 1 THEN '.dev2' WHEN 2 THEN '.post1' WHEN 3 THEN 'rc1' ELSE '.0' END AS version,
-  CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '>=3.8,<3.12' ELSE '>=3.10' END AS requires_python,
+  CAST(p_size % 3 AS VARCHAR(20)) || '.' || CAST(p_partkey % 23 AS VARCHAR(20)) || CASE p_partkey % 9 WHEN 0 THEN 'b1' WHEN 1 THEN '.dev2' WHEN 2 THEN '.post1' WHEN 3 THEN 'rc2' WHEN 4 THEN 'b10' WHEN 5 THEN '.post1.dev3' WHEN 6 THEN 'rc10' ELSE '.0' END AS version,
+  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '>=3.8,<3.12' WHEN 2 THEN '>=3.12' ELSE '>=3.10' END AS requires_python,
   p_partkey % 8 = 0 AS yanked, CASE WHEN p_partkey % 8 = 0 THEN 'security' ELSE NULL END AS yanked_reason
 FROM part""",
     "f_lookups": """
-SELECT 'scikit-learn' AS distribution_name, 200 AS http_status, true AS parse_ok
+SELECT *, '2025-03-01T12:00:00Z' AS retrieved_at FROM (SELECT 'scikit-learn' AS distribution_name, 200 AS http_status, true AS parse_ok
 UNION ALL SELECT 'setuptools', 200, true UNION ALL SELECT 'scipy', 200, true UNION ALL SELECT 'numpy', 200, false
-UNION ALL SELECT 'umap-learn', 503, false UNION ALL SELECT 'biopython', 404, false""",
+UNION ALL SELECT 'umap-learn', 503, false UNION ALL SELECT 'biopython', 404, false) t""",
     "f_attempts": """
 SELECT event_id * 10 + r AS id, event_id AS notebook_execution_id, r AS round,
   CASE event_id % 4 WHEN 0 THEN 'install' WHEN 1 THEN 'pin_version' WHEN 2 THEN 'none' ELSE 'install' END AS action,

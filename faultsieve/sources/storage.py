@@ -16,10 +16,17 @@ CSV_SCHEMA = (
 _OWN: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; without one, a folder of this machine in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a folder of this machine where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def scan_dependency_errors(executions: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ CHOSEN = [
     "scan_dependency_errors", "scan_csv_dataset", "scan_jsonl_records", "classify_subtype", "classify_refined", "quarantine_bad_rows", "join_legacy_hint", "join_source_snapshot", "join_dependency_files",
     "legacy_coverage", "split_manifest", "top_failing_modules", "validation_sample_projection", "prompt_context", "template_values", "render_prompts", "parse_and_validate", "reduce_attempts",
     "retrieval_results", "retrieval_context_text", "attempt_fact_table", "repair_triples", "label_agreement", "dataset_order", "sink_triples",
+    "version_order", "latest_version", "release_grouping", "excluded_releases", "python_compatibility", "second_round_worklist", "repair_success_rate", "model_strategy_comparison", "explanation_outcomes", "dependency_file_counts",
 ]
 
 

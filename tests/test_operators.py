@@ -159,3 +159,39 @@ def test_positions_and_one_row(spark):
         assert {r.id: r.position for r in got if r.k == k and r.id is not None} == {i: n for n, i in enumerate(own, 1)}
     assert all(r.position is None for r in got if r.id is None)
     assert one_row(spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "y int")).collect() == [(1, 2)]
+
+
+def test_blank_repositories_have_no_files(spark):
+    rows = spark.createDataFrame([(1, "", "nb", "a.txt"), (2, None, "nb", "a.txt"), (3, "r", "nb", "a.txt")], "notebook_execution_id long, repository string, notebook_name string, requirements string")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("commit_ref", "setups", "pipfiles", "pipfile_locks")})
+    shots = spark.createDataFrame([("r", "main", "a.txt", "A"), ("", "main", "a.txt", "B")], "repository string, ref string, path string, content string")
+    assert [(f.notebook_execution_id, f.fetched) for f in C.join_dependency_files(rows, shots).collect()] == [(3, True)]
+
+
+def test_best_file_of_a_release(spark):
+    files = [("d", "a", "1.0", ">=3.8,<3.12", False, None), ("d", "b", "1.0", ">=3.10", False, None), ("d", "c", "1.0", ">=3.13", True, "bad"), ("d", "d", "1.1", ">=3.13", False, None), ("d", "e", "1.1", None, True, "bad")]
+    df = spark.createDataFrame(files, "distribution_name string, filename string, version string, requires_python string, yanked boolean, yanked_reason string")
+    got = {r.version: (r.requires_python, r.excluded) for r in V.judged_releases(V.release_grouping(df, "3.13"), "3.13").collect()}
+    assert got == {"1.0": (">=3.10", None), "1.1": (">=3.13", None)}
+
+
+def test_triples_as_lines(spark):
+    facts = spark.createDataFrame([(7, 3, "m", 'pip\n"x"\\\t', "fixed", None, "gemma2:9b x")], "id long, notebook_execution_id long, failing_module string, command string, outcome string, new_error_type string, llm_model string")
+    lines = [r.line for r in A.triple_lines(A.repair_triples(facts.withColumn("created_at", F.lit("2025-01-02 03:04:05").cast("timestamp")))).collect()]
+    assert len(lines) == 8 and not any("\n" in x or "\t" in x or "\r" in x for x in lines)
+    assert all(x.startswith("<urn:notebook-repair:") and x.endswith(" .") for x in lines)
+    assert any('"pip\\n\\"x\\"\\\\\\t"' in x for x in lines)
+    assert any(x.endswith('<urn:notebook-repair:gemma2%3A9b%20x> .') or x.endswith('<urn:notebook-repair:gemma2%3A9b+x> .') for x in lines)
+    assert any(x.endswith('"2025-01-02T03:04:05Z"^^<http://www.w3.org/2001/XMLSchema#dateTime> .') for x in lines)
+
+
+def test_shared_folder_of_a_cluster(spark, monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})()
+
+    with pytest.raises(ValueError):
+        S.shared_dir(Session())
