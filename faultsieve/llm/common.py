@@ -1,4 +1,4 @@
-"""What the operators share: tables that cut lineage, salted joins, and word counts."""
+"""What the operators share: tables that cut lineage, running sums in chunks, and word counts."""
 
 from __future__ import annotations
 
@@ -20,10 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests in local mode) a folder of this machine is set.
+    Only where the session names none (tests in local mode) a folder of this machine is set; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

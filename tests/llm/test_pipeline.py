@@ -13,7 +13,7 @@ import corpus_pipeline  # noqa: E402
 from faultsieve.llm import quality_gam as G  # noqa: E402
 from faultsieve.llm import queries as Q  # noqa: E402
 
-from .test_duplicates import brute_components, brute_lines, brute_print  # noqa: E402
+from .test_duplicates import brute_lines, brute_similar  # noqa: E402
 from .test_mix import brute_targets  # noqa: E402
 from .test_models import junk, prose  # noqa: E402
 
@@ -49,7 +49,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     kept = {i: t for i, t in texts.items() if model.score(np.array([G.features(t)]))[0] >= 0.5}
     assert {i for i in range(150) if i % 5 == 0}.isdisjoint(kept) and {i for i in range(150) if i % 5} <= set(kept)
     kept = brute_lines({i: t or "" for i, t in kept.items()})
-    component = brute_components({i: brute_print(t) for i, t in kept.items()})
+    component, _ = brute_similar(kept)
     kept = {i: t for i, t in kept.items() if component[i] == i}
     source, size = {r[0]: r[3] for r in rows}, {i: len(t.encode().split()) for i, t in kept.items()}
     by = defaultdict(int)
