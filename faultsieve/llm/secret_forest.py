@@ -155,8 +155,11 @@ def plant(docs: DataFrame, salt: int = 0, limit: int | None = None, path: str =
     limit = limit or PLANTED
     draw = lambda k, m: F.pmod(F.xxhash64("u", F.lit(k)), F.lit(m)).cast("int")
     base = F.sha2(F.concat_ws("|", F.lit(salt), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))), 256)
-    some = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("source"), base.alias("base")).orderBy("base").limit(limit)
-    times = min(MOST_PLANTED, max(1, limit // max(1, docs.count())))
+    n = docs.count()
+    # of many documents about twice the limit are looked at, by hash, so that few texts are sorted
+    few = docs.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, 2 * limit / max(1, n)) * (1 << 30)))
+    some = few.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("source"), base.alias("base")).orderBy("base").limit(limit)
+    times = min(MOST_PLANTED, max(1, limit // max(1, n)))
     some = some.withColumn("u", F.explode(F.transform(F.sequence(F.lit(1), F.lit(times)), lambda i: F.sha2(F.concat_ws("|", "base", i.cast("string")), 512)))).drop("base")
     some = some.withColumns({"ws": F.split("text", r"[\x20\x09-\x0D]+"), "doc_id": F.xxhash64("u")})
     mixed = F.base64(F.unhex(F.col("u")))
