@@ -24,20 +24,23 @@ def cell_source(traceback: Column) -> Column:
     return F.when(traceback.rlike(CELL_SOURCE), strip(F.regexp_extract(traceback, CELL_SOURCE, 1)))
 
 
-def join_legacy_hint(data: DataFrame, legacy: DataFrame) -> DataFrame:
-    """Adds legacy_traceback_hint (struct or null) and legacy_hint_rejected.
+def legacy_hints(data: DataFrame, legacy: DataFrame) -> DataFrame:
+    """notebook_execution_id, legacy_traceback_hint (struct or null) and legacy_hint_rejected of rows whose notebook has a candidate.
 
     Candidates are joined on the notebook; only ids are aggregated, so texts of rows that lose are not shuffled again.
     """
     keys = data.where(filled(F.col("failing_module")) != "").select("notebook_execution_id", "notebook_id", "error_type", "error_message", "failing_module")
     found = keys.join(legacy.select(F.col("id").alias("legacy_id"), "notebook_id", "msg"), "notebook_id").where(F.contains("msg", "failing_module"))
     accepted = legacy_matches(F.col("error_type"), F.col("error_message"), F.col("failing_module"), F.col("msg"))
-    best = found.groupBy("notebook_execution_id").agg(F.min(F.when(accepted, F.col("legacy_id"))).alias("legacy_id"))
+    best = found.groupBy("notebook_execution_id").agg(F.min(F.when(accepted, F.struct("legacy_id", "failing_module"))).alias("best")).select("notebook_execution_id", "best.legacy_id", "best.failing_module")
     hit = best.join(legacy.select(F.col("id").alias("legacy_id"), "msg"), "legacy_id", "left")
-    out = data.join(hit.withColumn("_seen", F.lit(True)), "notebook_execution_id", "left")
     hint = F.when(F.col("legacy_id").isNotNull(), F.struct(F.col("failing_module").alias("matched_module"), cell_source(F.col("msg")).alias("cell_source"), F.substring("msg", 1, STORED_CHARS).alias("raw_traceback")))
-    rejected = F.coalesce("_seen", F.lit(False)) & F.col("legacy_id").isNull()
-    return out.withColumns({"legacy_traceback_hint": hint, "legacy_hint_rejected": rejected}).drop("_seen", "msg", "legacy_id")
+    return hit.select("notebook_execution_id", hint.alias("legacy_traceback_hint"), F.col("legacy_id").isNull().alias("legacy_hint_rejected"))
+
+
+def join_legacy_hint(data: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Adds legacy_traceback_hint (struct or null) and legacy_hint_rejected."""
+    return data.join(legacy_hints(data, legacy), "notebook_execution_id", "left").withColumn("legacy_hint_rejected", F.coalesce("legacy_hint_rejected", F.lit(False)))
 
 
 def join_repository(data: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -56,10 +59,15 @@ def _first_present(wanted: DataFrame, snapshot: DataFrame, keys: list[str]) -> D
     return found.groupBy(*keys).agg(F.min_by(F.struct("ref", "content"), "rank").alias("found")).select(*keys, "found.ref", "found.content")
 
 
+def source_snapshots(data: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """notebook_execution_id, ref and content of the notebook's file, of rows with repository columns whose file is there."""
+    wanted = data.where(filled(F.col("repository")) != "").select("notebook_execution_id", "repository", F.col("notebook_name").alias("path"), "commit_ref")
+    return _first_present(wanted, snapshot, ["notebook_execution_id"])
+
+
 def join_source_snapshot(data: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Adds ref and content of the notebook's file to rows with repository columns."""
-    wanted = data.where(filled(F.col("repository")) != "").select("notebook_execution_id", "repository", F.col("notebook_name").alias("path"), "commit_ref")
-    return data.join(_first_present(wanted, snapshot, ["notebook_execution_id"]), "notebook_execution_id", "left")
+    return data.join(source_snapshots(data, snapshot), "notebook_execution_id", "left")
 
 
 def dependency_paths(data: DataFrame) -> DataFrame:
@@ -115,14 +123,17 @@ def context_status(remote: Column, legacy: Column, attempted: Column | bool) ->
 
 
 def enrich(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot: DataFrame, fetch: bool = True) -> DataFrame:
-    """The nested record of each classified failure."""
-    out = join_legacy_hint(rows, legacy)
+    """The nested record of each classified failure.
+
+    Hints, sources and files are looked up from the rows and their repositories alone, then joined by the execution.
+    """
     if fetch:
-        out = join_source_snapshot(join_repository(out, repositories), snapshot)
-        files = collect_files(join_dependency_files(out, snapshot))
-        out = once(out, "remote", notebook_context(F.col("content"), F.col("error_cell_index"))).join(files, "notebook_execution_id", "left")
+        own = join_repository(rows, repositories)
+        files = collect_files(join_dependency_files(own, snapshot))
+        out = join_source_snapshot(own, snapshot).join(files, "notebook_execution_id", "left").join(legacy_hints(rows, legacy), "notebook_execution_id", "left")
+        out = once(out.withColumn("legacy_hint_rejected", F.coalesce("legacy_hint_rejected", F.lit(False))), "remote", notebook_context(F.col("content"), F.col("error_cell_index")))
     else:
-        out = out.withColumns({"remote": F.lit(None).cast("struct<failing_cell_source:string,import_cells:array<struct<cell_index:bigint,source:string>>,surrounding_cells:array<struct<cell_index:bigint,source:string>>>"), "dependency_files": F.lit(None).cast(FILES)})
+        out = join_legacy_hint(rows, legacy).withColumns({"remote": F.lit(None).cast("struct<failing_cell_source:string,import_cells:array<struct<cell_index:bigint,source:string>>,surrounding_cells:array<struct<cell_index:bigint,source:string>>>"), "dependency_files": F.lit(None).cast(FILES)})
     none = F.array().cast("array<struct<cell_index:bigint,source:string>>")
     files = F.coalesce("dependency_files", F.array().cast(FILES))
     out = out.withColumn("context_status", context_status(F.col("remote").isNotNull(), F.col("legacy_traceback_hint").isNotNull(), fetch))
