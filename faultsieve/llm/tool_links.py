@@ -130,9 +130,9 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     calls, results = parse(messages)
     # a null field is left out of the JSON, a value is not, so no two different calls have the same text
     whole = F.md5(F.to_json(F.struct("conv_id", "turn", "at", "call_id", "name", "arguments")))
-    calls = materialize(calls.withColumn("key", whole).withColumn("args", F.expr("try_parse_json(arguments)")).dropDuplicates(["key"]), "tool-calls")
-    is_object = F.coalesce(F.expr("schema_of_variant(args) like 'OBJECT%'"), F.lit(False))
-    fields = calls.where(is_object).select("conv_id", "key", "name", F.explode(F.expr("from_json(arguments, 'map<string,variant>')")).alias("property", "value"))
+    is_object = F.coalesce(F.expr("schema_of_variant(try_parse_json(arguments)) like 'OBJECT%'"), F.lit(False))
+    calls = materialize(calls.withColumn("key", whole).dropDuplicates(["key"]).withColumn("is_object", is_object), "tool-calls")
+    fields = calls.where("is_object").select("conv_id", "key", "name", F.explode(F.expr("from_json(arguments, 'map<string,variant>')")).alias("property", "value"))
     fields = fields.select("conv_id", "key", "name", "property", F.expr("schema_of_variant(value)").alias("kind"), F.expr("try_variant_get(value, '$', 'string')").alias("text"))
 
     # what each call needs: "$ID" names the first call of that id in the conversation
@@ -150,10 +150,10 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     seen = fields.withColumn("kind", kind).join(known.withColumnRenamed("tool", "name"), "name", "left_semi").join(rule, ["name", "property"], "left")
     fits = (F.col("kind") == F.col("type")) | ((F.col("type") == "number") & (F.col("kind") == "integer"))
     wrong = seen.where(F.col("type").isNull() | ~F.coalesce(fits, F.lit(False))).select("key", F.concat(F.when(F.col("type").isNull(), "unknown:").otherwise("type:"), "property").alias("error"))
-    due = calls.where(is_object).select("key", "name").join(rule.where("required"), "name").select("key", "property")
+    due = calls.where("is_object").select("key", "name").join(rule.where("required"), "name").select("key", "property")
     missing = due.join(fields.select("key", "property"), ["key", "property"], "left_anti").select("key", F.concat(F.lit("missing:"), "property").alias("error"))
     no_tool = calls.join(known, calls.name == known.tool, "left_anti").select("key", F.lit("tool").alias("error"))
-    no_json = calls.where(~is_object).select("key", F.lit("json").alias("error"))
+    no_json = calls.where("not is_object").select("key", F.lit("json").alias("error"))
     errors = wrong.unionByName(missing).unionByName(no_tool).unionByName(no_json).groupBy("key").agg(F.collect_set("error").alias("errors"))
 
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("result"))
@@ -167,7 +167,7 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
     text = lambda c: F.when(c.isNull(), "null").otherwise(quoted(c))
     json = F.concat(
-        F.lit('{"arguments":'), F.coalesce(F.when(is_object, F.expr("to_json(args)")), text(F.col("arguments"))), F.lit(',"id":'), text(F.col("call_id")),
+        F.lit('{"arguments":'), F.coalesce(F.when(F.col("is_object"), F.expr("to_json(try_parse_json(arguments))")), text(F.col("arguments"))), F.lit(',"id":'), text(F.col("call_id")),
         F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), text(F.col("result.content")), F.lit("}"),
     )
     late = F.struct(F.coalesce(F.col("place.seq"), F.lit((1 << 62))).alias("a"), F.col("place.step").alias("b"), seq.alias("c"), F.col("key").alias("d"))
