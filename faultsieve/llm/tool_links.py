@@ -140,7 +140,13 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     refs = fields.where("kind = 'STRING' and text like '$%'").select("conv_id", "key", F.substring("text", 2, 1 << 30).alias("call_id")).distinct()
     needs = refs.join(named, refs.conv_id.eqNullSafe(named.conv_id) & (refs.call_id == named.call_id)).select(refs.conv_id, "key", F.col("first.key").alias("on"))
     seq = F.col("turn") * (1 << 20) + F.col("at")
-    placed = places(calls.select("key", F.coalesce(seq, F.lit(-1)).alias("seq")), needs)
+    placed = places(calls.select("key", F.coalesce(seq, F.lit(-1)).alias("seq")), needs).withColumnRenamed("key", "_p")
+
+    # positions are counted over keys and places alone, so that texts are not sorted for them
+    late = F.struct(F.coalesce(F.col("place.seq"), F.lit((1 << 62))).alias("a"), F.col("place.step").alias("b"), seq.alias("c"), F.col("key").alias("d"))
+    turns = calls.select("key", "conv_id", "turn", "at").join(placed, F.col("key") == F.col("_p"), "left").select("key", "conv_id", late.alias("_order"), F.col("place").isNull().alias("cycle"))
+    turns = turns.select(F.col("key").alias("_p"), F.coalesce("conv_id", F.lit(-(1 << 62))).alias("_conv"), F.floor(F.col("_order.a") / ((1 << 20) * CALLS_PER_CHUNK)).alias("_chunk"), "_order", "cycle")
+    turns = running(turns, "_conv", "_chunk", [F.col("_order")], F.lit(1), "position").select("_p", "position", "cycle")
 
     # arguments against schemas
     known = schemas.select("tool").distinct()
@@ -158,22 +164,19 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
     first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("result"))
     first = first.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), "result")
-    errors, placed = errors.withColumnRenamed("key", "_e"), placed.withColumnRenamed("key", "_p")
+    errors = errors.withColumnRenamed("key", "_e")
     rows = (
-        calls.join(placed, calls.key == placed["_p"], "left").join(errors, calls.key == errors["_e"], "left")
+        calls.join(turns, calls.key == turns["_p"]).join(errors, calls.key == errors["_e"], "left")
         .join(first, calls.conv_id.eqNullSafe(first["_conv"]) & (calls.call_id == first["_call"]), "left")
     )
-    found = F.sort_array(F.array_union(F.coalesce("errors", F.array().cast("array<string>")), F.when(F.col("place").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))))
+    found = F.sort_array(F.array_union(F.coalesce("errors", F.array().cast("array<string>")), F.when(F.col("cycle"), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
     text = lambda c: F.when(c.isNull(), "null").otherwise(quoted(c))
     json = F.concat(
         F.lit('{"arguments":'), F.coalesce(F.when(F.col("is_object"), F.expr("to_json(try_parse_json(arguments))")), text(F.col("arguments"))), F.lit(',"id":'), text(F.col("call_id")),
         F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), text(F.col("result.content")), F.lit("}"),
     )
-    late = F.struct(F.coalesce(F.col("place.seq"), F.lit((1 << 62))).alias("a"), F.col("place.step").alias("b"), seq.alias("c"), F.col("key").alias("d"))
-    out = rows.select("conv_id", late.alias("_order"), "call_id", "name", F.col("result").isNotNull().alias("linked"), found.alias("errors"), json.alias("json"))
-    out = out.withColumns({"_conv": F.coalesce("conv_id", F.lit(-(1 << 62))), "_chunk": F.floor(F.col("_order.a") / ((1 << 20) * CALLS_PER_CHUNK))})
-    out = running(out, "_conv", "_chunk", [F.col("_order")], F.lit(1), "position")
+    out = rows.select("conv_id", "position", "call_id", "name", F.col("result").isNotNull().alias("linked"), found.alias("errors"), json.alias("json"))
     return out.select("conv_id", "position", "call_id", "name", "linked", (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"), "json")
 
 
