@@ -6,7 +6,8 @@ records of each archive that it writes and starts a new archive after about `ARC
 
 Of records with equal payloads (by SHA-1) of at least `least` bytes, the one with the largest page_id is written as a
 response and the others as revisits without a payload. The reader checks each record's version, named headers, lengths,
-trailing line ends, and a response's payload digest; a faulty record becomes a row with its error, and reading goes on.
+trailing line ends, and a response's payload digest; a faulty record becomes a row with its error, and reading
+goes on; so does it behind bytes that don't decode, at the next frame that does.
 
 Defined cases: a null html is an empty payload; rows that repeat the largest page_id are all responses; where no row of a
 payload has a page_id, all are responses; a null url gives no target header; extra columns are ignored; an empty table
@@ -33,7 +34,8 @@ DICTIONARY_BYTES = 16_384
 SAMPLE_BYTES = 1_000_000
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-ZSTD_MAGIC = 0xFD2FB528
+#: The first bytes of a frame.
+FRAME_START = struct.pack("<I", 0xFD2FB528)
 END = b"\r\n"
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,17 +75,26 @@ def pack(records: list[bytes]) -> bytes:
 
 
 def frames(archive: bytes) -> Iterator[bytes | ValueError]:
-    """Records of an archive, decoded one frame at a time with the dictionary of its leading frame."""
-    view, at, options = memoryview(archive), 0, {}
+    """Records of an archive, decoded one frame at a time with the dictionary of its leading frame.
+
+    Bytes that don't decode give one error, and reading goes on at the next frame that does.
+    """
+    view, at, options, failed = memoryview(archive), 0, {}, False
     if len(view) >= 8 and struct.unpack_from("<I", view)[0] == DICTIONARY_FRAME:
         size = struct.unpack_from("<I", view, 4)[0]
         raw = bytes(view[8 : 8 + size])
-        if raw[:4] == struct.pack("<I", ZSTD_MAGIC):  # the dictionary may itself be compressed
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-        options["dict_data"] = zstandard.ZstdCompressionDict(raw)
         at = 8 + size
+        try:
+            if raw[:4] == FRAME_START:  # the dictionary may itself be compressed
+                raw = zstandard.ZstdDecompressor().decompress(raw)
+            options["dict_data"] = zstandard.ZstdCompressionDict(raw)
+            zstandard.ZstdDecompressor(**options)
+        except (zstandard.ZstdError, ValueError) as e:
+            yield ValueError(f"dictionary: {e}")
+            options = {}
     reader = zstandard.ZstdDecompressor(**options)
     while at < len(view):
+        begin = at
         try:
             if (struct.unpack_from("<I", view, at)[0] & 0xFFFFFFF0) == 0x184D2A50:  # another skippable frame
                 at += 8 + struct.unpack_from("<I", view, at + 4)[0]
@@ -97,10 +108,14 @@ def frames(archive: bytes) -> Iterator[bytes | ValueError]:
                 got.append(one.decompress(part))
                 at += len(part)
             at -= len(one.unused_data)
+            failed = False
             yield b"".join(got)
         except (zstandard.ZstdError, struct.error, ValueError) as e:
-            yield ValueError(f"frame: {e}")
-            return
+            if not failed:
+                yield ValueError(f"frame: {e}")
+            failed, at = True, archive.find(FRAME_START, begin + 1)
+            if at < 0:
+                return
 
 
 def _page(urn: str) -> int | None:

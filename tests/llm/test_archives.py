@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import struct
 import zlib
 
 import pytest
@@ -52,9 +53,25 @@ def test_files_and_faults(spark, tmp_path):
     assert list(Z.frames(b"")) == []
 
 
-def test_compressed_dictionary_in_front():
-    import struct
+def test_reading_goes_on_behind_damaged_frames(spark, tmp_path):
+    records = [Z.record(i, "u", f"payload {i} ".encode() * 50, b32(f"payload {i} " * 50), None, "2000-01-01T00:00:00Z") for i in range(30)]
+    whole = Z.pack(records)
+    assert list(Z.frames(whole)) == records
+    starts = [i for i in range(len(whole)) if whole.startswith(Z.FRAME_START, i)]
+    damaged = bytearray(whole)
+    for k in (3, 4, 10):  # two neighbours are one run of bytes that don't decode
+        damaged[starts[k] + 4 : starts[k] + 16] = b"\xff" * 12
+    got = list(Z.frames(bytes(damaged)))
+    assert [x for x in got if isinstance(x, bytes)] == [r for i, r in enumerate(records) if i not in (3, 4, 10)]
+    assert [i for i, x in enumerate(got) if isinstance(x, ValueError)] == [3, 9]
+    no_dictionary = whole[:8] + b"\x37\xa4\x30\xec" + b"\xff" * (struct.unpack_from("<I", whole, 4)[0] - 4) + whole[8 + struct.unpack_from("<I", whole, 4)[0] :]
+    assert all(isinstance(x, ValueError) for x in Z.frames(no_dictionary))
+    (tmp_path / "a.warc.zst").write_bytes(bytes(damaged))
+    rows = Z.read_files(spark, str(tmp_path)).collect()
+    assert len(rows) == 29 and sum(r.error is None for r in rows) == 27
 
+
+def test_compressed_dictionary_in_front():
     import zstandard
 
     plain = Z.pack([b"WARC/1.1 record %d " % i * 30 for i in range(50)])
