@@ -33,23 +33,23 @@ from .simhash_dedup import components
 CALLS_PER_CHUNK = 4096
 #: Calls of a component that are ordered in one aggregation.
 LOCAL = 1024
+#: Stands for a null conv_id where rows are dealt by it.
+NO_CONV = -(1 << 62)
 
 
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls (conv_id, turn, at, call_id, name, arguments) and results (conv_id, call_id, turn, content) of messages."""
-    calls = (
-        messages.where("role = 'assistant'")
-        .withColumn("_m", F.from_json("text", "tool_calls array<struct<id string, name string, arguments string>>"))
-        .select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.posexplode("_m.tool_calls").alias("at", "c"))
-        .select("conv_id", "turn", "at", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
-    )
-    results = (
-        messages.where("role = 'tool'")
-        .withColumn("_m", F.from_json("text", "tool_call_id string, content string"))
-        .where("_m.tool_call_id is not null")
-        .select(F.col("conv_id").cast("long").alias("conv_id"), F.col("_m.tool_call_id").alias("call_id"), F.col("turn").cast("long").alias("turn"), F.col("_m.content").alias("content"))
-    )
-    return calls, results
+    """Calls (key, conv_id, turn, at, call_id, name, arguments, is_object) and results (conv_id, call_id, turn, content) of messages, which are gone through once."""
+    calls = F.from_json("text", "tool_calls array<struct<id string, name string, arguments string>>")["tool_calls"]
+    as_calls = F.transform(calls, lambda c, i: F.struct(i.alias("at"), c.id.alias("call_id"), c["name"].alias("name"), c.arguments.alias("arguments"), F.lit(None).cast("string").alias("content")))
+    result = F.from_json("text", "tool_call_id string, content string")
+    as_result = F.transform(F.array(result), lambda r: F.struct(F.lit(None).cast("int").alias("at"), r.tool_call_id.alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), r.content.alias("content")))
+    found = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.explode(F.when(F.col("role") == "assistant", as_calls).when(F.col("role") == "tool", as_result)).alias("x"))
+    found = found.select("conv_id", "turn", "x.*").where("at is not null or call_id is not null")
+    # a null field is left out of the JSON, a value is not, so no two different calls have the same text
+    whole = F.md5(F.to_json(F.struct("conv_id", "turn", "at", "call_id", "name", "arguments")))
+    is_object = F.coalesce(F.expr("schema_of_variant(try_parse_json(arguments)) like 'OBJECT%'"), F.lit(False))
+    found = materialize(found.withColumns({"key": F.when(F.col("at").isNotNull(), whole), "is_object": is_object}), "tool-messages")
+    return found.where("at is not null").drop("content"), found.where("at is null").select("conv_id", "call_id", "turn", "content")
 
 
 def places(calls: DataFrame, needs: DataFrame) -> DataFrame:
@@ -127,12 +127,10 @@ def _waiting(needs: DataFrame) -> DataFrame | None:
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each call: conv_id, position, call_id, name, linked, valid, errors (sorted), json."""
-    calls, results = parse(messages)
-    # a null field is left out of the JSON, a value is not, so no two different calls have the same text
-    whole = F.md5(F.to_json(F.struct("conv_id", "turn", "at", "call_id", "name", "arguments")))
-    is_object = F.coalesce(F.expr("schema_of_variant(try_parse_json(arguments)) like 'OBJECT%'"), F.lit(False))
-    calls = materialize(calls.withColumn("key", whole).dropDuplicates(["key"]).withColumn("is_object", is_object), "tool-calls")
-    fields = calls.where("is_object").select("conv_id", "key", "name", F.explode(F.expr("from_json(arguments, 'map<string,variant>')")).alias("property", "value"))
+    whole, results = parse(messages)
+    # texts move twice at most (arguments to their key; contents to the ids they answer and on to the keys), so calls go on without them
+    calls = materialize(whole.drop("arguments").dropDuplicates(["key"]), "tool-calls")
+    fields = whole.where("is_object").select("conv_id", "key", "name", F.explode(F.expr("from_json(arguments, 'map<string,variant>')")).alias("property", "value"))
     fields = fields.select("conv_id", "key", "name", "property", F.expr("schema_of_variant(value)").alias("kind"), F.expr("try_variant_get(value, '$', 'string')").alias("text"))
 
     # what each call needs: "$ID" names the first call of that id in the conversation
@@ -145,7 +143,7 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     # positions are counted over keys and places alone, so that texts are not sorted for them
     late = F.struct(F.coalesce(F.col("place.seq"), F.lit((1 << 62))).alias("a"), F.col("place.step").alias("b"), seq.alias("c"), F.col("key").alias("d"))
     turns = calls.select("key", "conv_id", "turn", "at").join(placed, F.col("key") == F.col("_p"), "left").select("key", "conv_id", late.alias("_order"), F.col("place").isNull().alias("cycle"))
-    turns = turns.select(F.col("key").alias("_p"), F.coalesce("conv_id", F.lit(-(1 << 62))).alias("_conv"), F.floor(F.col("_order.a") / ((1 << 20) * CALLS_PER_CHUNK)).alias("_chunk"), "_order", "cycle")
+    turns = turns.select(F.col("key").alias("_p"), F.coalesce("conv_id", F.lit(NO_CONV)).alias("_conv"), F.floor(F.col("_order.a") / ((1 << 20) * CALLS_PER_CHUNK)).alias("_chunk"), "_order", "cycle")
     turns = running(turns, "_conv", "_chunk", [F.col("_order")], F.lit(1), "position").select("_p", "position", "cycle")
 
     # arguments against schemas
@@ -162,12 +160,12 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     no_json = calls.where("not is_object").select("key", F.lit("json").alias("error"))
     errors = wrong.unionByName(missing).unionByName(no_tool).unionByName(no_json).groupBy("key").agg(F.collect_set("error").alias("errors"))
 
-    first = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("result"))
-    first = first.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), "result")
-    errors = errors.withColumnRenamed("key", "_e")
+    dealt = [F.coalesce("conv_id", F.lit(NO_CONV)).alias("_conv"), F.col("call_id").alias("_call")]
+    first = results.groupBy(*dealt).agg(F.min(F.struct("turn", "content")).alias("result"))
+    answers = calls.select(F.col("key").alias("_a"), *dealt).join(first, ["_conv", "_call"]).select("_a", "result")
     rows = (
-        calls.join(turns, calls.key == turns["_p"]).join(errors, calls.key == errors["_e"], "left")
-        .join(first, calls.conv_id.eqNullSafe(first["_conv"]) & (calls.call_id == first["_call"]), "left")
+        calls.join(whole.groupBy("key").agg(F.max("arguments").alias("arguments")), "key").join(turns, F.col("key") == turns["_p"])
+        .join(errors.withColumnRenamed("key", "_e"), F.col("key") == F.col("_e"), "left").join(answers, F.col("key") == F.col("_a"), "left")
     )
     found = F.sort_array(F.array_union(F.coalesce("errors", F.array().cast("array<string>")), F.when(F.col("cycle"), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
@@ -187,11 +185,13 @@ def as_messages(conversations: DataFrame) -> DataFrame:
     """
     # the last user turn before: within a chunk of turns, else that of the chunks before, so that one long conversation is no single task
     asked, chunk = F.when(F.col("role") == "user", F.col("turn")), F.floor(F.col("turn") / CALLS_PER_CHUNK)
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("chunk", chunk)
-    last = rows.groupBy("conv_id", "chunk").agg(F.max(asked).alias("last"))
-    last = last.withColumn("earlier", F.max("last").over(W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))).select(F.col("conv_id").alias("_conv"), F.col("chunk").alias("_chunk"), "earlier")
-    inner = F.max(asked).over(W.partitionBy("conv_id", "chunk").orderBy("turn").rangeBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("inner", inner).join(last, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("chunk").eqNullSafe(F.col("_chunk")), "left")
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumns({"_conv": F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_CONV)), "_chunk": F.coalesce(chunk, F.lit(NO_CONV))})
+    last = rows.groupBy("_conv", "_chunk").agg(F.max(asked).alias("last"))
+    earlier = F.max("last").over(W.partitionBy("_conv").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+    last = last.withColumn("earlier", earlier).where("earlier is not null").select("_conv", "_chunk", "earlier")
+    inner = F.max(asked).over(W.partitionBy("_conv", "_chunk").orderBy("turn").rangeBetween(W.unboundedPreceding, -1))
+    # dealt by plain columns, so that the window's rows are joined where they are
+    rows = rows.withColumn("inner", inner).join(last, ["_conv", "_chunk"], "left")
     rows = rows.select("conv_id", "turn", "role", "text", F.coalesce("inner", "earlier").alias("before"))
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
     ask = F.to_json(F.struct(F.col("text").alias("prompt"), F.concat(F.lit("$"), name(F.col("before"))).alias("after"), F.col("turn").alias("turn")))
