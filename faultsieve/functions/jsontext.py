@@ -12,7 +12,8 @@ def strict(c: Column) -> Column:
     """The variant of a text that is JSON and nothing more, else null.
 
     Spark's parser accepts text behind the first value; a text that parses within brackets and within an object, as a single
-    element, has none.
+    element, has none. Objects that repeat a key parse, with its last value, where the session sets
+    spark.sql.variant.allowDuplicateKeys; numbers that JSON does not have (NaN, Infinity) never do.
     """
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))

@@ -74,6 +74,18 @@ def test_validation(spark):
     assert got[11].errors == ["evidence/0: minLength", "evidence/1: type"] and got[12].errors == ["summary: type"] and got[15].errors == ["failing_module: type"]
 
 
+def test_repeated_keys_of_a_reply(spark):
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    replies = spark.createDataFrame([(1, '{"a": 1, "a": 2}'), (2, 'text {"a": {"b": 1, "b": "z"}} text'), (3, '{"a": NaN}')], "id long, raw_response string")
+    for allowed, want in (("false", [None, None, None]), ("true", ['{"a":2}', '{"a":{"b":"z"}}', None])):
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, allowed)
+        try:
+            assert [r.j for r in Q.extract_json(replies).orderBy("id").select(F.to_json("payload").alias("j")).collect()] == want
+        finally:
+            spark.conf.set(setting, before)
+
+
 def test_attempts_are_reduced(spark):
     good = json.dumps(GOOD)
     rows = [
