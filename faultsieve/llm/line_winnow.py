@@ -1,16 +1,16 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-A window begins at each line of a document and takes as many following lines as it needs to hold `MIN_WORDS` words. The least
-line hash of a window (the leftmost of equal ones) is its fingerprint; neighbouring windows mostly share theirs, so only the
-lines chosen so are kept, with the hashes of the few lines beside them. A run of lines with `MIN_WORDS` words or more that occurs
-twice has a whole window in common, and equal windows choose the same line, so every such run shares a fingerprint.
+A window begins at each line of a document and takes as many following lines as it needs to hold `MIN_WORDS` words, and another
+ends at each line and takes as many lines before it. The least line hash of a window (the leftmost of equal ones) is its
+fingerprint; neighbouring windows mostly share theirs, so only the lines chosen so are kept, with the hashes of the few lines
+beside them. Each line of a run of `MIN_WORDS` words or more lies in a window that begins or in one that ends within the run, and
+equal windows choose the same line, so all of a run that occurs twice is found from fingerprints that both places share.
 
 Fingerprints that occur once fall away. The positions of the others are joined: a position meets the first one, in the order of
 doc_id and line, at which the same fingerprint was chosen from the same window (a fingerprint by itself would meet only the first
 occurrence of a line, perhaps in another context). From the two positions the match is extended to both sides while the line
-hashes agree (as far as the windows go to the left, and by fewer than `MIN_WORDS` words beyond them to the right: what lies
-further off is matched from another fingerprint). All lines of a later match are deleted, so of each repeated run the first
-occurrence stays.
+hashes agree, as far as the windows of the fingerprint go; what lies further off is matched from another fingerprint. All lines of a
+later match are deleted, so of each repeated run the first occurrence stays.
 
 Defined cases: lines end at a line feed and count as equal if their bytes are; a line without words weighs one word; a
 null or empty text, and a text of fewer words than a window, has nothing deleted; a text whose lines are all deleted
@@ -43,20 +43,21 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The chosen lines: doc, tie, pos, mark (the line's hash), left and right (hashes of lines beside it), windows.
 
     A line is chosen if it is the minimum of a window. left are the lines before it in the first window that it was chosen in, nearest
-    first; right are those behind it in the last such window, and more while they have fewer words than a window. windows has for
-    each of its windows the content (hashes and words) and reach, how many lines of right lie in it or less than a window behind it.
+    first; right are those behind it in the last such window. windows has the content (hashes, words and place of the chosen line)
+    of each of its windows; one that both begins and ends as a window does counts once.
     """
-    by = W.partitionBy("doc", "tie").orderBy("before")
-    own = by.rangeBetween(W.currentRow, min_words - 1)
-    ends = W.partitionBy("doc", "tie").orderBy("after")
-    lines = _lines(docs).withColumn("after", F.col("before") + F.col("w")).withColumn("next", F.collect_list("h").over(ends.rangeBetween(1, min_words - 1)))
-    rows = lines.withColumns({"hs": F.collect_list("h").over(own), "words": F.sum("w").over(own), "least": F.min(F.struct("h", "pos")).over(own), "next": F.last("next").over(own)})
-    rows = rows.where(F.col("words") >= min_words).withColumns({"chosen": F.col("least.pos"), "at": F.col("least.pos") - F.col("pos")})
+    by = W.partitionBy("doc", "tie")
+    ahead, back = by.orderBy("before").rangeBetween(W.currentRow, min_words - 1), by.orderBy("after").rangeBetween(1 - min_words, W.currentRow)
+    window = lambda over: F.struct(F.collect_list("h").over(over).alias("hs"), F.sum("w").over(over).alias("words"), F.min(F.struct("h", "pos")).over(over).alias("least"), F.min("pos").over(over).alias("pos"))
+    lines = _lines(docs).withColumn("after", F.col("before") + F.col("w")).withColumn("ahead", window(ahead)).withColumn("back", window(back))
+    # without its last line a window that begins here has too few words; if one that ends here has enough, none begins with it
+    ends = F.filter(F.array("back"), lambda x: x.words - F.col("w") >= min_words)
+    rows = lines.select("doc", "tie", F.explode(F.concat(F.filter(F.array("ahead"), lambda x: x.words >= min_words), ends)).alias("x")).select("doc", "tie", "x.*")
+    rows = rows.withColumn("at", F.col("least.pos") - F.col("pos"))
     content = F.struct(F.xxhash64("hs").alias("a"), F.hash("hs").alias("b"), "words", "at")
-    reach = F.size("hs") - F.col("at") - 1 + F.size("next")
-    found = rows.groupBy("doc", "tie", "chosen").agg(
+    found = rows.groupBy("doc", "tie", F.col("least.pos").alias("chosen")).agg(
         F.first("least.h").alias("mark"), F.min(F.struct("pos", F.slice("hs", 1, F.col("at")).alias("before"))).alias("_l"),
-        F.max(F.struct("pos", F.concat(F.slice("hs", F.col("at") + 2, F.size("hs")), "next").alias("behind"))).alias("_r"), F.collect_list(F.struct(content.alias("content"), reach.alias("reach"))).alias("windows"),
+        F.max(F.struct(F.col("pos") + F.size("hs"), F.slice("hs", F.col("at") + 2, F.size("hs")).alias("behind"))).alias("_r"), F.collect_list(content).alias("windows"),
     )
     return found.select("doc", "tie", F.col("chosen").alias("pos"), "mark", F.reverse("_l.before").alias("left"), F.col("_r.behind").alias("right"), "windows")
 
@@ -72,13 +73,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chosen = materialize(fingerprints(docs, min_words), "winnow-fingerprints")
     marks = materialize(chosen.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "winnow-marks")
     some = materialize(chosen.join(marks, "mark", "left_semi"), "winnow-shared")
-    opened = some.select("mark", F.explode("windows").alias("w"), "doc", "tie", "pos", "left", "right").select("mark", "w.content", "w.reach", "doc", "tie", "pos", "left", "right")
+    opened = some.select("mark", F.explode("windows").alias("content"), "doc", "tie", "pos", "left", "right")
     first = opened.groupBy("mark", "content").agg(F.min(F.struct("doc", "tie", "pos", "left", "right")).alias("first"), F.count("*").alias("times")).where("times > 1")
     first = materialize(first.select("mark", "content", "first"), "winnow-first")
     pairs = opened.join(first, ["mark", "content"]).where(~F.struct("doc", "tie", "pos").eqNullSafe(F.struct("first.doc", "first.tie", "first.pos")))
     spans = pairs.select(
         "doc", "tie", (F.col("pos") - _agree(F.col("left"), F.col("first.left"))).cast("int").alias("lo"),
-        (F.col("pos") + F.least(_agree(F.col("right"), F.col("first.right")), F.col("reach"))).cast("int").alias("hi"),
+        (F.col("pos") + _agree(F.col("right"), F.col("first.right"))).cast("int").alias("hi"),
     )
     by = W.partitionBy("doc", "tie").orderBy("lo", "hi")
     apart = spans.distinct().withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(-2)) + 1).cast("int"))

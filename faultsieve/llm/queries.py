@@ -107,19 +107,16 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS po
 FROM k
 """
 
-#: Windows of lines by content; later occurrences and what agrees behind them go.
+#: Windows of lines that begin or end at each line, by content; all but the first occurrence go.
 OP9_SQL = """
 WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text <> ''),
 w AS (SELECT *, greatest(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')), 1) AS w FROM l),
 b AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS after_, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS BIGINT) AS before FROM w),
-f AS (SELECT doc_id, pos, list(line) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS content,
-  sum(w) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS words FROM b),
-n AS (SELECT doc_id, pos, list(line) OVER (PARTITION BY doc_id ORDER BY after_ RANGE BETWEEN 1 FOLLOWING AND 49 FOLLOWING) AS next FROM b),
-g AS (SELECT f.doc_id, f.pos, content, len(content) AS k, coalesce(n.next, []) AS next FROM f JOIN n ON n.doc_id = f.doc_id AND n.pos = f.pos + len(f.content) - 1 WHERE words >= 50),
-o AS (SELECT content, arg_min(struct_pack(d := doc_id, p := pos, x := next), struct_pack(d := doc_id, p := pos)) AS first FROM g GROUP BY content HAVING count(*) > 1),
-m AS (SELECT g.doc_id, g.pos, g.k, g.next AS a, o.first.x AS b FROM g JOIN o USING (content) WHERE g.doc_id <> o.first.d OR g.pos <> o.first.p),
-e AS (SELECT doc_id, pos, pos + k - 1 + coalesce(list_position([a[i] IS NOT DISTINCT FROM b[i] AND i <= len(a) AND i <= len(b) FOR i IN range(1, len(a) + 2)], false) - 1, 0) AS hi FROM m),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, hi + 1)) AS pos FROM e),
+f AS (SELECT doc_id, pos, list(line) OVER x AS content, sum(w) OVER x AS words FROM b WINDOW x AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL SELECT doc_id, min(pos) OVER x AS pos, list(line) OVER x AS content, sum(w) OVER x AS words FROM b WINDOW x AS (PARTITION BY doc_id ORDER BY after_ RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+g AS (SELECT doc_id, pos, content, len(content) AS k FROM f WHERE words >= 50),
+o AS (SELECT content, min(struct_pack(d := doc_id, p := pos)) AS first FROM g GROUP BY content),
+gone AS (SELECT DISTINCT g.doc_id, unnest(range(g.pos, g.pos + k)) AS pos FROM g JOIN o USING (content) WHERE g.doc_id <> o.first.d OR g.pos <> o.first.p),
 t AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS text FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY 1)
 SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_deleted, 0) AS n_deleted, coalesce(t.text, '') AS text FROM documents d LEFT JOIN t USING (doc_id)
 """
