@@ -101,8 +101,8 @@ def links(prints: DataFrame) -> DataFrame:
             lambda x: x.isNotNull(),
         )
         parts += [base, lower]
-    # one row becomes about 25, so few large partitions are dealt anew before
-    posted = rows.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").select("fp", F.explode(F.concat(*parts)).alias("p")).select("p.cell", "p.base", "fp")
+    # one row becomes about 25, so few large partitions are dealt anew before, by a key of their own: as they lie by fp, dealing by fp does nothing
+    posted = rows.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")).select("fp", F.explode(F.concat(*parts)).alias("p")).select("p.cell", "p.base", "fp")
     w = W.partitionBy("cell")
     met = posted.withColumns({"n": F.count("*").over(w), "bases": F.count_if("base").over(w)}).where("n > 1 and bases > 0").drop("bases")
     met = materialize(met, "simhash-cells")
