@@ -2,9 +2,9 @@
 
 Pivots are vectors of a bounded sample, those with the least hashes. Every distinct vector is represented by its `PREFIX`
 nearest pivots in order. The index is dealt into shards of about `SHARD` vectors; each shard posts its vectors, with the
-places of the pivots, in one inverted file per pivot. A query block meets each shard in one task: the files of a query's pivots
-add up to the footrule distance of the two orders (a pivot outside a prefix counts as at its end), the best of the
-shard are ranked again by the exact inner product in double precision, and the best of all shards are merged. In all shards
+places of the pivots, in one inverted file per pivot. A query block meets each shard in one task: the files of a query's
+`QUERY_PREFIX` nearest pivots add up to the footrule distance of the two orders as far as those pivots go (a pivot outside a
+vector's prefix counts as at its end), the best of the shard are ranked again by the exact inner product in double precision, and the best of all shards are merged. In all shards
 together about `BREADTH` times the root of the number of vectors are ranked again, a share that falls as the table grows. Lengths
 are taken into account by one more coordinate that brings all vectors to equal length. A query is scaled to length 1 and has
 zero there, so that the points nearest to it are those with the greatest inner products.
@@ -33,9 +33,10 @@ from .common import materialize
 
 PIVOTS = 1024
 PREFIX = 256
+QUERY_PREFIX = 128
 SHARD = 8192
 QUERY_BLOCK = 16384
-BREADTH = 4.0
+BREADTH = 5.0
 TOP = 20
 
 
@@ -105,7 +106,7 @@ def _search(prefix: int, n_pivots: int, candidates: int, keep: int):
         files[pivots, np.repeat(np.arange(n), prefix)] = np.tile(np.arange(prefix, 0, -1, dtype=np.uint16), n)
         out, both, shared = [], np.empty(n, np.uint16), np.empty(n, np.uint16)
         for query, q, near in zip(queries["query"], queries["q"], queries["q_pivots"]):
-            # footrule distance = prefix * (prefix + 1) - 2 * sum over pivots of the lesser of the two distances from the end
+            # the footrule distance falls by twice the sum over pivots of the lesser of the two distances from the end
             shared[:] = 0
             for a, p in enumerate(np.frombuffer(near, np.int16)):
                 np.minimum(files[p], np.uint16(prefix - a), out=both)
@@ -122,7 +123,7 @@ def _search(prefix: int, n_pivots: int, candidates: int, keep: int):
     return run
 
 
-def search(vectors: DataFrame, top: int = TOP, every: int = 20, n_pivots: int = PIVOTS, prefix: int = PREFIX, shard: int = SHARD, breadth: float = BREADTH) -> DataFrame:
+def search(vectors: DataFrame, top: int = TOP, every: int = 20, n_pivots: int = PIVOTS, prefix: int = PREFIX, shard: int = SHARD, breadth: float = BREADTH, query_prefix: int = QUERY_PREFIX) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of the rows whose vec_id is divisible by every."""
     found = materialize(entries(vectors, top), "ann-entries")
     n, longest = found.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
@@ -135,7 +136,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = 20, n_pivots: int =
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(n / QUERY_BLOCK / max(1, every) * 2))
     dealt = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     side = index.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), dealt(blocks).alias("block"), "rep", F.col("v").alias("vector"), F.col("near").alias("pivots"))
-    own = represent(found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi"), pivots, _asked, prefix)
+    own = represent(found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi"), pivots, _asked, min(query_prefix, prefix))
     queries = own.select(dealt(shards).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).alias("block"), F.col("rep").alias("query"), F.col("v").alias("q"), F.col("near").alias("q_pivots"))
     met = queries.groupBy("shard", "block").cogroup(side.groupBy("shard", "block")).applyInPandas(_search(prefix, n_pivots, max(top + 1, candidates_of(n, shards, breadth)), top + 1), "query long, rep long, score double")
     w = W.partitionBy("query").orderBy(F.desc("score"), "rep")
