@@ -31,14 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that `materialize` wrote and that nothing will read again."""
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(column: str = "text"):
     """Words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")

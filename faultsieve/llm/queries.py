@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_winnow, permutation_index, quality_gam, secret_forest, sentencepiece_bpe, simhash_dedup, source_mix, tool_links, transport_stream, warc_zst
+from . import bag_ranking, line_winnow, permutation_index, quality_gam, secret_forest, sentencepiece_bpe, simhash_dedup, source_mix, sphere_means, tool_links, transport_stream, warc_zst, word_language
 from .common import read
 
 
@@ -60,7 +60,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_warc, op3_secret_scan, op4_source_mix, op5_quality, op6_tool_links, op7_transport_stream, op8_permutation_index, op9_line_dedup, op10_simhash)}
+def op11_bag_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_ranking.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("class_id")
+
+
+def op12_sphere_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sphere_means.cluster(read(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def op13_word_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_language.identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_warc, op3_secret_scan, op4_source_mix, op5_quality, op6_tool_links, op7_transport_stream, op8_permutation_index, op9_line_dedup, op10_simhash,
+        op11_bag_ranking, op12_sphere_means, op13_word_language,
+    )
+}
 
 #: Of equal payloads the largest page_id is the response. DuckDB has no base-32, so hex digits become bits, then letters.
 OP2_SQL = """
@@ -121,4 +139,42 @@ t AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_deleted, coales
 SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_deleted, 0) AS n_deleted, coalesce(t.text, '') AS text FROM documents d LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op4_source_mix": OP4_SQL, "op6_tool_links": OP6_SQL, "op9_line_dedup": OP9_SQL}
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{bag_ranking.UPPER}', '{bag_ranking.LOWER}'), '{bag_ranking.TERM}')"
+
+#: Each document is scored by itself, with the weights of the terms that it shares with an item.
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+g AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY 1), g),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN w USING (term), g GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 AND doc_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {bag_ranking.MOST}
+"""
+
+
+def _op12_sql() -> str:
+    """Every round compares all vectors with all centroids."""
+    size, each = sphere_means.SIZE, f"range(1, {sphere_means.SIZE + 1})"
+    code = f"sha256('{sphere_means.SEED}:' || vec_id)"
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor({sphere_means.SCALE} * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x FROM embeddings WHERE len(embedding) = {size} AND list_count(embedding) = {size} AND list_bool_and([isfinite(c) FOR c IN embedding]))",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {code}, x) - 1 AS k, x FROM v WHERE vec_id IS NOT NULL QUALIFY row_number() OVER (ORDER BY {code}, x) <= {sphere_means.CLUSTERS})",
+    ]
+    for n in range(sphere_means.ROUNDS + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, k := k)) AS m FROM (SELECT v.r, c.k, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)]) AS BIGINT) AS d FROM v CROSS JOIN c{n} c) GROUP BY r)")
+        if n < sphere_means.ROUNDS:
+            parts.append(f"""u{n} AS MATERIALIZED (SELECT k, list(mean ORDER BY j) AS x FROM (SELECT k, j, CAST((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS mean
+  FROM (SELECT a.m.k AS k, unnest({each}) AS j, unnest(v.x) AS e FROM a{n} a JOIN v USING (r)) GROUP BY 1, 2) GROUP BY k),
+c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(u.x, c.x) AS x FROM c{n} c LEFT JOIN u{n} u USING (k))""")
+    last = sphere_means.ROUNDS
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.vec_id, CAST(a.m.k AS INTEGER) AS cluster, a.m.d AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{last} a JOIN v USING (r) JOIN c{last} c ON c.k = a.m.k
+"""
+
+
+OP12_SQL = _op12_sql()
+
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op4_source_mix": OP4_SQL, "op6_tool_links": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_bag_ranking": OP11_SQL, "op12_sphere_means": OP12_SQL}
