@@ -12,8 +12,7 @@ def strict(c: Column) -> Column:
     """The variant of a text that is JSON and nothing more, else null.
 
     Spark's parser accepts text behind the first value; a text that parses within brackets and within an object, as a single
-    element, has none. Objects that repeat a key parse, with its last value, where the session sets
-    spark.sql.variant.allowDuplicateKeys; numbers that JSON does not have (NaN, Infinity) never do.
+    element, has none. Repeated keys and numbers that JSON does not have (NaN, Infinity) do not parse; `loads` takes those too.
     """
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
@@ -21,6 +20,78 @@ def strict(c: Column) -> Column:
     return F.when(keyed.isNotNull() & (F.size(items) == 1), items[0])
 
 
+#: The key of the object that stands for NaN, Infinity or -Infinity; its value is that word.
+NOT_A_NUMBER = "\x01number"
+_ODD = ["NaN", "Infinity", "-Infinity"]
+_STRING = r'"(?:[^"\\\x00-\x1F]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+"'
+_SCALAR = rf"^(?:{_STRING}|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity)$"
+#: Tokens of JSON; what is no token comes out as one that no place of a text takes.
+_TOKEN = r'"(?:[^"\\]|\\[\s\S])*+"|[{}\[\],:]|[^ \t\n\r"{}\[\],:]+|"'
+_OPEN = "struct<kind:string,members:map<string,string>,items:string,key:string>"
+_STATE = f"struct<stack:array<{_OPEN}>,phase:string,result:string>"
+
+
+def _top_and_rest(stack: Column) -> tuple[Column, Column]:
+    return F.try_element_at(stack, F.lit(-1)), F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+
+
+def _put(stack: Column, value: Column) -> Column:
+    """The state behind a whole value: it ends the text, or joins the innermost open object or array; a repeated key replaces its value."""
+    top, rest = _top_and_rest(stack)
+    members = F.map_concat(F.map_filter(top.members, lambda k, _: k != top.key), F.create_map(top.key, value))
+    grown = F.when(top.kind == "{", F.struct(top.kind.alias("kind"), members.alias("members"), F.lit("").alias("items"), F.lit("").alias("key"))).otherwise(
+        F.struct(top.kind.alias("kind"), top.members.alias("members"), F.when(top["items"] == "", value).otherwise(F.concat(top["items"], F.lit(","), value)).alias("items"), F.lit("").alias("key"))
+    )
+    inner = F.struct(F.concat(rest, F.array(grown)).alias("stack"), F.lit("next").alias("phase"), F.lit("").alias("result"))
+    whole = F.struct(stack.alias("stack"), F.lit("end").alias("phase"), value.alias("result"))
+    return F.when(F.size(stack) == 0, whole.cast(_STATE)).otherwise(inner.cast(_STATE))
+
+
+def _step(s: Column, x: Column) -> Column:
+    """The state behind one more token; a token that cannot stand there gives a state that takes none."""
+    bad = F.struct(s.stack.alias("stack"), F.lit("bad").alias("phase"), F.lit("").alias("result")).cast(_STATE)
+    to = lambda stack, phase: F.struct(stack.alias("stack"), F.lit(phase).alias("phase"), F.lit("").alias("result")).cast(_STATE)
+    opened = lambda kind: F.concat(s.stack, F.array(F.struct(F.lit(kind).alias("kind"), F.create_map().cast("map<string,string>").alias("members"), F.lit("").alias("items"), F.lit("").alias("key")).cast(_OPEN)))
+    top, rest = _top_and_rest(s.stack)
+    inside = F.coalesce(top.kind, F.lit(""))
+    takes_value = s.phase.isin("value", "first")
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(top.members), lambda e: F.concat(e.key, F.lit(":"), e.value)), ","), F.lit("}"))
+    odd = F.concat(F.lit('{"\\u0001number":"'), x, F.lit('"}'))
+    key = F.when(x.contains("\\"), F.to_json(F.try_parse_json(x))).otherwise(x)
+    named = F.concat(rest, F.array(F.struct(top.kind.alias("kind"), top.members.alias("members"), F.lit("").alias("items"), key.alias("key")).cast(_OPEN)))
+    return (
+        F.when((x == "{") & takes_value, to(opened("{"), "first key")).when((x == "[") & takes_value, to(opened("["), "first"))
+        .when((x == "}") & (inside == "{") & s.phase.isin("first key", "next"), _put(rest, text))
+        .when((x == "]") & (inside == "[") & s.phase.isin("first", "next"), _put(rest, F.concat(F.lit("["), top["items"], F.lit("]"))))
+        .when((x == ",") & (s.phase == "next"), F.when(inside == "{", to(s.stack, "key")).otherwise(to(s.stack, "value")))
+        .when((x == ":") & (s.phase == "colon"), to(s.stack, "value"))
+        .when(~x.rlike(_SCALAR), bad)
+        .when(x.startswith('"') & s.phase.isin("key", "first key"), to(named, "colon"))
+        .when(takes_value, _put(s.stack, F.when(x.isin(_ODD), odd).otherwise(x))).otherwise(bad)
+    )
+
+
+def plain(c: Column) -> Column:
+    """A JSON text with each key once, with its last value, and with objects of NOT_A_NUMBER for NaN and Infinity; null if it is no JSON.
+
+    One pass over the tokens with a stack of what is open; a value is written when it ends, so depth is not bounded.
+    """
+    start = F.struct(F.array().cast(f"array<{_OPEN}>").alias("stack"), F.lit("value").alias("phase"), F.lit("").alias("result")).cast(_STATE)
+    return F.aggregate(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), start, _step, lambda s: F.when(s.phase == "end", s.result))
+
+
+def loads(c: Column) -> Column:
+    """The variant of a text that is JSON, also with repeated keys (the last value counts, at any depth) and with NaN or Infinity.
+
+    Only texts that are not strict JSON but hold such a word, or two equal strings before colons, are gone through by tokens.
+    The session's settings do not matter.
+    """
+    names = F.regexp_extract_all(c, F.lit(r'("(?:[^"\\]|\\[\s\S])*+")\s*:'), F.lit(1))
+    odd = c.rlike("NaN|Infinity") | (F.size(names) > F.size(F.array_distinct(names))) | F.exists(names, lambda n: n.contains("\\"))
+    exact = strict(c)
+    return F.when(odd, strict(plain(c))).otherwise(exact)
+
+
 def fenced(c: Column) -> Column:
     """What stands between the line of the first code fence and the next fence, stripped, or null."""
     start = F.locate("```", c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,8 @@ def or_missing(c: Column, missing: str = "Not available") -> Column:
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that is worked out once a row: later uses read it and are not merged with its expression."""
     return df.withColumn(name, F.explode(F.array(value)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, within an expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,76 +1,57 @@
-"""Triage of model responses: strict JSON, the explanation's rules, and attempts reduced to outcomes."""
+"""Triage of model responses: the JSON in a reply, the rules of its schema, and attempts reduced to outcomes."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.jsontext import fenced, first_object, strict
+from ..functions import schema as J
+from ..functions.jsontext import fenced, first_object, loads
 from ..functions.text import filled, once, strip, truncate_with_marker
+from .contracts import EXPLANATION_SCHEMA
 
-# The fields of an explanation, its confidence levels, and which failures are tried again.
-TEXT_FIELDS = ["summary", "root_cause", "limitations"]
-FIELDS = ["summary", "root_cause", "evidence", "failing_module", "explanation_confidence", "limitations"]
-LEVELS = ["high", "medium", "low"]
+# Which failures are tried again, and which fields of a record are told of with its result.
 RETRY_ON = ["invalid_json", "schema_validation_error", "timeout", "model_unavailable"]
 INPUT_FIELDS = ["notebook_execution_id", "error_type", "error_message", "failing_module", "original_subtype", "refined_subtype", "confidence", "root_cause_hint", "context_status", "error_cell_index"]
-EXPLANATION = "struct<summary:string,root_cause:string,evidence:array<string>,failing_module:string,explanation_confidence:string,limitations:string>"
 
 
 def extract_json(responses: DataFrame, column: str = "raw_response") -> DataFrame:
     """Adds payload (variant), shape (whole, fenced, embedded) and parse_error.
 
     The whole text, the first fenced block and the first balanced object are tried in order, the first that parses decides;
-    the scan by characters runs only on rows that the cheaper ones left open.
+    the scan by pieces runs only on rows that the cheaper ones left open. A repeated key has its last value, and NaN and
+    Infinity are numbers (`jsontext.loads`).
     """
-    text = strip(filled(F.col(column)))
-    out = once(responses, "_whole", strict(text))
-    out = once(out, "_fenced", F.when(F.col("_whole").isNull(), strict(fenced(text))))
-    out = once(out, "_inner", F.when(F.col("_whole").isNull() & F.col("_fenced").isNull(), strict(first_object(text))))
+    text, still = F.col("_text"), lambda *done: reduce(lambda a, b: a & b, [F.col(c).isNull() for c in done])
+    out = once(responses, "_text", strip(filled(F.col(column))))
+    out = once(out, "_whole", loads(text))
+    out = once(out, "_block", F.when(still("_whole"), fenced(text)))
+    out = once(out, "_fenced", loads(F.col("_block")))
+    out = once(out, "_span", F.when(still("_whole", "_fenced"), first_object(text)))
+    out = once(out, "_inner", loads(F.col("_span")))
     payload = F.coalesce("_whole", "_fenced", "_inner")
     shape = F.when(F.col("_whole").isNotNull(), "whole").when(F.col("_fenced").isNotNull(), "fenced").when(F.col("_inner").isNotNull(), "embedded")
-    out = out.withColumns({"payload": payload, "shape": shape}).drop("_whole", "_fenced", "_inner")
+    out = out.withColumns({"payload": payload, "shape": shape}).drop("_text", "_whole", "_block", "_fenced", "_span", "_inner")
     kind = F.schema_of_variant("payload")
     error = F.when(F.col("payload").isNull(), "invalid_json: no JSON object found in model response").when(~kind.startswith("OBJECT"), "non_object_json: model response must be a JSON object")
     return out.withColumn("parse_error", error)
 
 
-def violations(rows: DataFrame, payload: Column) -> DataFrame:
-    """Adds violations, what is wrong with an explanation: structs of path and rule, by path; null without a payload.
+def violations(rows: DataFrame, payload: Column, schema: str | dict = EXPLANATION_SCHEMA) -> DataFrame:
+    """Adds violations, what a schema finds wrong with a payload: structs of path and rule, by path; null without a payload."""
+    return once(rows, "violations", J.violations(payload, schema))
 
-    Fields, their types and their texts are read from the payload once a row; the rules use those.
-    """
-    out = once(rows, "_fields", F.try_variant_get(payload, "$", "map<string,variant>"))
-    out = once(out, "_read", F.struct(*[F.struct(F.schema_of_variant(F.col("_fields")[n]).alias("kind"), F.try_variant_get(F.col("_fields")[n], "$", "string").alias("text")).alias(n) for n in FIELDS]))
-    kind = lambda name: F.col(f"_read.{name}.kind")
-    text = lambda name: F.col(f"_read.{name}.text")
-    has = lambda name: kind(name).isNotNull()
-    found = lambda path, rule: F.struct((path if isinstance(path, Column) else F.lit(path)).alias("path"), F.lit(rule).alias("rule"))
-    single = [F.when(~has(n), found("<root>", f"required {n}")) for n in FIELDS]
-    for n in TEXT_FIELDS:
-        single += [F.when(has(n) & (kind(n) != "STRING"), found(n, "type")), F.when((kind(n) == "STRING") & (text(n) == ""), found(n, "minLength"))]
-    level = "explanation_confidence"
-    single += [
-        F.when(has("failing_module") & ~kind("failing_module").isin("STRING", "VOID"), found("failing_module", "type")),
-        F.when(has(level) & (kind(level) != "STRING"), found(level, "type")), F.when(has(level) & ~F.coalesce((kind(level) == "STRING") & text(level).isin(LEVELS), F.lit(False)), found(level, "enum")),
-        F.when(has("evidence") & ~kind("evidence").startswith("ARRAY"), found("evidence", "type")),
-    ]
-    items = F.coalesce(F.try_variant_get(F.col("_fields")["evidence"], "$", "array<variant>"), F.array().cast("array<variant>"))
-    item = lambda i: F.concat(F.lit("evidence/"), i)
-    each = F.transform(items, lambda x, i: F.when(F.schema_of_variant(x) != "STRING", found(item(i), "type")).when(F.try_variant_get(x, "$", "string") == "", found(item(i), "minLength")))
-    extra = F.transform(F.array_except(F.map_keys("_fields"), F.array(*map(F.lit, FIELDS))), lambda k: F.struct(F.lit("<root>").alias("path"), F.concat(F.lit("additional "), k).alias("rule")))
-    broken = F.sort_array(F.array_compact(F.concat(F.array(*single), each, extra)))
-    return once(out, "violations", F.when(F.col("_fields").isNotNull(), broken)).drop("_fields", "_read")
-
-
-def parse_and_validate(responses: DataFrame, column: str = "raw_response") -> DataFrame:
-    """Adds shape, parse_error, violations, errors (texts), valid and explanation (kept where only the rules are broken)."""
+
+def parse_and_validate(responses: DataFrame, column: str = "raw_response", schema: str | dict = EXPLANATION_SCHEMA) -> DataFrame:
+    """Adds shape, parse_error, violations, errors (texts), valid and explanation (kept where only the rules are broken); its type is the schema's."""
     out = extract_json(responses, column)
     is_object = F.col("parse_error").isNull()
-    out = violations(out, F.when(is_object, F.col("payload")))
+    out = violations(out, F.when(is_object, F.col("payload")), schema)
     errors = F.when(~is_object, F.array("parse_error")).otherwise(F.transform("violations", lambda v: F.concat(v.path, F.lit(": "), v.rule)))
-    explanation = F.when(is_object, F.from_json(F.to_json("payload"), EXPLANATION))
+    explanation = F.when(is_object, F.from_json(F.to_json("payload"), J.ddl(schema)))
     return out.withColumns({"errors": errors, "explanation": explanation}).withColumn("valid", F.size("errors") == 0)
 
 
