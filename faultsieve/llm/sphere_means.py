@@ -74,7 +74,7 @@ def loosening(before: np.ndarray, after: np.ndarray, radius: np.ndarray) -> np.n
     apart = b[:, None, :] - b[None, :, :]  # from centroid j to cluster i
     far = np.sqrt((apart**2).sum(2))
     with np.errstate(divide="ignore", invalid="ignore"):
-        angle = np.arccos(np.clip(np.einsum("ijk,jk->ij", apart, step) / (far * moved), -1, 1))
+        angle = np.nan_to_num(np.arccos(np.clip(np.einsum("ijk,jk->ij", apart, step) / (far * moved), -1, 1)))  # equal centroids: straight ahead
         cone = np.where(far > radius[:, None], np.arcsin(np.clip(radius[:, None] / far, 0, 1)), np.pi)
     least = np.maximum(angle - cone, 0)
     reach = far + radius[:, None]
@@ -175,9 +175,8 @@ def clusters(vectors: DataFrame, column: str = "embedding", size: int = SIZE, co
 def cluster(vectors: DataFrame, column: str = "embedding", size: int = SIZE, count: int = CLUSTERS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 and scanned of each vector."""
     state, centroids = clusters(vectors, column, size, count, rounds, seed)
-    digests = [(k, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for k, c in enumerate(centroids)]
-    named = vectors.sparkSession.createDataFrame(digests, "cluster int, centroid_sha256 string")
-    own = state.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    whole = own.agg(F.sum("cluster_inertia").alias("inertia"))
-    facts = own.crossJoin(F.broadcast(whole)).join(named, "cluster")  # a row for each cluster, at most `count`
+    own = {r["cluster"]: int(r["d"]) for r in state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}
+    digest = lambda k: hashlib.sha256(",".join(map(str, centroids[k].tolist())).encode()).hexdigest()
+    rows = [(k, d, sum(own.values()), digest(k)) for k, d in own.items()]  # a row for each cluster, at most `count`
+    facts = vectors.sparkSession.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return state.join(F.broadcast(facts), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "scanned")
