@@ -33,6 +33,8 @@ from .quality_gam import held_out
 
 #: At most so many rows of each language are learned from.
 TRAIN_ROWS = 4_000
+#: Parts that a language's rows are chosen in.
+SALTS = 32
 #: Ids of so many rows are broadcast, more (of very many languages) are joined.
 BROADCAST_ROWS = 1_000_000
 WORDS, GRAMS, LONGEST = 100_000, 50_000, 5
@@ -106,9 +108,11 @@ class Model:
 def training_rows(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """text and lang of the rows to learn from; texts are read of chosen rows alone."""
     usable = docs.where("lang is not null and doc_id is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("doc_id", "lang").distinct()
-    chosen = materialize(chosen, "language-rows")
+    chosen = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt"))
+    for keys in (["lang", "_salt"], ["lang"]):  # one language may have nearly all rows
+        order = W.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    chosen = materialize(chosen.select("doc_id", "lang").distinct(), "language-rows")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     return usable.join(chosen, ["doc_id", "lang"], "left_semi").select("text", "lang")

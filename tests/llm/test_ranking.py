@@ -143,6 +143,9 @@ def test_loosening_holds_and_is_less_than_the_drift():
             assert amount[i] <= drift[others].max() + 1e-6
             less += amount[i] < 0.9 * drift[others].max()
     assert less > 300
+    same = np.array([[0, 0], [0, 0], [9, 9]])
+    amounts = S.loosening(same, same + np.array([[3, 0], [0, 0], [0, 1]]), np.array([1.0, 0.0, 2.0]))
+    assert np.isfinite(amounts).all() and amounts[1] >= 0
 
 
 # languages
@@ -211,6 +214,14 @@ def test_model_counts_as_brute_force(spark):
     assert np.allclose(model.backed_off("qqq"), 0)
 
 
+def test_training_rows_are_those_of_least_hash(spark):
+    _, rows = _corpus(4, 150)
+    table = _as_table(spark, [(k, f"w{k}", "aa" if k % 10 else lang) for k, _, lang in rows])
+    usable = table.where("crc32(cast(doc_id as string)) % 3 <> 1")
+    want = usable.selectExpr("*", "row_number() over (partition by lang order by xxhash64(doc_id)) n").where("n <= 7").select("text", "lang")
+    assert sorted(map(tuple, L.training_rows(table, 7).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_nothing_to_learn(spark):
     table = _as_table(spark, [(1, "kalo", None), (2, "mi", None)])
     assert {(r["lang_pred"], r["score"]) for r in L.identify(table).collect()} == {("und", 0.0)}
