@@ -49,26 +49,29 @@ def _put(stack: Column, value: Column) -> Column:
 
 def _step(s: Column, x: Column) -> Column:
     """The state behind one more token; a token that cannot stand there gives a state that takes none."""
-    bad = F.struct(s.stack.alias("stack"), F.lit("bad").alias("phase"), F.lit("").alias("result")).cast(_STATE)
-    to = lambda stack, phase: F.struct(stack.alias("stack"), F.lit(phase).alias("phase"), F.lit("").alias("result")).cast(_STATE)
-    opened = lambda kind: F.concat(s.stack, F.array(F.struct(F.lit(kind).alias("kind"), F.create_map().cast("map<string,string>").alias("members"), F.lit("").alias("items"), F.lit("").alias("key")).cast(_OPEN)))
+    to = lambda stack, phase: F.struct(stack.alias("stack"), phase.alias("phase"), F.lit("").alias("result")).cast(_STATE)
+    opened = lambda kind: F.concat(s.stack, F.array(F.struct(kind.alias("kind"), F.create_map().cast("map<string,string>").alias("members"), F.lit("").alias("items"), F.lit("").alias("key")).cast(_OPEN)))
     top, rest = _top_and_rest(s.stack)
     inside = F.coalesce(top.kind, F.lit(""))
-    takes_value = s.phase.isin("value", "first")
-    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(top.members), lambda e: F.concat(e.key, F.lit(":"), e.value)), ","), F.lit("}"))
+    takes_value, scalar = s.phase.isin("value", "first"), x.rlike(_SCALAR)
+    closes_object = (x == "}") & (inside == "{") & s.phase.isin("first key", "next")
+    closes_array = (x == "]") & (inside == "[") & s.phase.isin("first", "next")
+    members = F.array_join(F.transform(F.map_entries(top.members), lambda e: F.concat(e.key, F.lit(":"), e.value)), ",")
     odd = F.concat(F.lit('{"\\u0001number":"'), x, F.lit('"}'))
+    value = (
+        F.when(closes_object, F.concat(F.lit("{"), members, F.lit("}"))).when(closes_array, F.concat(F.lit("["), top["items"], F.lit("]")))
+        .when(takes_value & scalar, F.when(x.isin(_ODD), odd).otherwise(x))
+    )
     key = F.when(x.contains("\\"), F.to_json(F.try_parse_json(x))).otherwise(x)
     named = F.concat(rest, F.array(F.struct(top.kind.alias("kind"), top.members.alias("members"), F.lit("").alias("items"), key.alias("key")).cast(_OPEN)))
-    return (
-        F.when((x == "{") & takes_value, to(opened("{"), "first key")).when((x == "[") & takes_value, to(opened("["), "first"))
-        .when((x == "}") & (inside == "{") & s.phase.isin("first key", "next"), _put(rest, text))
-        .when((x == "]") & (inside == "[") & s.phase.isin("first", "next"), _put(rest, F.concat(F.lit("["), top["items"], F.lit("]"))))
-        .when((x == ",") & (s.phase == "next"), F.when(inside == "{", to(s.stack, "key")).otherwise(to(s.stack, "value")))
-        .when((x == ":") & (s.phase == "colon"), to(s.stack, "value"))
-        .when(~x.rlike(_SCALAR), bad)
-        .when(x.startswith('"') & s.phase.isin("key", "first key"), to(named, "colon"))
-        .when(takes_value, _put(s.stack, F.when(x.isin(_ODD), odd).otherwise(x))).otherwise(bad)
+    moved = (
+        F.when(x.isin("{", "[") & takes_value, to(opened(x), F.when(x == "{", "first key").otherwise("first")))
+        .when((x == ",") & (s.phase == "next"), to(s.stack, F.when(inside == "{", "key").otherwise("value")))
+        .when((x == ":") & (s.phase == "colon"), to(s.stack, F.lit("value")))
+        .when(x.startswith('"') & scalar & s.phase.isin("key", "first key"), to(named, F.lit("colon"))).otherwise(to(s.stack, F.lit("bad")))
     )
+    put = F.transform(F.array(value), lambda v: _put(F.when(closes_object | closes_array, rest).otherwise(s.stack), v))[0]
+    return F.when(value.isNotNull(), put).otherwise(moved)
 
 
 def plain(c: Column) -> Column:

@@ -48,3 +48,14 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is worked out once, within an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_KEPT: dict[tuple, Column] = {}
+
+
+def kept(df: DataFrame, key: tuple, build: Callable[[], Column]) -> Column:
+    """An expression over columns named in key, built once for an application: large ones take a second to put together."""
+    full = (df.sparkSession.sparkContext.applicationId, *key)
+    if full not in _KEPT:
+        _KEPT[full] = build()
+    return _KEPT[full]

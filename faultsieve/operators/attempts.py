@@ -1,14 +1,21 @@
-"""Repair attempts: fix objects checked, one fact row an attempt, rates, work lists and provenance triples."""
+"""Repair attempts: fix objects checked, one fact row an attempt, rates and work lists."""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import schema as J
+from ..functions.jsontext import loads
+from ..functions.text import filled, kept, once
+from .contracts import FIX_SCHEMA
+from .graph import match
+from .lineage import ROUNDS
+from .rules import classify_subtype, extract_failing_module
 
-ACTIONS = ["install", "pin_version", "none"]
-PREFIXES = {"repr": "urn:notebook-repair:", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "prov": "http://www.w3.org/ns/prov#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 OUTCOMES = ["fixed", "still_failing", "apply_error"]
 FACTS = [
     "id", "notebook_execution_id", "failing_module", "subtype", "explanation", "action", "install_name", "version", "command", "rationale",
@@ -20,18 +27,24 @@ def fix_command(action: Column, name: Column, version: Column) -> Column:
     return F.when(action == "install", F.concat(F.lit("pip install "), name)).when(action == "pin_version", F.concat(F.lit("pip install "), name, F.lit("=="), version))
 
 
-def fix_violations(fixes: DataFrame) -> DataFrame:
-    """Adds violations: what is wrong with action, name, version and command."""
-    action, name, version, command = (F.col(c) for c in ("action", "install_name", "version", "command"))
-    rule = lambda bad, text: F.when(F.coalesce(bad, F.lit(True)), text)
-    install, pin, none = action == "install", action == "pin_version", action == "none"
-    want = fix_command(action, name, version)
-    checks = [
-        rule(~action.isin(ACTIONS), "action"), F.when((install | pin) & name.isNull(), "install_name missing"), F.when(install & version.isNotNull(), "version not null"),
-        F.when(pin & version.isNull(), "version missing"), F.when((install | pin) & ~F.coalesce(command == want, F.lit(False)), "command"),
-        F.when(none & (name.isNotNull() | version.isNotNull() | command.isNotNull()), "none with values"), F.when(command.isNotNull() & ~command.rlike(r"^pip install \S+$"), "not pip"),
-    ]
-    return fixes.withColumn("violations", F.array_compact(F.array(*checks)))
+def read_fixes(fixes: DataFrame, column: str = "fix") -> DataFrame:
+    """Adds proposal (variant) and the fields of a fix as texts: what a model wrote, as JSON is read from replies; null if it is no JSON."""
+    out = once(fixes, "_fix", filled(F.col(column)))
+    out = once(out, "proposal", kept(fixes, ("loads", "_fix"), lambda: loads(F.col("_fix")))).drop("_fix")
+    text = lambda n: F.try_variant_get("proposal", f"$.{n}", "string")
+    evidence = F.to_json(F.try_variant_get("proposal", "$.pypi_evidence", "variant"))
+    return out.withColumns({n: text(n) for n in ("action", "install_name", "version", "command", "rationale")} | {"pypi_evidence": evidence})
+
+
+def fix_violations(fixes: DataFrame, column: str = "fix", schema: str | dict = FIX_SCHEMA) -> DataFrame:
+    """Adds violations: what the schema finds wrong with a fix, and a command other than the one that its fields say."""
+    out = read_fixes(fixes, column)
+    text = schema if isinstance(schema, str) else json.dumps(schema)
+    found = once(out, "_found", kept(fixes, ("violations of a proposal", text), lambda: J.violations(F.col("proposal"), text)))
+    want = fix_command(F.col("action"), F.col("install_name"), F.col("version"))
+    exact = F.when(want.isNotNull() & ~want.eqNullSafe(F.col("command")), F.array(F.struct(F.lit("command").alias("path"), F.lit("exact").alias("rule")))).otherwise(F.array().cast(J.VIOLATIONS))
+    no_json = F.array(F.struct(F.lit(J.ROOT).alias("path"), F.lit("invalid_json").alias("rule")))
+    return found.withColumn("violations", F.coalesce(F.sort_array(F.concat("_found", exact)), no_json)).drop("_found", "proposal")
 
 
 def pin_support(fixes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -41,14 +54,30 @@ def pin_support(fixes: DataFrame, candidates: DataFrame) -> DataFrame:
     return pins.join(known, ["install_name", "version"], "left").withColumn("supported", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def attempt_facts(attempts: DataFrame, failures: DataFrame, explanations: DataFrame) -> DataFrame:
-    """One row of 19 columns for each attempt."""
-    known = failures.select("notebook_execution_id", "failing_module", "subtype", "error_type", "error_message")
+def attempt_facts(attempts: DataFrame, failures: DataFrame, explanations: DataFrame, fixes: DataFrame, chain: DataFrame) -> DataFrame:
+    """One row of 19 columns for each attempt.
+
+    rationale and pypi_evidence (JSON) are those of the proposal, and an attempt that still fails has the error of the
+    execution that it caused (`lineage.rerun_chain`), so later rounds start from another error than the first.
+    """
+    known = failures.select("notebook_execution_id", "failing_module", "subtype")
     told = explanations.select("notebook_execution_id", "explanation")
-    rows = attempts.join(known, "notebook_execution_id", "left").join(told, "notebook_execution_id", "left")
+    proposed = read_fixes(fixes).select(F.col("attempt_id").alias("id"), "rationale", "pypi_evidence")
+    shown = chain.select("notebook_execution_id", "run_id", "round", F.col("error_type").alias("_type"), F.col("error_message").alias("_message"))
+    rows = attempts.join(shown, ["notebook_execution_id", "run_id", "round"], "left").join(known, "notebook_execution_id", "left").join(told, "notebook_execution_id", "left").join(proposed, "id", "left")
     failing = F.col("outcome") == "still_failing"
-    rows = rows.withColumns({"rationale": F.lit(None).cast("string"), "pypi_evidence": F.lit(None).cast("string"), "new_error_type": F.when(failing, F.col("error_type")), "new_error_message": F.when(failing, F.col("error_message"))})
-    return rows.select(*FACTS)
+    return rows.withColumns({"new_error_type": F.when(failing, F.col("_type")), "new_error_message": F.when(failing, F.col("_message"))}).select(*FACTS)
+
+
+def success_rate_cube(attempts: DataFrame, *by: str) -> DataFrame:
+    """Rates for every combination of the dimensions `by`, the margins included.
+
+    level is the number of the grouping: bit k (from the left) is 1 where dimension k is summed over, so a null of the data is
+    told from a margin. Attempts are counted by all dimensions first, and only those counts are summed for the margins.
+    """
+    counts = attempts.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if(F.col("outcome") == "fixed").alias("_fixed"))
+    cube = counts.cube(*by).agg(F.grouping_id().alias("level"), F.sum("_n").alias("attempted"), F.sum("_fixed").alias("fixed"))
+    return cube.withColumn("rate", F.round(F.col("fixed") / F.col("attempted"), 6))
 
 
 def success_rate(attempts: DataFrame, *by: str) -> DataFrame:
@@ -61,10 +90,17 @@ def ablation_rounds(attempts: DataFrame) -> DataFrame:
     return last.groupBy("one_round", "all_rounds").agg(F.count("*").alias("failures"))
 
 
-def second_round_worklist(facts: DataFrame) -> DataFrame:
-    """First-round attempts (facts) that still fail and have no second round, with the error that the second round starts from."""
-    done = facts.where("round = 2").select("notebook_execution_id").distinct()
-    return facts.where("round = 1 and outcome = 'still_failing'").join(done, "notebook_execution_id", "left_anti").select("notebook_execution_id", "id", "new_error_type", "new_error_message")
+def second_round_worklist(facts: DataFrame, most_rounds: int = ROUNDS) -> DataFrame:
+    """Attempts (facts) that still fail in the last round of their failure and run, while rounds remain, with the error that the next round starts from.
+
+    failing_module, subtype and scope_status are those of the new error, by the rules of the first pass; where the attempt's execution is
+    not known there is no error to classify, and all are null.
+    """
+    w = W.partitionBy("notebook_execution_id", "run_id").orderBy(F.desc("round"), F.desc("id"))
+    last = facts.withColumn("_n", F.row_number().over(w)).where("_n = 1").where((F.col("outcome") == "still_failing") & (F.col("round") < most_rounds))
+    module = F.when(F.col("new_error_message").isNotNull(), extract_failing_module(F.col("new_error_message")))
+    rows = last.withColumn("failing_module", module).withColumn("_c", F.when(F.col("new_error_type").isNotNull(), classify_subtype(F.col("new_error_type"), F.col("new_error_message"), F.col("failing_module"))))
+    return rows.select("notebook_execution_id", "id", "run_id", (F.col("round") + 1).alias("round"), "new_error_type", "new_error_message", "failing_module", F.col("_c.subtype").alias("subtype"), F.col("_c.scope_status").alias("scope_status"))
 
 
 def outside_domain(attempts: DataFrame) -> DataFrame:
@@ -72,38 +108,13 @@ def outside_domain(attempts: DataFrame) -> DataFrame:
     return attempts.where(~F.coalesce(F.col("outcome").isin(OUTCOMES), F.lit(False)))
 
 
-def repair_triples(facts: DataFrame) -> DataFrame:
-    """Triples (s, p, o) of each attempt and its notebook, with prefixed names; null objects give none."""
-    node = F.concat(F.lit("repr:repairattempt_"), F.col("id"))
-    marks = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-    escaped = lambda c: reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), marks.items(), F.col(c).cast("string"))
-    text = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"'))
-    triple = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
-    time = F.concat(F.lit('"'), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"^^xsd:dateTime'))
-    rows = F.array(
-        triple(F.concat(F.lit("repr:notebook_"), F.col("notebook_execution_id")), "repr:hadRepairAttempt", node), triple(node, "rdf:type", F.lit("prov:Activity")), triple(node, "rdf:type", F.lit("repr:RepairAttempt")),
-        triple(node, "repr:failingModule", text("failing_module")), triple(node, "repr:appliedFix", text("command")), triple(node, "repr:fixOutcome", text("outcome")), triple(node, "repr:exception", text("new_error_type")),
-        triple(node, "prov:wasAssociatedWith", F.concat(F.lit("repr:"), F.url_encode("llm_model"))), triple(node, "prov:endedAtTime", time),
-    )
-    return facts.select(F.explode(rows).alias("t")).select("t.*").where("o is not null")
-
-
-def triple_lines(triples: DataFrame) -> DataFrame:
-    """Triples as lines of N-Triples: prefixed names become whole identifiers, also the type of a literal."""
-    def whole(c: Column) -> Column:
-        kind = F.regexp_extract(c, r'"\^\^(\w+:\w+)$', 1)
-        name = F.when(c.startswith('"'), kind).otherwise(c)
-        iri = F.concat(F.lit("<"), F.coalesce(*[F.when(name.startswith(k + ":"), F.concat(F.lit(v), F.substr(name, F.lit(len(k) + 2)))) for k, v in PREFIXES.items()]), F.lit(">"))
-        return F.when(~c.startswith('"'), iri).when(kind == "", c).otherwise(F.concat(F.substr(c, F.lit(1), F.length(c) - F.length(kind)), iri))
-
-    return triples.select(F.concat_ws(" ", *[whole(F.col(x)) for x in ("s", "p", "o")], F.lit(".")).alias("line"))
+#: The pattern "notebook, its attempts, their outcomes".
+HISTORY = [("?notebook", "repr:hadRepairAttempt", "?attempt"), ("?attempt", "repr:fixOutcome", "?outcome")]
 
 
 def repair_history(triples: DataFrame) -> DataFrame:
     """Notebooks, their attempts and outcomes, by a pattern over the triples."""
-    had = triples.where("p = 'repr:hadRepairAttempt'").select(F.col("s").alias("notebook"), F.col("o").alias("attempt"))
-    outcome = triples.where("p = 'repr:fixOutcome'").select(F.col("s").alias("attempt"), F.col("o").alias("outcome"))
-    return had.join(outcome, "attempt").select("notebook", "attempt", "outcome")
+    return match(triples, HISTORY).select("notebook", "attempt", "outcome")
 
 
 def model_strategy_comparison(attempts: DataFrame, external: DataFrame | None = None) -> DataFrame:

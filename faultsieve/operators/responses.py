@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions import schema as J
 from ..functions.jsontext import fenced, first_object, loads
-from ..functions.text import filled, once, strip, truncate_with_marker
+from ..functions.text import filled, kept, once, strip, truncate_with_marker
 from .contracts import EXPLANATION_SCHEMA
 
 # Which failures are tried again, and which fields of a record are told of with its result.
@@ -27,11 +28,12 @@ def extract_json(responses: DataFrame, column: str = "raw_response") -> DataFram
     """
     text, still = F.col("_text"), lambda *done: reduce(lambda a, b: a & b, [F.col(c).isNull() for c in done])
     out = once(responses, "_text", strip(filled(F.col(column))))
-    out = once(out, "_whole", loads(text))
+    parsed = lambda c: kept(responses, ("loads", c), lambda: loads(F.col(c)))
+    out = once(out, "_whole", parsed("_text"))
     out = once(out, "_block", F.when(still("_whole"), fenced(text)))
-    out = once(out, "_fenced", loads(F.col("_block")))
+    out = once(out, "_fenced", parsed("_block"))
     out = once(out, "_span", F.when(still("_whole", "_fenced"), first_object(text)))
-    out = once(out, "_inner", loads(F.col("_span")))
+    out = once(out, "_inner", parsed("_span"))
     payload = F.coalesce("_whole", "_fenced", "_inner")
     shape = F.when(F.col("_whole").isNotNull(), "whole").when(F.col("_fenced").isNotNull(), "fenced").when(F.col("_inner").isNotNull(), "embedded")
     out = out.withColumns({"payload": payload, "shape": shape}).drop("_text", "_whole", "_block", "_fenced", "_span", "_inner")
@@ -42,7 +44,9 @@ def extract_json(responses: DataFrame, column: str = "raw_response") -> DataFram
 
 def violations(rows: DataFrame, payload: Column, schema: str | dict = EXPLANATION_SCHEMA) -> DataFrame:
     """Adds violations, what a schema finds wrong with a payload: structs of path and rule, by path; null without a payload."""
-    return once(rows, "violations", J.violations(payload, schema))
+    text = schema if isinstance(schema, str) else json.dumps(schema)
+    found = kept(rows, ("violations", text), lambda: J.violations(F.col("_judged"), text))
+    return once(once(rows, "_judged", payload), "violations", found).drop("_judged")
 
 
 def parse_and_validate(responses: DataFrame, column: str = "raw_response", schema: str | dict = EXPLANATION_SCHEMA) -> DataFrame:

@@ -13,6 +13,8 @@ from ..functions.versions import python_compatibility
 from ..operators import attempts as A
 from ..operators import context as C
 from ..operators import dataset as D
+from ..operators import graph as G
+from ..operators import lineage as L
 from ..operators import prompts as P
 from ..operators import releases as V
 from ..operators import responses as Q
@@ -67,7 +69,24 @@ class Tables:
     @property
     def facts(self) -> DataFrame:
         told = self.outcomes.select("notebook_execution_id", F.col("explanation.summary").alias("explanation"))
-        return A.attempt_facts(self.f_attempts, self.dataset.join(self.f_executions.select("notebook_execution_id"), "notebook_execution_id"), told)
+        return A.attempt_facts(self.f_attempts, self.dataset, told, self.f_fixes, self.chain)
+
+    @property
+    def chain(self) -> DataFrame:
+        return L.rerun_chain(self.f_executions, self.f_reruns)
+
+    @property
+    def pending(self) -> DataFrame:
+        """Facts of a run that is not over: some second rounds are still to come."""
+        return self.facts.where("round = 1 or id % 7 <> 0")
+
+    @property
+    def graph(self) -> DataFrame:
+        """The triples of all attempts as a table with a partition for each predicate."""
+        path = S.new_path(self.spark, "graph")
+        triples = G.repair_triples(self.facts)
+        triples.write.partitionBy("p").parquet(path)
+        return self.spark.read.schema(triples.schema).parquet(path)
 
 
 def query(name: str, sql: str | None = None):
@@ -131,13 +150,13 @@ def _(t):
     return back.select("notebook_execution_id", "root_cause_hint", "context_status", F.col("legacy_traceback_hint.cell_source").alias("legacy_cell"))
 
 
-@query("sink_results_append", f"SELECT '{RUN_ID}' AS run_id, status, 2 * count(*) AS rows FROM oc GROUP BY 2")
+@query("sink_results_append", f"SELECT '{RUN_ID}' AS run_id, status, count(*) AS rows FROM oc GROUP BY 2")
 def _(t):
     path = S.new_path(t.spark, "results")
     rows = t.outcomes.select(F.lit(RUN_ID).alias("run_id"), "notebook_execution_id", "status", "failure_category")
-    for mode in ("overwrite", "append"):
-        rows.write.mode(mode).partitionBy("run_id").parquet(path)
-    return t.spark.read.parquet(path).groupBy("run_id", "status").agg(F.count("*").alias("rows"))
+    for part in (rows.where("status = 'failed'"), rows):  # the run is repeated, and counts once
+        S.commit_runs(part, path)
+    return S.read_runs(t.spark, path, rows.schema).groupBy("run_id", "status").agg(F.count("*").alias("rows"))
 
 
 COUNTS = ["split", "subtype", "error_type", "scope_status"]
@@ -152,11 +171,13 @@ def _(t):
     return t.spark.read.schema(counts.schema).json(path)
 
 
-@query("sink_repair_attempts", "SELECT run_id, round, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM f_attempts GROUP BY 1, 2")
+@query("sink_repair_attempts", "SELECT run_id, round, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids, count(new_error_type) AS new_errors FROM ft GROUP BY 1, 2")
 def _(t):
     path = S.new_path(t.spark, "attempts")
-    t.facts.write.mode("append").partitionBy("run_id", "round").parquet(path)
-    return t.spark.read.parquet(path).groupBy("run_id", "round").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+    facts = t.facts
+    for part in (facts, facts.where("run_id in ('run1', 'run4')")):  # two runs are repeated, and replace what they wrote
+        S.commit_runs(part, path, by=("round",))
+    return S.read_runs(t.spark, path, facts.schema).groupBy("run_id", "round").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"), F.count("new_error_type").alias("new_errors"))
 
 
 TRIPLES = """SELECT 'repr:notebook_' || a.notebook_execution_id AS s, 'repr:hadRepairAttempt' AS p, 'repr:repairattempt_' || a.id AS o FROM f_attempts a
@@ -164,23 +185,31 @@ UNION ALL SELECT 'repr:repairattempt_' || id, 'rdf:type', 'prov:Activity' FROM f
 UNION ALL SELECT 'repr:repairattempt_' || a.id, 'repr:failingModule', '"' || d.failing_module || '"' FROM f_attempts a JOIN ds d USING (notebook_execution_id)
 UNION ALL SELECT 'repr:repairattempt_' || id, 'repr:appliedFix', '"' || command || '"' FROM f_attempts WHERE command IS NOT NULL
 UNION ALL SELECT 'repr:repairattempt_' || id, 'repr:fixOutcome', '"' || outcome || '"' FROM f_attempts
-UNION ALL SELECT 'repr:repairattempt_' || a.id, 'repr:exception', '"' || d.error_type || '"' FROM f_attempts a JOIN ds d USING (notebook_execution_id) WHERE a.outcome = 'still_failing'
+UNION ALL SELECT 'repr:repairattempt_' || id, 'repr:exception', '"' || new_error_type || '"' FROM ft WHERE new_error_type IS NOT NULL
 UNION ALL SELECT 'repr:repairattempt_' || id, 'prov:wasAssociatedWith', 'repr:' || llm_model FROM f_attempts
 UNION ALL SELECT 'repr:repairattempt_' || id, 'prov:endedAtTime', '"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || 'Z"^^xsd:dateTime' FROM f_attempts"""
 
 
 def _iri_sql(c: str) -> str:
-    names = " ".join(f"WHEN starts_with({c}, '{k}:') THEN '<{v}' || substr({c}, {len(k) + 2}) || '>'" for k, v in A.PREFIXES.items())
-    return f"CASE WHEN {c} LIKE '\"%^^xsd:dateTime' THEN replace({c}, '^^xsd:dateTime', '^^<{A.PREFIXES['xsd']}dateTime>') {names} ELSE {c} END"
+    names = " ".join(f"WHEN starts_with({c}, '{k}:') THEN '<{v}' || substr({c}, {len(k) + 2}) || '>'" for k, v in G.PREFIXES.items())
+    return f"CASE WHEN {c} LIKE '\"%^^xsd:dateTime' THEN replace({c}, '^^xsd:dateTime', '^^<{G.PREFIXES['xsd']}dateTime>') {names} ELSE {c} END"
 
 
 @query("sink_triples", f"SELECT {_iri_sql('s')} || ' ' || {_iri_sql('p')} || ' ' || {_iri_sql('o')} || ' .' AS line FROM ({TRIPLES})")
 def _(t):
     path = S.new_path(t.spark, "triples")
-    A.triple_lines(A.repair_triples(t.facts)).write.mode("overwrite").text(path)
+    G.write_triples(G.repair_triples(t.facts), path)
     return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@query("scan_triples", f"SELECT s, p, o, CAST(NULL AS VARCHAR) AS error FROM ({TRIPLES}) UNION ALL SELECT NULL, NULL, NULL, '<a> <b> \"' || outcome || '\" .x' FROM f_attempts WHERE id % 11 = 0")
+def _(t):
+    path = S.new_path(t.spark, "triples")
+    broken = t.f_attempts.where("id % 11 = 0").select(F.concat(F.lit('<a> <b> "'), "outcome", F.lit('" .x')).alias("line"))
+    G.triple_lines(G.repair_triples(t.facts)).union(broken).write.text(path)
+    return G.read_triples(t.spark.read.text(path), "value")
+
+
 # classification rules
 
 
@@ -429,6 +458,16 @@ def _(t):
     return A.success_rate(rows, "subtype", "llm_model", "prompt_strategy", "round", "run_id")
 
 
+DIMENSIONS = ["subtype", "llm_model", "prompt_strategy", "round", "run_id"]
+
+
+@query("repair_rate_margins", f"""SELECT {', '.join(DIMENSIONS)}, CAST(GROUPING({', '.join(DIMENSIONS)}) AS BIGINT) AS level, count(*) AS attempted, count(*) FILTER (WHERE outcome = 'fixed') AS fixed,
+  round(count(*) FILTER (WHERE outcome = 'fixed') / count(*), 6) AS rate FROM f_attempts LEFT JOIN ds USING (notebook_execution_id) GROUP BY CUBE ({', '.join(DIMENSIONS)})""")
+def _(t):
+    rows = t.f_attempts.join(t.dataset.select("notebook_execution_id", "subtype"), "notebook_execution_id", "left")
+    return A.success_rate_cube(rows, *DIMENSIONS)
+
+
 @query("ablation_rounds", """SELECT one_round, all_rounds, count(*) AS failures FROM (SELECT arg_max(outcome, id) FILTER (WHERE round = 1) AS one_round, arg_max(outcome, round) AS all_rounds FROM f_attempts GROUP BY notebook_execution_id) GROUP BY 1, 2""")
 def _(t):
     return A.ablation_rounds(t.f_attempts)
@@ -590,30 +629,37 @@ def _(t):
     return C.join_legacy_hint(t.dataset, t.f_legacy).select("notebook_execution_id", F.col("legacy_traceback_hint.raw_traceback").alias("hint"))
 
 
-REPAIR_VALUES = {"error_context": "error_type || ': ' || error_message", "current_requirements": _gap("requirements"), "notebook_imports": "'Not available'", "pypi_versions": "'Not available'", "prior_attempt": "'Not available'"}
+_UNKNOWN = "'PyPI retrieval status: mapping_unknown' || chr(10) || 'Python import name: ' || r.failing_module || chr(10) || 'Resolved distribution name: Not available' || chr(10) || 'PyPI query: Not performed' || chr(10) || 'Reason: No verified import-to-distribution mapping is available.' || chr(10) || chr(10) || 'Candidate versions:' || chr(10) || 'Not available' || chr(10) || chr(10) || 'API-level compatibility evidence:' || chr(10) || 'Not available'"
+REPAIR_VALUES = {
+    "error_context": "coalesce(nullif(concat_ws(chr(10), nullif(concat_ws(': ', r.error_type, r.error_message), ''), 'failing module: ' || nullif(r.failing_module, ''), 'traceback:' || chr(10) || substr(r.traceback, 1, 4000)), ''), 'Not available')",
+    "current_requirements": "coalesce(q.requirements, 'Not available')", "notebook_imports": "coalesce(trim(i.imports), 'Not available')",
+    "pypi_versions": f"coalesce(k.context, {_UNKNOWN}, 'Not available')", "prior_attempt": "coalesce(r.prior, 'Not available')",
+}
 
 
-@query("render_repair_prompts", f"SELECT notebook_execution_id, {_fill_sql(P.with_strategy(P.REPAIR_TEMPLATE, 'zero_shot'), REPAIR_VALUES)} AS prompt FROM s1")
+@query("render_repair_prompts", f"SELECT r.notebook_execution_id, r.run_id, r.round, {_fill_sql(P.with_strategy(P.REPAIR_TEMPLATE, 'zero_shot'), REPAIR_VALUES)} AS prompt FROM pr r LEFT JOIN rq q USING (notebook_execution_id) LEFT JOIN im i USING (notebook_execution_id) LEFT JOIN kc k ON k.import_name = r.failing_module")
 def _(t):
-    gap = F.lit(P.NOT_AVAILABLE)
-    values = {"error_context": F.concat_ws(": ", "error_type", "error_message"), "current_requirements": X.or_missing(F.col("requirements")), "notebook_imports": gap, "pypi_versions": gap, "prior_attempt": gap}
-    return P.render(C.join_repository(t.dataset, t.f_repositories), P.with_strategy(P.REPAIR_TEMPLATE, "zero_shot"), values).select("notebook_execution_id", "prompt")
+    work = A.second_round_worklist(t.pending)
+    names = t.dataset.select("failing_module").union(work.select("failing_module")).where("failing_module is not null").select(F.col("failing_module").alias("import_name"))
+    releases = V.retrieval_context_text(V.retrieval_results(names, t.f_lookups, t.f_releases, PYTHON))
+    asked = P.repair_requests(t.records, work, releases, t.pending, t.f_attempts.where("round = 1"))
+    return P.render(asked, P.with_strategy(P.REPAIR_TEMPLATE, "zero_shot"), P.repair_values()).select("notebook_execution_id", "run_id", "round", "prompt")
 
 
-@query("few_shot_assembly", "SELECT notebook_execution_id, " + "CASE WHEN notebook_execution_id % 3 = 0 THEN " + _fill_sql(P.with_strategy(P.EXPLANATION_TEMPLATE, "zero_shot"), LOCAL_VALUES) + " ELSE " + _fill_sql(P.with_strategy(P.EXPLANATION_TEMPLATE, "few_shot"), LOCAL_VALUES) + " END AS prompt FROM h3")
+#: Strategies and their templates as rows; the last names a value that is not there.
+TEMPLATES = [(s, P.with_strategy(P.EXPLANATION_TEMPLATE, s)) for s in ("zero_shot", "few_shot")] + [("brief", "{{failing_module}} of {{notebook_execution_id}}: {{error_message}}"), ("broken", "{{error_type}} {{cause}}")]
+_strategy_sql = " ".join(f"WHEN '{s}' THEN {_fill_sql(text, LOCAL_VALUES)}" for s, text in TEMPLATES[:3])
+
+
+@query("few_shot_assembly", f"""SELECT notebook_execution_id, CASE prompt_strategy {_strategy_sql} END AS prompt,
+  CASE prompt_strategy WHEN 'broken' THEN 'KeyError: Unknown template placeholder: cause' WHEN 'none' THEN 'no template for none' END AS error FROM h3 JOIN f_plan USING (notebook_execution_id)""")
 def _(t):
-    values, zero = P.template_values(), F.col("notebook_execution_id") % 3 == 0
-    fill = lambda s: P.compile_template(P.with_strategy(P.EXPLANATION_TEMPLATE, s), values)
-    return t.local_records.select("notebook_execution_id", F.when(zero, fill("zero_shot")).otherwise(fill("few_shot")).alias("prompt"))
+    templates = t.spark.createDataFrame(TEMPLATES, "prompt_strategy string, template string")
+    records = t.local_records.join(t.f_plan, "notebook_execution_id")
+    return P.render_from_table(records, templates, P.template_values(), ["prompt_strategy"]).select("notebook_execution_id", "prompt", "error")
 
 
-@query("retrieval_context_text", """SELECT import_name, CASE WHEN status = 'resolved' THEN 'PyPI retrieval status: resolved' || chr(10) || 'Python import name: ' || import_name || chr(10) || 'Resolved distribution name: ' || distribution_name || chr(10) || 'Notebook Python version: 3.11' || chr(10)
-  || 'Latest available version: ' || coalesce(latest, 'Not available') || chr(10) || chr(10) || 'Candidate versions:' || chr(10) || (SELECT string_agg('- ' || version || ' | requires_python: ' || coalesce(requires_python, 'Not available') || ' | python_compatibility: ' || python_compatibility || ' | yanked: ' || yanked, chr(10) ORDER BY rank)
-    FROM g4 WHERE g4.distribution_name = k3.distribution_name)
-  ELSE 'PyPI retrieval status: ' || status || chr(10) || 'Python import name: ' || import_name || chr(10) || 'Resolved distribution name: ' || coalesce(distribution_name, 'Not available') || chr(10) || CASE WHEN status = 'mapping_unknown' THEN 'PyPI query: Not performed' ELSE 'PyPI query: Completed' END || chr(10) || 'Reason: ' ||
-    CASE status WHEN 'package_not_found' THEN 'The resolved distribution was not found on PyPI.' WHEN 'no_compatible_release' THEN 'No stable release that is not yanked fits the notebook.' WHEN 'network_error' THEN 'PyPI could not be reached.'
-      WHEN 'invalid_response' THEN 'The response could not be read.' ELSE 'No verified import-to-distribution mapping is available.' END || chr(10) || chr(10) || 'Candidate versions:' || chr(10) || 'Not available' END
-  || chr(10) || chr(10) || 'API-level compatibility evidence:' || chr(10) || 'Not available' AS context FROM k3""")
+@query("retrieval_context_text", "SELECT import_name, context FROM kc")
 def _(t):
     return V.retrieval_context_text(t.results)
 
@@ -732,9 +778,11 @@ def _(t):
 # repair attempts
 
 
-@query("validate_fix_objects", "SELECT id, CASE WHEN command LIKE 'conda%' THEN 'command,not pip' ELSE '' END AS violations FROM f_attempts")
+@query("validate_fix_objects", """SELECT id, concat_ws('; ', CASE WHEN x.flaw = 5 THEN '<root>: additional note' END, CASE WHEN command LIKE 'conda%' THEN 'command: exact; command: pattern' END,
+  CASE x.flaw WHEN 3 THEN 'pypi_evidence: required requires_python' WHEN 4 THEN 'pypi_evidence/chosen_version: type' END) AS violations FROM f_attempts JOIN f_fixes x ON x.attempt_id = id""")
 def _(t):
-    return A.fix_violations(t.f_attempts).select("id", F.array_join("violations", ",").alias("violations"))
+    texts = F.transform("violations", lambda v: F.concat(v.path, F.lit(": "), v.rule))
+    return A.fix_violations(t.f_fixes).select(F.col("attempt_id").alias("id"), F.array_join(texts, "; ").alias("violations"))
 
 
 @query("pin_supported_by_evidence", "SELECT id, version, EXISTS (SELECT 1 FROM g4 WHERE g4.distribution_name = install_name AND g4.version = f_attempts.version) AS supported FROM f_attempts WHERE action = 'pin_version'")
@@ -747,16 +795,30 @@ def _(t):
     return t.f_attempts.select("id", A.fix_command(F.col("action"), F.col("install_name"), F.col("version")).alias("command"))
 
 
-@query("attempt_fact_table", """SELECT a.id, a.notebook_execution_id, d.failing_module, d.subtype, CASE WHEN oc.status = 'success' THEN 's {x}' END AS explanation, a.action, a.install_name, a.version, a.command, CAST(NULL AS VARCHAR) AS rationale, CAST(NULL AS VARCHAR) AS pypi_evidence, a.outcome,
-  CASE WHEN a.outcome = 'still_failing' THEN d.error_type END AS new_error_type, CASE WHEN a.outcome = 'still_failing' THEN d.error_message END AS new_error_message, a.llm_model, a.prompt_strategy, a.round, a.run_id, a.created_at
-  FROM f_attempts a LEFT JOIN ds d USING (notebook_execution_id) LEFT JOIN oc USING (notebook_execution_id)""")
+@query("attempt_fact_table", "SELECT * FROM ft")
 def _(t):
     return t.facts
 
 
-@query("second_round_worklist", "SELECT notebook_execution_id, id, d.error_type AS new_error_type, d.error_message AS new_error_message FROM f_attempts a LEFT JOIN ds d USING (notebook_execution_id) WHERE round = 1 AND outcome = 'still_failing' AND NOT EXISTS (SELECT 1 FROM f_attempts b WHERE b.round = 2 AND b.notebook_execution_id = a.notebook_execution_id AND b.id % 7 <> 0)")
+@query("second_round_worklist", "SELECT * FROM wl")
+def _(t):
+    return A.second_round_worklist(t.pending)
+
+
+@query("rerun_chain", "SELECT * FROM ch")
 def _(t):
-    return A.second_round_worklist(t.facts.where("round = 1 or id % 7 <> 0"))
+    return t.chain
+
+
+@query("lost_reruns", "SELECT notebook_execution_id, parent_execution_id FROM f_reruns WHERE parent_execution_id NOT IN (SELECT notebook_execution_id FROM f_executions UNION ALL SELECT notebook_execution_id FROM f_reruns)")
+def _(t):
+    return L.lost_reruns(t.f_executions, t.f_reruns)
+
+
+@query("judged_outcome", """SELECT a.id, a.notebook_execution_id, a.run_id, a.round, a.outcome, CASE ch.execution_status WHEN 'SUCCESS' THEN 'fixed' WHEN 'FAILED' THEN 'still_failing' ELSE 'apply_error' END AS judged_outcome
+  FROM f_attempts a LEFT JOIN ch ON ch.notebook_execution_id = a.notebook_execution_id AND ch.run_id = a.run_id AND ch.round = a.round""")
+def _(t):
+    return L.judged_outcome(t.chain, t.f_attempts)
 
 
 @query("outcome_domain_check", "SELECT id, outcome FROM f_attempts WHERE outcome IS NULL OR outcome NOT IN ('fixed', 'still_failing', 'apply_error')")
@@ -766,12 +828,26 @@ def _(t):
 
 @query("repair_triples", TRIPLES)
 def _(t):
-    return A.repair_triples(t.facts)
+    return G.repair_triples(t.facts)
 
 
 @query("repair_history_query", "SELECT 'repr:notebook_' || notebook_execution_id AS notebook, 'repr:repairattempt_' || id AS attempt, '\"' || outcome || '\"' AS outcome FROM f_attempts")
 def _(t):
-    return A.repair_history(A.repair_triples(t.facts))
+    return A.repair_history(t.graph)
+
+
+@query("graph_pattern_fixes", f"""SELECT h.s AS notebook, h.o AS attempt, x.o AS command, m.o AS module, w.o AS model FROM ({TRIPLES}) h JOIN ({TRIPLES}) f ON f.s = h.o AND f.p = 'repr:fixOutcome' AND f.o = '"fixed"' JOIN ({TRIPLES}) x ON x.s = h.o AND x.p = 'repr:appliedFix'
+  JOIN ({TRIPLES}) m ON m.s = h.o AND m.p = 'repr:failingModule' JOIN ({TRIPLES}) w ON w.s = h.o AND w.p = 'prov:wasAssociatedWith' WHERE h.p = 'repr:hadRepairAttempt'""")
+def _(t):
+    patterns = [("?notebook", "repr:hadRepairAttempt", "?attempt"), ("?attempt", "repr:fixOutcome", '"fixed"'), ("?attempt", "repr:appliedFix", "?command"), ("?attempt", "repr:failingModule", "?module"), ("?attempt", "prov:wasAssociatedWith", "?model")]
+    return G.match(t.graph, patterns).select("notebook", "attempt", "command", "module", "model")
+
+
+@query("graph_pattern_two_attempts", f"""SELECT h.s AS notebook, h.o AS failed, g.o AS other, e.o AS exception, x.o AS command FROM ({TRIPLES}) h JOIN ({TRIPLES}) f ON f.s = h.o AND f.p = 'repr:fixOutcome' AND f.o = '"still_failing"'
+  JOIN ({TRIPLES}) g ON g.s = h.s AND g.p = 'repr:hadRepairAttempt' LEFT JOIN ({TRIPLES}) e ON e.s = h.o AND e.p = 'repr:exception' LEFT JOIN ({TRIPLES}) x ON x.s = g.o AND x.p = 'repr:appliedFix' WHERE h.p = 'repr:hadRepairAttempt'""")
+def _(t):
+    patterns = [("?notebook", "repr:hadRepairAttempt", "?failed"), ("?failed", "repr:fixOutcome", '"still_failing"'), ("?notebook", "repr:hadRepairAttempt", "?other")]
+    return G.match(t.graph, patterns, [("?failed", "repr:exception", "?exception"), ("?other", "repr:appliedFix", "?command")]).select("notebook", "failed", "other", "exception", "command")
 
 
 @query("model_strategy_comparison", "SELECT run_id, llm_model, round, count(*) FILTER (WHERE prompt_strategy = 'zero_shot' AND outcome = 'fixed') AS fixed_zero_shot, count(*) FILTER (WHERE prompt_strategy = 'few_shot' AND outcome = 'fixed') AS fixed_few_shot, count(*) AS attempted FROM (SELECT run_id, llm_model, round, prompt_strategy, outcome FROM f_attempts UNION ALL SELECT 'external', 'model_x', round, prompt_strategy, outcome FROM f_attempts WHERE id % 3 = 0) GROUP BY 1, 2, 3")

@@ -76,14 +76,15 @@ SOURCES = {
 }
 FENCE = "repeat(chr(96), 3)"
 RESPONSES = {
-    "a0": """SELECT *, trim(coalesce(raw_response, '')) AS t, notebook_execution_id FROM f_responses""".replace(", notebook_execution_id FROM", " FROM"),
+    # NaN and the like are numbers, which nothing here asks the value of
+    "a0": """SELECT *, regexp_replace(trim(coalesce(raw_response, '')), 'NaN|-?Infinity', '0', 'g') AS t FROM f_responses""",
     "a1": f"""SELECT *, CASE WHEN strpos(t, {FENCE}) > 0 THEN split_part(substr(t, strpos(t, {FENCE})), {FENCE}, 2) END AS block FROM a0""",
     "a2": """SELECT *, CASE WHEN block IS NOT NULL THEN trim(substr(block, strpos(block, chr(10)) + 1), chr(10) || ' ') END AS fence, regexp_extract(t, '(?s)\\{.*\\}', 0) AS span FROM a1""",
     "a3": """SELECT *, CASE WHEN t <> '' AND json_valid(t) THEN t WHEN fence IS NOT NULL AND json_valid(fence) THEN fence WHEN span <> '' AND json_valid(span) THEN span END AS payload,
   CASE WHEN t <> '' AND json_valid(t) THEN 'whole' WHEN fence IS NOT NULL AND json_valid(fence) THEN 'fenced' WHEN span <> '' AND json_valid(span) THEN 'embedded' END AS shape FROM a2""",
     "a4": """SELECT *, CASE WHEN payload IS NULL THEN 'invalid_json: no JSON object found in model response' WHEN json_type(payload) <> 'OBJECT' THEN 'non_object_json: model response must be a JSON object' END AS parse_error FROM a3""",
-    "a5": """SELECT *, CASE WHEN parse_error IS NOT NULL THEN parse_error ELSE concat_ws('; ', CASE WHEN json_exists(payload, '$.suggested_fix') THEN '<root>: additional suggested_fix' END,
-    CASE WHEN NOT json_exists(payload, '$.limitations') THEN '<root>: required limitations' END, CASE WHEN json_extract_string(payload, '$.limitations') = '' THEN 'limitations: minLength' END) END AS errors FROM a4""",
+    "a5": """SELECT *, CASE WHEN parse_error IS NOT NULL THEN parse_error ELSE concat_ws('; ', CASE WHEN json_exists(payload, '$.extra') THEN '<root>: additional extra; evidence/1: type; evidence/2: type' END, CASE WHEN json_exists(payload, '$.suggested_fix') THEN '<root>: additional suggested_fix' END,
+    CASE WHEN NOT json_exists(payload, '$.limitations') THEN '<root>: required limitations' END, CASE WHEN json_extract_string(payload, '$.explanation_confidence') = 'sure' THEN 'explanation_confidence: enum' END, CASE WHEN json_extract_string(payload, '$.limitations') = '' THEN 'limitations: minLength' END) END AS errors FROM a4""",
     "a6": """SELECT *, kind = 'reply' AND errors = '' AS valid, CASE WHEN kind <> 'reply' THEN kind WHEN errors = '' THEN NULL WHEN errors LIKE 'invalid_json%' THEN 'invalid_json' ELSE 'schema_validation_error' END AS category FROM a5""",
     "a7": """SELECT *, valid OR category = 'runtime_error' OR attempt > 1 AS stops FROM a6""",
     "a8": """SELECT *, min(attempt) FILTER (WHERE stops) OVER (PARTITION BY notebook_execution_id) AS stop_at FROM a7""",
@@ -108,8 +109,35 @@ RELEASES = {
     "k3": """SELECT *, CASE WHEN distribution_name IS NULL THEN 'mapping_unknown' WHEN http_status = 404 THEN 'package_not_found' WHEN http_status IS NULL OR http_status <> 200 THEN 'network_error' WHEN NOT parse_ok THEN 'invalid_response'
   WHEN found = 0 THEN 'no_compatible_release' ELSE 'resolved' END AS status FROM k2""",
 }
+RELEASES["kc"] = """SELECT import_name, CASE WHEN status = 'resolved' THEN 'PyPI retrieval status: resolved' || chr(10) || 'Python import name: ' || import_name || chr(10) || 'Resolved distribution name: ' || distribution_name || chr(10) || 'Notebook Python version: 3.11' || chr(10)
+  || 'Latest available version: ' || coalesce(latest, 'Not available') || chr(10) || chr(10) || 'Candidate versions:' || chr(10) || (SELECT string_agg('- ' || version || ' | requires_python: ' || coalesce(requires_python, 'Not available') || ' | python_compatibility: ' || python_compatibility || ' | yanked: ' || yanked, chr(10) ORDER BY rank)
+    FROM g4 WHERE g4.distribution_name = k3.distribution_name)
+  ELSE 'PyPI retrieval status: ' || status || chr(10) || 'Python import name: ' || import_name || chr(10) || 'Resolved distribution name: ' || coalesce(distribution_name, 'Not available') || chr(10) || CASE WHEN status = 'mapping_unknown' THEN 'PyPI query: Not performed' ELSE 'PyPI query: Completed' END || chr(10) || 'Reason: ' ||
+    CASE status WHEN 'package_not_found' THEN 'The resolved distribution was not found on PyPI.' WHEN 'no_compatible_release' THEN 'No stable release that is not yanked fits the notebook.' WHEN 'network_error' THEN 'PyPI could not be reached.'
+      WHEN 'invalid_response' THEN 'The response could not be read.' ELSE 'No verified import-to-distribution mapping is available.' END || chr(10) || chr(10) || 'Candidate versions:' || chr(10) || 'Not available' END
+  || chr(10) || chr(10) || 'API-level compatibility evidence:' || chr(10) || 'Not available' AS context FROM k3"""
+_REPAIR_MODULE = module_sql("new_error_message")
+REPAIRS = {
+    "y1": "SELECT r.*, e.notebook_execution_id AS root, 1 AS round FROM f_reruns r JOIN f_executions e ON e.notebook_execution_id = r.parent_execution_id",
+    "y2": "SELECT r.*, y1.root, 2 AS round FROM f_reruns r JOIN y1 ON r.parent_execution_id = y1.notebook_execution_id AND r.run_id = y1.run_id",
+    "ch": """SELECT root AS notebook_execution_id, run_id, round, notebook_execution_id AS execution_id, execution_status, error_type, error_message FROM (SELECT * FROM y1 UNION ALL SELECT * FROM y2)
+  QUALIFY row_number() OVER (PARTITION BY root, run_id, round ORDER BY created_at DESC, notebook_execution_id DESC) = 1""",
+    "ft": """SELECT a.id, a.notebook_execution_id, d.failing_module, d.subtype, CASE WHEN oc.status = 'success' THEN 's {x}' END AS explanation, a.action, a.install_name, a.version, a.command, 'because of ' || a.id AS rationale,
+  '{"chosen_version":' || CASE WHEN x.flaw = 4 THEN '1.5' ELSE coalesce('"' || a.version || '"', 'null') END || ',"latest_version":"1.14.0"' || CASE WHEN x.flaw = 3 THEN '' ELSE ',"requires_python":">=3.10"' END || '}' AS pypi_evidence, a.outcome,
+  CASE WHEN a.outcome = 'still_failing' THEN ch.error_type END AS new_error_type, CASE WHEN a.outcome = 'still_failing' THEN ch.error_message END AS new_error_message, a.llm_model, a.prompt_strategy, a.round, a.run_id, a.created_at
+  FROM f_attempts a JOIN f_fixes x ON x.attempt_id = a.id LEFT JOIN ds d USING (notebook_execution_id) LEFT JOIN oc USING (notebook_execution_id) LEFT JOIN ch ON ch.notebook_execution_id = a.notebook_execution_id AND ch.run_id = a.run_id AND ch.round = a.round""",
+    "wl": f"""SELECT notebook_execution_id, id, run_id, 2 AS round, new_error_type, new_error_message, CASE WHEN new_error_message IS NOT NULL THEN {_REPAIR_MODULE} END AS failing_module,
+  CASE new_error_type WHEN 'ModuleNotFoundError' THEN 'missing_package' WHEN 'ImportError' THEN 'wrong_version' WHEN 'NameError' THEN 'out_of_scope' END AS subtype, CASE WHEN new_error_type = 'NameError' THEN 'excluded' WHEN new_error_type IS NOT NULL THEN 'usable' END AS scope_status
+  FROM ft WHERE round = 1 AND outcome = 'still_failing' AND NOT EXISTS (SELECT 1 FROM ft b WHERE b.round = 2 AND b.notebook_execution_id = ft.notebook_execution_id AND b.run_id = ft.run_id AND b.id % 7 <> 0)""",
+    "im": """SELECT notebook_execution_id, string_agg(line, chr(10) ORDER BY cell_index, k) AS imports FROM (SELECT notebook_execution_id, cell_index, unnest(string_split(source, chr(10))) AS line, unnest(range(len(string_split(source, chr(10))))) AS k FROM c4 WHERE imports)
+  WHERE regexp_matches(line, '^\\s*(import|from)\\s+\\S+') GROUP BY 1""",
+    "rq": """SELECT notebook_execution_id, string_agg('# ' || path || chr(10) || content, chr(10) ORDER BY field_no, pos) AS requirements FROM p3 WHERE content <> '' GROUP BY 1""",
+    "pr": """SELECT a.notebook_execution_id, a.run_id, 1 AS round, c.error_type, c.error_message, c.failing_module, c.legacy_msg AS traceback, NULL AS prior FROM f_attempts a JOIN ctx c USING (notebook_execution_id) WHERE a.round = 1
+  UNION ALL SELECT w.notebook_execution_id, w.run_id, 2, w.new_error_type, w.new_error_message, w.failing_module, NULL, 'round 1: ' || f.action || ', command: ' || coalesce(f.command, 'none') || ', outcome: ' || f.outcome || coalesce(chr(10) || 'new error: ' || f.new_error_type || ': ' || f.new_error_message, '')
+  FROM wl w JOIN ft f ON f.id = w.id JOIN ds ON ds.notebook_execution_id = w.notebook_execution_id""",
+}
 
-BLOCKS = {**{k: v for k, v in FIXTURES.items()}, **DATASET, **REFINED, **LEGACY, **SOURCES, **RESPONSES, **RELEASES}
+BLOCKS = {**{k: v for k, v in FIXTURES.items()}, **DATASET, **REFINED, **LEGACY, **SOURCES, **RESPONSES, **RELEASES, **REPAIRS}
 
 
 def with_blocks(body: str) -> str:

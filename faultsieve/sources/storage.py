@@ -61,3 +61,53 @@ def scan_jsonl(lines: DataFrame, column: str = "value") -> DataFrame:
 
     kept = lines.where(F.coalesce(F.col(column), F.lit("")).rlike(r"(?U)\S"))
     return kept.withColumn("parsed", strict(F.col(column))).withColumn("error", F.when(F.col("parsed").isNull(), "malformed JSON"))
+
+
+MANIFEST = "run_id string, version string, committed_at timestamp, rows long"
+
+
+def commit_runs(rows: DataFrame, path: str, runs: list[str] | None = None, by: tuple[str, ...] = ()) -> str:
+    """Write the rows of one or more runs (column run_id) below path, as the state of those runs from now on; returns the version.
+
+    Rows go to partitions of a version that no reader knows until its runs stand in the manifest, which is written last: a
+    write that stops half way is never read, and writing a run again replaces it. `runs` names runs that may have no rows.
+    """
+    spark = rows.sparkSession
+    version = uuid.uuid4().hex
+    staged = rows.withColumn("version", F.lit(version))
+    staged.write.mode("append").partitionBy("version", "run_id", *by).parquet(f"{path}/data")
+    written = spark.read.schema(staged.schema).parquet(f"{path}/data").where(F.col("version") == version)
+    counts = written.groupBy("run_id").agg(F.count("*").alias("rows"))
+    if runs:
+        named = spark.createDataFrame([(r,) for r in runs], "run_id string")
+        counts = named.join(counts, "run_id", "full").select("run_id", F.coalesce("rows", F.lit(0)).alias("rows"))
+    counts.select("run_id", F.lit(version).alias("version"), F.current_timestamp().alias("committed_at"), "rows").coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return version
+
+
+def committed_versions(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, version and rows of the last commit of each run."""
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    last = F.max_by(F.struct("version", "rows"), F.struct("committed_at", "version"))
+    return manifest.groupBy("run_id").agg(last.alias("l")).select("run_id", "l.version", "l.rows")
+
+
+def read_runs(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The committed rows of all runs, with the columns of schema; partitions of other versions are not read."""
+    names = [f.name for f in schema.fields]
+    known = committed_versions(spark, path).select("run_id", "version")
+    stored = type(schema)([*schema.fields]).add("version", "string")
+    return spark.read.schema(stored).parquet(f"{path}/data").join(known, ["run_id", "version"], "left_semi").select(*names)
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> list[str]:
+    """Remove versions that no run's last commit names, torn writes among them, and return their names; not beside a running write."""
+    files = spark._jvm.org.apache.hadoop.fs
+    root = files.Path(f"{path}/data")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [f.getPath() for f in system.listStatus(root) if f.getPath().getName().startswith("version=")]
+    keep = {r["version"] for r in committed_versions(spark, path).select("version").distinct().collect()}
+    old = [p for p in there if p.getName().removeprefix("version=") not in keep]
+    for p in old:
+        system.delete(p, True)
+    return sorted(p.getName().removeprefix("version=") for p in old)

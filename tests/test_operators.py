@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultsieve.operators import attempts as A
 from faultsieve.operators import context as C
 from faultsieve.operators import dataset as D
+from faultsieve.operators import graph as G
 from faultsieve.operators import prompts as P
 from faultsieve.operators import releases as V
 from faultsieve.operators import responses as Q
@@ -127,10 +128,13 @@ def test_releases(spark):
 
 
 def test_fix_objects(spark):
-    fixes = [(1, "install", "a", None, "pip install a"), (2, "pin_version", "a", "1", "pip install a==1"), (3, "none", None, None, None), (4, "install", "a", "1", "pip install a"), (5, "pin_version", "a", None, None), (6, "none", None, None, "pip install a"), (7, "remove", None, None, None), (8, "install", "a", None, "conda install a"), (9, None, None, None, None)]
-    got = {r.id: r.violations for r in A.fix_violations(spark.createDataFrame(fixes, "id int, action string, install_name string, version string, command string")).collect()}
-    assert got[1] == got[2] == got[3] == []
-    assert got[4] == ["version not null"] and got[5] == ["version missing", "command"] and got[6] == ["none with values"] and got[7] == ["action"] and got[8] == ["command", "not pip"] and got[9] == ["action"]
+    evidence = {"latest_version": "2", "chosen_version": None, "requires_python": None}
+    fixes = [("install", "a", None, "pip install a"), ("pin_version", "a", "1", "pip install a==1"), ("none", None, None, None), ("install", "a", "1", "pip install a"), ("pin_version", "a", "1", "pip install a==2"), ("install", "a", None, "conda install a"), (None, None, None, None)]
+    texts = [json.dumps({"action": a, "import_name": "x", "install_name": n, "version": v, "command": c, "rationale": "r", "pypi_evidence": evidence}) for a, n, v, c in fixes] + ["no json", None, "[1]"]
+    got = {r.id: [": ".join(v) for v in r.violations] for r in A.fix_violations(spark.createDataFrame(list(enumerate(texts)), "id int, fix string")).collect()}
+    assert got[0] == got[1] == got[2] == []
+    assert got[3] == ["version: type"] and got[4] == ["command: exact"] and got[5] == ["command: exact", "command: pattern"]
+    assert got[6] == ["action: enum"] and got[7] == got[8] == ["<root>: invalid_json"] and got[9] == ["<root>: type"]
 
 
 def test_kappa_by_hand(spark):
@@ -190,7 +194,7 @@ def test_best_file_of_a_release(spark):
 
 def test_triples_as_lines(spark):
     facts = spark.createDataFrame([(7, 3, "m", 'pip\n"x"\\\t', "fixed", None, "gemma2:9b x")], "id long, notebook_execution_id long, failing_module string, command string, outcome string, new_error_type string, llm_model string")
-    lines = [r.line for r in A.triple_lines(A.repair_triples(facts.withColumn("created_at", F.lit("2025-01-02 03:04:05").cast("timestamp")))).collect()]
+    lines = [r.line for r in G.triple_lines(G.repair_triples(facts.withColumn("created_at", F.lit("2025-01-02 03:04:05").cast("timestamp")))).collect()]
     assert len(lines) == 8 and not any("\n" in x or "\t" in x or "\r" in x for x in lines)
     assert all(x.startswith("<urn:notebook-repair:") and x.endswith(" .") for x in lines)
     assert any('"pip\\n\\"x\\"\\\\\\t"' in x for x in lines)
