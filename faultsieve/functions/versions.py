@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 VERSION = r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)[-_.]?((?:a|b|c|rc|alpha|beta|pre|preview)[-_.]?\d*)?(?:(?:[-_.]?(?:post|rev|r)[-_.]?(\d*))|-(\d+))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+.*)?$"
 
 
@@ -33,14 +35,19 @@ def is_pre_release(c: Column) -> Column:
 
 def version_key(c: Column) -> Column:
     """A struct that sorts versions: epoch, release, phase (dev alone, a, b, rc, final) and its number, post number, dev number (none is last)."""
-    pre, dev = _group(c, 3), _group(c, 6) != ""
-    letter, number = F.substring(pre, 1, 1), F.regexp_extract(pre, r"(\d+)$", 1).try_cast("bigint")
-    post = F.when(_group(c, 4) != "", _group(c, 4).try_cast("bigint")).when(_group(c, 5) != "", _group(c, 5).try_cast("bigint")).when(F.lower(c).rlike(r"(post|rev|\dr)\d*"), 0).otherwise(-1)
-    return F.struct(
-        F.coalesce(_group(c, 1).try_cast("bigint"), F.lit(0)).alias("epoch"), trimmed(numbers(_group(c, 2))).alias("release"),
-        F.when(letter == "a", 1).when(letter == "b", 2).when(letter != "", 3).when(dev & (post < 0), 0).otherwise(4).alias("phase"), F.coalesce(number, F.lit(0)).alias("number"),
-        post.cast("bigint").alias("post"), F.when(dev, F.coalesce(_group(c, 7).try_cast("bigint"), F.lit(0))).otherwise((1 << 63) - 1).alias("dev"),
-    )
+    parts = F.struct(*[_group(c, i).alias(n) for i, n in enumerate(("epoch", "release", "pre", "post", "bare", "dev", "dev_number"), 1)], F.lower(c).alias("text"))
+
+    def key(v: Column) -> Column:
+        number = lambda x, missing: F.coalesce(x.try_cast("bigint"), F.lit(missing))
+        letter, dev = F.substring(v.pre, 1, 1), v.dev != ""
+        post = F.when(v.post != "", v.post.try_cast("bigint")).when(v.bare != "", v.bare.try_cast("bigint")).when(v.text.rlike(r"(post|rev|\dr)\d*"), 0).otherwise(-1)
+        phase = F.when(letter == "a", 1).when(letter == "b", 2).when(letter != "", 3).when(dev & (post < 0), 0).otherwise(4)
+        return F.struct(
+            number(v.epoch, 0).alias("epoch"), trimmed(numbers(v.release)).alias("release"), phase.alias("phase"), number(F.regexp_extract(v.pre, r"(\d+)$", 1), 0).alias("number"),
+            post.cast("bigint").alias("post"), F.when(dev, number(v.dev_number, 0)).otherwise((1 << 63) - 1).alias("dev"),
+        )
+
+    return let(parts, key)
 
 
 def python_compatibility(requires: Column, python: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import one_row
-from ..functions.text import filled, once, split_paths, strip
+from ..functions.text import filled, kept, once, split_paths, strip
 from .rules import legacy_matches, normalized_fields
 
 STORED_CHARS = 4_000
@@ -122,20 +122,81 @@ def context_status(remote: Column, legacy: Column, attempted: Column | bool) ->
     return F.when(remote, "remote_fetched").when(legacy, "legacy_execution_hint").when(F.lit(attempted) if isinstance(attempted, bool) else attempted, "source_not_found").otherwise("metadata_only")
 
 
-def enrich(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot: DataFrame, fetch: bool = True) -> DataFrame:
-    """The nested record of each classified failure.
+#: What a record is made of, in the order that `_lookups` and `_probes` name: itself, a file of its repository, a legacy row of its notebook.
+_RECORD, _FILE, _LEGACY = "record", "file", "legacy"
+_KEY = "struct<kind:string,a:string,b:string,c:string>"
+#: The field number of a notebook's own source among its files.
+_SOURCE = -1
 
-    Hints, sources and files are looked up from the rows and their repositories alone, then joined by the execution.
-    """
+
+def _key(kind: str, a: Column, b: Column | None = None, c: Column | None = None) -> Column:
+    empty = F.lit("")
+    return F.struct(F.lit(kind).alias("kind"), a.cast("string").alias("a"), (empty if b is None else b).alias("b"), (empty if c is None else c).alias("c"))
+
+
+def _wanted(fetch: bool) -> Column:
+    """The keys that a record looks up: its own, its notebook's legacy rows, and its files under each reference in turn (rank)."""
+    probe = lambda key, field, pos, path, rank, ref: F.struct(key.alias("key"), field.cast("int").alias("field_no"), pos.cast("int").alias("pos"), path.alias("path"), rank.cast("int").alias("rank"), ref.alias("ref"))
+    none, text = F.lit(None), F.lit(None).cast("string")
+    plain = lambda key: probe(key, none, none, text, none, text)
+    parts = [F.array(plain(_key(_RECORD, F.col("notebook_execution_id")))), F.when(filled(F.col("failing_module")) != "", F.array(plain(_key(_LEGACY, F.col("notebook_id")))))]
     if fetch:
-        own = join_repository(rows, repositories)
-        files = collect_files(join_dependency_files(own, snapshot))
-        out = join_source_snapshot(own, snapshot).join(files, "notebook_execution_id", "left").join(legacy_hints(rows, legacy), "notebook_execution_id", "left")
-        out = once(out.withColumn("legacy_hint_rejected", F.coalesce("legacy_hint_rejected", F.lit(False))), "remote", notebook_context(F.col("content"), F.col("error_cell_index")))
-    else:
-        out = join_legacy_hint(rows, legacy).withColumns({"remote": F.lit(None).cast("struct<failing_cell_source:string,import_cells:array<struct<cell_index:bigint,source:string>>,surrounding_cells:array<struct<cell_index:bigint,source:string>>>"), "dependency_files": F.lit(None).cast(FILES)})
+        under = lambda field, pos, path: F.transform(_refs(), lambda ref, rank: probe(_key(_FILE, F.col("repository"), ref, path), field, pos, path, rank, ref))
+        each = lambda i: lambda path, pos: under(F.lit(i), pos, path)
+        listed = [F.flatten(F.transform(split_paths(F.col(c)), each(i))) for i, c in enumerate(FILE_FIELDS)]
+        parts.append(F.when(filled(F.col("repository")) != "", F.concat(under(F.lit(_SOURCE), F.lit(0), F.col("notebook_name")), *listed)))
+    return F.filter(F.concat(*[F.coalesce(p, F.array().cast(f"array<struct<key:{_KEY},field_no:int,pos:int,path:string,rank:int,ref:string>>")) for p in parts]), lambda p: p.key.a.isNotNull() & p.key.c.isNotNull())
+
+
+def _probes(rows: DataFrame, fetch: bool) -> DataFrame:
+    """One row for each thing that a record looks up, and one for the record itself, which alone has its columns (own)."""
+    known = kept(rows, ("probes", fetch), lambda: _wanted(fetch))
+    names = [c for c in rows.columns if c not in ("commit_ref", "repository", *FILE_FIELDS)]
+    out = rows.withColumn("_p", F.explode(known))
+    kind = F.col("_p.key.kind")
+    match_on = F.struct("error_type", "error_message", "failing_module")
+    return out.select("notebook_execution_id", "_p.*", F.when(kind == _RECORD, F.struct(*names)).alias("own"), F.when(kind == _LEGACY, match_on).alias("failure"))
+
+
+def _lookups(legacy: DataFrame, snapshot: DataFrame | None) -> DataFrame:
+    found = legacy.select(_key(_LEGACY, F.col("notebook_id")).alias("key"), F.col("id").alias("legacy_id"), F.col("msg").alias("text"))
+    if snapshot is None:
+        return found
+    return found.unionByName(snapshot.select(_key(_FILE, F.col("repository"), F.col("ref"), F.col("path")).alias("key"), F.lit(None).cast("long").alias("legacy_id"), F.col("content").alias("text")))
+
+
+def gather(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot: DataFrame, fetch: bool = True) -> DataFrame:
+    """The columns of rows with legacy_traceback_hint, legacy_hint_rejected, content (of the notebook's source) and dependency_files.
+
+    Hints, sources and files are looked up in one join and meet the record in one aggregation by the execution, so each table is
+    read once and five exchanges do it all: two for the repositories, two for the lookup, one for the records.
+    Traceback and files are cut to what a record stores before they move again.
+    """
+    probes = _probes(join_repository(rows, repositories) if fetch else rows, fetch)
+    found = probes.join(_lookups(legacy, snapshot if fetch else None), "key", "left")
+    of = lambda name: F.col("key.kind") == name
+    failure, text = F.col("failure"), F.col("text")
+    candidate = of(_LEGACY) & F.coalesce(F.contains("text", "failure.failing_module"), F.lit(False))
+    accepted = candidate & legacy_matches(failure.error_type, failure.error_message, failure.failing_module, text)
+    hint = F.struct("legacy_id", F.struct(F.col("failure.failing_module").alias("matched_module"), cell_source(text).alias("cell_source"), F.substring("text", 1, STORED_CHARS).alias("raw_traceback")).alias("hint"))
+    content = F.when(F.col("field_no") == _SOURCE, text).when(text != "", F.substring("text", 1, STORED_CHARS))
+    file = F.struct("field_no", "pos", text.isNull().alias("gone"), "rank", "path", F.when(text.isNotNull(), F.col("ref")).alias("ref"), content.alias("content"))
+    kept = found.where(~of(_LEGACY) | candidate).select(
+        "notebook_execution_id", "own", F.when(accepted, hint).alias("hint"), candidate.alias("seen"), F.when(of(_FILE), file).alias("file"),
+    )
+    grouped = kept.groupBy("notebook_execution_id").agg(F.first("own", ignorenulls=True).alias("own"), F.min("hint").alias("best"), F.bool_or("seen").alias("seen"), F.sort_array(F.collect_list("file")).alias("files"))
+    files = F.filter("files", lambda f, i: (i == 0) | F.coalesce((f.field_no != F.try_element_at("files", i).field_no) | (f.pos != F.try_element_at("files", i).pos), F.lit(True)))
+    out = once(grouped, "_first", files)
+    source = F.filter("_first", lambda f: f.field_no == _SOURCE)
+    listed = F.transform(F.filter("_first", lambda f: f.field_no != _SOURCE), lambda f: F.struct(f.path, (~f.gone).alias("fetched"), f.ref, f.content)).cast(FILES)
+    return out.select("own.*", F.col("best.hint").alias("legacy_traceback_hint"), (F.col("seen") & F.col("best").isNull()).alias("legacy_hint_rejected"), F.try_element_at(source, F.lit(1)).content.alias("content"), listed.alias("dependency_files"))
+
+
+def enrich(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot: DataFrame, fetch: bool = True) -> DataFrame:
+    """The nested record of each classified failure; rows have one execution each."""
+    out = once(gather(rows, legacy, repositories, snapshot, fetch), "remote", kept(rows, ("notebook_context",), lambda: notebook_context(F.col("content"), F.col("error_cell_index"))))
     none = F.array().cast("array<struct<cell_index:bigint,source:string>>")
-    files = F.coalesce("dependency_files", F.array().cast(FILES))
+    files = F.col("dependency_files")
     out = out.withColumn("context_status", context_status(F.col("remote").isNotNull(), F.col("legacy_traceback_hint").isNotNull(), fetch))
     remote_cell = F.when(F.col("remote.failing_cell_source") != "", F.col("remote.failing_cell_source"))
     context = F.struct(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import normalize_distribution
+from ..functions.text import kept, normalize_distribution, once
 from ..functions.versions import is_pre_release, is_version, python_compatibility, version_key
 
 # The verified names; no other import name is taken as a distribution name.
@@ -25,22 +25,26 @@ def resolve_distribution(failures: DataFrame) -> DataFrame:
     return failures.join(names, "import_name", "left").withColumn("mapping_status", F.when(F.col("distribution_name").isNull(), "mapping_unknown").otherwise("mapped"))
 
 
+def _fit(df: DataFrame, python: str | None) -> Column:
+    return kept(df, ("python_compatibility", python), lambda: python_compatibility(F.col("requires_python"), F.lit(python)))
+
+
 def release_grouping(files: DataFrame, python: str | None = None) -> DataFrame:
     """One row for each distribution and version; it is yanked if all its files are.
 
     requires_python is that of the file that serves best: not yanked, then not against python, then with a requirement, then by name.
     """
-    fit = python_compatibility(F.col("requires_python"), F.lit(python))
-    rank = F.struct("yanked", fit == "incompatible", F.col("requires_python").isNull(), "filename")
-    return files.groupBy("distribution_name", "version").agg(F.bool_and("yanked").alias("yanked"), F.min_by("requires_python", rank).alias("requires_python"), F.max(F.when(F.col("yanked"), F.col("yanked_reason"))).alias("yanked_reason"), F.count("*").alias("files"))
+    fit = _fit(files, python)
+    rank = F.struct("yanked", F.col("_against"), F.col("requires_python").isNull(), "filename")
+    return once(files, "_against", fit == "incompatible").groupBy("distribution_name", "version").agg(F.bool_and("yanked").alias("yanked"), F.min_by("requires_python", rank).alias("requires_python"), F.max(F.when(F.col("yanked"), F.col("yanked_reason"))).alias("yanked_reason"), F.count("*").alias("files"))
 
 
 def judged_releases(releases: DataFrame, python: str | None) -> DataFrame:
     """Adds key, python_compatibility and excluded, the first reason that holds."""
     version = F.col("version")
-    fit = python_compatibility(F.col("requires_python"), F.lit(python))
-    reason = F.when(~is_version(version), "invalid_version").when(F.col("yanked"), "yanked").when(is_pre_release(version), "pre-release").when(fit == "incompatible", "incompatible requires-python")
-    return releases.withColumns({"key": version_key(version), "python_compatibility": fit, "excluded": reason})
+    fit = _fit(releases, python)
+    reason = F.when(~is_version(version), "invalid_version").when(F.col("yanked"), "yanked").when(is_pre_release(version), "pre-release").when(F.col("python_compatibility") == "incompatible", "incompatible requires-python")
+    return once(once(once(releases, "key", kept(releases, ("version_key",), lambda: version_key(version))), "python_compatibility", fit), "excluded", reason)
 
 
 def release_top5(judged: DataFrame, n: int = MOST_CANDIDATES) -> DataFrame:

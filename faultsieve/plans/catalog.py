@@ -639,10 +639,11 @@ REPAIR_VALUES = {
 
 @query("render_repair_prompts", f"SELECT r.notebook_execution_id, r.run_id, r.round, {_fill_sql(P.with_strategy(P.REPAIR_TEMPLATE, 'zero_shot'), REPAIR_VALUES)} AS prompt FROM pr r LEFT JOIN rq q USING (notebook_execution_id) LEFT JOIN im i USING (notebook_execution_id) LEFT JOIN kc k ON k.import_name = r.failing_module")
 def _(t):
-    work = A.second_round_worklist(t.pending)
+    facts = S.settled(t.pending, "facts")
+    work = S.settled(A.second_round_worklist(facts), "worklist")
     names = t.dataset.select("failing_module").union(work.select("failing_module")).where("failing_module is not null").select(F.col("failing_module").alias("import_name"))
     releases = V.retrieval_context_text(V.retrieval_results(names, t.f_lookups, t.f_releases, PYTHON))
-    asked = P.repair_requests(t.records, work, releases, t.pending, t.f_attempts.where("round = 1"))
+    asked = P.repair_requests(t.records, work, releases, facts, t.f_attempts.where("round = 1"))
     return P.render(asked, P.with_strategy(P.REPAIR_TEMPLATE, "zero_shot"), P.repair_values()).select("notebook_execution_id", "run_id", "round", "prompt")
 
 

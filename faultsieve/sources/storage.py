@@ -29,6 +29,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, where several parts of a plan begin with it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_dependency_errors(executions: DataFrame) -> DataFrame:
     """Failed executions of the dependency category; the filter and the columns reach the scan."""
     return executions.where("error_category = 'DEPENDENCY_ERROR'").select(
