@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 
 def strict(c: Column) -> Column:
@@ -90,9 +90,8 @@ def loads(c: Column) -> Column:
     The session's settings do not matter.
     """
     names = F.regexp_extract_all(c, F.lit(r'("(?:[^"\\]|\\[\s\S])*+")\s*:'), F.lit(1))
-    odd = c.rlike("NaN|Infinity") | (F.size(names) > F.size(F.array_distinct(names))) | F.exists(names, lambda n: n.contains("\\"))
-    exact = strict(c)
-    return F.when(odd, strict(plain(c))).otherwise(exact)
+    repeated = let(names, lambda n: (F.size(n) > F.size(F.array_distinct(n))) | F.exists(n, lambda x: x.contains("\\")))
+    return F.coalesce(strict(c), F.when(c.rlike("NaN|Infinity") | repeated, let(plain(c), strict)))
 
 
 def fenced(c: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .jsontext import NOT_A_NUMBER
 from .text import let
 
+_NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
 VIOLATIONS = "array<struct<path:string,rule:string>>"
 ROOT = "<root>"
 _ANNOTATIONS = {"$schema", "$id", "$defs", "$comment", "title", "description", "default", "examples", "format"}
@@ -60,7 +61,7 @@ class _Node:
 
 def _is(kind: Column, fields: Column, name: str, number: Column) -> Column:
     odd = F.coalesce(F.map_contains_key(fields, NOT_A_NUMBER), F.lit(False))
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL") | odd
+    numeric = kind.isin(*_NUMBERS) | kind.startswith("DECIMAL") | odd
     known = {
         "string": kind == "STRING", "null": kind == "VOID", "boolean": kind == "BOOLEAN", "array": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT") & ~odd,
         "number": numeric, "integer": numeric & ~odd & F.coalesce(number % 1 == 0, F.lit(False)),
@@ -88,11 +89,14 @@ class Compiler:
             return _none() if schema else node.wrong(F.lit(True), "false")
         if unknown := set(schema) - _KNOWN - _ANNOTATIONS:
             raise ValueError(f"keywords that are not known: {', '.join(sorted(unknown))}")
-        facts = F.struct(
-            F.schema_of_variant(value).alias("kind"), F.try_variant_get(value, "$", "map<string,variant>").alias("fields"), F.try_variant_get(value, "$", "string").alias("text"),
-            F.try_variant_get(value, "$", "double").alias("number"), F.try_variant_get(value, "$", "array<variant>").alias("items"),
-        )
-        return let(facts, lambda f: self._rules(node, schema, f, seen))
+        def facts(kind: Column) -> Column:
+            """What is read of a value, each for its kind alone: other casts would fail row by row."""
+            read = lambda to: F.try_variant_get(value, "$", to)
+            fields, scalar = F.when(kind.startswith("OBJECT"), read("map<string,variant>")), kind.isin("STRING", "BOOLEAN")
+            number = F.when(kind.isin(*_NUMBERS) | kind.startswith("DECIMAL"), read("double"))
+            return F.struct(kind.alias("kind"), fields.alias("fields"), F.when(scalar, read("string")).alias("text"), number.alias("number"), F.when(kind.startswith("ARRAY"), read("array<variant>")).alias("items"))
+
+        return let(F.schema_of_variant(value), lambda kind: let(facts(kind), lambda f: self._rules(node, schema, f, seen)))
 
     def _rules(self, node: _Node, schema: dict, f: Column, seen: tuple) -> Column:
         kind, fields, number, items = f.kind, f.fields, f.number, f.items

@@ -58,11 +58,12 @@ def attempt_facts(attempts: DataFrame, failures: DataFrame, explanations: DataFr
     """One row of 19 columns for each attempt.
 
     rationale and pypi_evidence (JSON) are those of the proposal, and an attempt that still fails has the error of the
-    execution that it caused (`lineage.rerun_chain`), so later rounds start from another error than the first.
+    execution that it caused (`lineage.rerun_chain`), so later rounds start from another error than the first. Of several
+    proposals of one attempt the one with the last text counts.
     """
     known = failures.select("notebook_execution_id", "failing_module", "subtype")
     told = explanations.select("notebook_execution_id", "explanation")
-    proposed = read_fixes(fixes).select(F.col("attempt_id").alias("id"), "rationale", "pypi_evidence")
+    proposed = read_fixes(fixes).groupBy(F.col("attempt_id").alias("id")).agg(F.max_by(F.struct("rationale", "pypi_evidence"), "fix").alias("f")).select("id", "f.*")
     shown = chain.select("notebook_execution_id", "run_id", "round", F.col("error_type").alias("_type"), F.col("error_message").alias("_message"))
     rows = attempts.join(shown, ["notebook_execution_id", "run_id", "round"], "left").join(known, "notebook_execution_id", "left").join(told, "notebook_execution_id", "left").join(proposed, "id", "left")
     failing = F.col("outcome") == "still_failing"
