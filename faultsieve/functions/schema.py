@@ -60,13 +60,13 @@ class _Node:
 
 
 def _is(kind: Column, fields: Column, name: str, number: Column) -> Column:
-    odd = F.coalesce(F.map_contains_key(fields, NOT_A_NUMBER), F.lit(False))
-    numeric = kind.isin(*_NUMBERS) | kind.startswith("DECIMAL") | odd
+    odd = lambda: F.coalesce(F.map_contains_key(fields, NOT_A_NUMBER), F.lit(False))
+    numeric = lambda: kind.isin(*_NUMBERS) | kind.startswith("DECIMAL")
     known = {
-        "string": kind == "STRING", "null": kind == "VOID", "boolean": kind == "BOOLEAN", "array": kind.startswith("ARRAY"), "object": kind.startswith("OBJECT") & ~odd,
-        "number": numeric, "integer": numeric & ~odd & F.coalesce(number % 1 == 0, F.lit(False)),
+        "string": lambda: kind == "STRING", "null": lambda: kind == "VOID", "boolean": lambda: kind == "BOOLEAN", "array": lambda: kind.startswith("ARRAY"), "object": lambda: kind.startswith("OBJECT") & ~odd(),
+        "number": lambda: numeric() | odd(), "integer": lambda: numeric() & F.coalesce(number % 1 == 0, F.lit(False)),
     }
-    return known[name]
+    return known[name]()
 
 
 class Compiler:
@@ -92,15 +92,15 @@ class Compiler:
         def facts(kind: Column) -> Column:
             """What is read of a value, each for its kind alone: other casts would fail row by row."""
             read = lambda to: F.try_variant_get(value, "$", to)
-            fields, scalar = F.when(kind.startswith("OBJECT"), read("map<string,variant>")), kind.isin("STRING", "BOOLEAN")
+            fields = F.when(kind.startswith("OBJECT"), read("map<string,variant>"))
             number = F.when(kind.isin(*_NUMBERS) | kind.startswith("DECIMAL"), read("double"))
-            return F.struct(kind.alias("kind"), fields.alias("fields"), F.when(scalar, read("string")).alias("text"), number.alias("number"), F.when(kind.startswith("ARRAY"), read("array<variant>")).alias("items"))
+            return F.struct(kind.alias("kind"), fields.alias("fields"), F.when(kind == "STRING", read("string")).alias("text"), F.when(kind == "BOOLEAN", read("boolean")).alias("flag"), number.alias("number"), F.when(kind.startswith("ARRAY"), read("array<variant>")).alias("items"))
 
         return let(F.schema_of_variant(value), lambda kind: let(facts(kind), lambda f: self._rules(node, schema, f, seen)))
 
     def _rules(self, node: _Node, schema: dict, f: Column, seen: tuple) -> Column:
-        kind, fields, number, items = f.kind, f.fields, f.number, f.items
-        text = F.when(kind == "STRING", f.text)
+        kind, fields, number, items = f.kind, f.fields, f.number, f["items"]
+        text = f.text
         is_a = lambda name: _is(kind, fields, name, number)
         only = lambda test, found: F.when(F.coalesce(test, F.lit(False)), found).otherwise(_none())
         again = lambda s: self.check(node.value, s, node.path, seen)
@@ -120,14 +120,12 @@ class Compiler:
                     test = test | F.coalesce(self._equals(kind, text, f, v), F.lit(False))
                 parts.append(node.wrong(~test, word))
         size = {"minLength": lambda n: F.length(text) < n, "maxLength": lambda n: F.length(text) > n, "pattern": lambda p: ~text.rlike(p)}
-        amount = F.when(is_a("number"), number)
-        size |= {"minimum": lambda n: amount < n, "maximum": lambda n: amount > n, "exclusiveMinimum": lambda n: amount <= n, "exclusiveMaximum": lambda n: amount >= n}
-        listed = F.when(is_a("array"), items)
-        size |= {"minItems": lambda n: F.size(listed) < n, "maxItems": lambda n: F.size(listed) > n}
+        size |= {"minimum": lambda n: number < n, "maximum": lambda n: number > n, "exclusiveMinimum": lambda n: number <= n, "exclusiveMaximum": lambda n: number >= n}
+        size |= {"minItems": lambda n: F.size(items) < n, "maxItems": lambda n: F.size(items) > n}
         parts += [node.wrong(test(schema[word]), word) for word, test in size.items() if word in schema]
         parts += self._members(node, schema, only, is_a("object"), fields, seen)
         if "items" in schema:
-            each = F.transform(listed, lambda x, i: self.check(x, schema["items"], node.child(i.cast("string")), seen))
+            each = F.transform(items, lambda x, i: self.check(x, schema["items"], node.child(i.cast("string")), seen))
             parts.append(only(is_a("array"), F.flatten(each)))
         valid = lambda s: F.size(again(s)) == 0
         for s in schema.get("allOf", []):
@@ -164,7 +162,7 @@ class Compiler:
         if v is None:
             return kind == "VOID"
         if isinstance(v, bool):
-            return (kind == "BOOLEAN") & (f.text == str(v).lower())
+            return (kind == "BOOLEAN") & (f.flag == v)
         if isinstance(v, (int, float)):
             return _is(kind, f.fields, "number", f.number) & (f.number == v)
         if isinstance(v, str):
