@@ -116,11 +116,17 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
         pid, start = word & 0x1FFF, word & 0x4000
         if pid == 0 and start:
             body = _section(stream[at : at + PACKET], 0)
+            if len(body) % 4:
+                raise ValueError("a program table ends within an entry")
             tables = {struct.unpack_from(">H", body, i + 2)[0] & 0x1FFF: struct.unpack_from(">H", body, i)[0] for i in range(0, len(body), 4)}
         elif pid in tables and start:
             body = _section(stream[at : at + PACKET], 2)
+            if len(body) < 4:
+                raise ValueError("a program table has no program")
             i = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF)
             while i < len(body):
+                if i + 5 > len(body):
+                    raise ValueError("a program table ends within an entry")
                 kind, to, more = struct.unpack_from(">BHH", body, i)
                 if kind == PRIVATE_DATA:
                     pid_of_data = to & 0x1FFF
@@ -163,7 +169,7 @@ def _read(stream: bytes | None) -> tuple[bytes, list[tuple[int, int, int, bool]]
         return b"", [], 0, "no stream"
     try:
         payload, listed, errors = demux(stream)
-    except ValueError as e:
+    except (ValueError, struct.error, IndexError) as e:
         return b"", [], 0, str(e)
     return payload, listed, errors, f"{errors} continuity errors" if errors else None if listed else "no units"
 

@@ -6,8 +6,9 @@ records of each archive that it writes and starts a new archive after about `ARC
 
 Of records with equal payloads (by SHA-1) of at least `least` bytes, the one with the largest page_id is written as a
 response and the others as revisits without a payload. The reader checks each record's version, named headers, lengths,
-trailing line ends, and a response's payload digest; a faulty record becomes a row with its error, and reading
-goes on; so does it behind bytes that don't decode, at the next frame that does.
+trailing line ends, and a payload digest; a faulty record becomes a row with its error, and reading
+goes on; so does it behind bytes that don't decode, at the next frame that does. Archives of others are read alike: records of
+every type are listed, with their names as texts.
 
 Defined cases: a null html is an empty payload; rows that repeat the largest page_id are all responses; where no row of a
 payload has a page_id, all are responses; a null url gives no target header; extra columns are ignored; an empty table
@@ -39,7 +40,7 @@ FRAME_START = struct.pack("<I", 0xFD2FB528)
 END = b"\r\n"
 URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, error string"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, refers_to_id string, payload binary, error string"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -118,48 +119,78 @@ def frames(archive: bytes) -> Iterator[bytes | ValueError]:
                 return
 
 
+def _number(text: str, what: str) -> int:
+    """A whole number that 64 bits hold."""
+    if not (text.isascii() and text.isdigit() and len(text) < 19):
+        raise ValueError(f"{what} is no number")
+    return int(text)
+
+
 def _page(urn: str) -> int | None:
-    name = urn.strip("<>").removeprefix(URN)
-    return int(name) if name else None
+    """The page_id of a name that `record` gave; other names have none."""
+    name = urn.removeprefix(URN)
+    digits = name.removeprefix("-")
+    return int(name) if urn.startswith(URN) and digits.isascii() and digits.isdigit() and len(digits) < 19 else None
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    """Headers by their name in small letters; lines that begin with white space go on with the one before."""
+    named, last = {}, ""
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and last:
+            named[last] += " " + line.decode().strip()
+            continue
+        key, colon, value = line.decode().partition(":")
+        if not colon or not key:
+            raise ValueError("header without a colon")
+        last = key.strip().lower()
+        named.setdefault(last, value.strip())
+    return named
+
+
+def _http(block: bytes, named: dict[str, str]) -> tuple[bytes, int | None]:
+    """Payload of a block with an HTTP message, and the length that its headers give, if they do."""
+    http, sep, payload = block.partition(END + END)
+    if not sep:
+        raise ValueError("no end of HTTP headers")
+    size = next((_number(x.partition(b":")[2].decode("latin-1").strip(), "HTTP length") for x in http.split(END)[1:] if x.lower().startswith(b"content-length:")), None)
+    return payload, size
 
 
 def parse(data: bytes) -> tuple:
-    """Row of RECORD for one record's bytes; raises ValueError where it is not well formed."""
+    """Row of RECORD for one record's bytes; raises ValueError where it is not well formed.
+
+    Names of others are kept as texts (record_id, refers_to_id), page ids are those of our own names. The payload of a response
+    or request in HTTP is what follows its headers, of every other record its block. A length and a SHA-1 digest are checked
+    where they are given; a record that says it is truncated may be shorter. Without a digest that of the payload is listed.
+    """
     head, sep, rest = data.partition(END + END)
     lines = head.split(END)
     if not sep or not lines[0].startswith(b"WARC/1."):
         raise ValueError("no WARC version line or end of headers")
-    named = {}
-    for line in lines[1:]:
-        key, colon, value = line.decode().partition(":")
-        if not colon or not key:
-            raise ValueError("header without a colon")
-        named[key.lower()] = value.strip()
+    named = _headers(lines[1:])
     for key in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if key not in named:
             raise ValueError(f"no {key} header")
-    if not named["content-length"].isdigit():
-        raise ValueError("content-length is no number")
-    n = int(named["content-length"])
+    n = _number(named["content-length"], "content-length")
     if len(rest) != n + 4 or rest[n:] != END + END:
         raise ValueError(f"content-length {n} does not fit a record of {len(rest)} bytes")
-    http, sep, payload = rest[:n].partition(END + END)
-    size = next((int(x.split(b":")[1]) for x in http.split(END) if x.lower().startswith(b"content-length:")), None)
-    if not sep or size is None:
-        raise ValueError("no HTTP headers with a length")
-    digest, kind, refers = named.get("warc-payload-digest", "").removeprefix("sha1:"), named["warc-type"], None
+    kind, block = named["warc-type"], rest[:n]
+    in_http = kind in ("response", "request", "revisit") and named.get("content-type", "").lower().startswith("application/http")
+    payload, size = _http(block, named) if in_http else (block, None)
+    digest = named.get("warc-payload-digest") or (None if in_http else named.get("warc-block-digest")) or ""
+    name, colon, value = digest.partition(":")
     if kind == "revisit":
         if payload:
             raise ValueError("a revisit with a payload")
-        refers, payload = _page(named.get("warc-refers-to", "")), None
-    elif kind == "response":
-        if size != len(payload):
-            raise ValueError(f"HTTP length {size} for a payload of {len(payload)} bytes")
-        if digest != base64.b32encode(hashlib.sha1(payload).digest()).decode():
-            raise ValueError("payload digest does not match")
-    else:
-        raise ValueError(f"record type {kind} is not known")
-    return _page(named["warc-record-id"]), size, digest, kind, refers, named.get("warc-target-uri"), payload, None
+        refers = named.get("warc-refers-to", "").strip("<>") or None
+        return _page(named["warc-record-id"].strip("<>")), size, value or None, kind, _page(refers or ""), named.get("warc-target-uri"), named["warc-record-id"].strip("<>"), refers, None, None
+    if size not in (None, len(payload)) and kind == "response" and "warc-truncated" not in named:
+        raise ValueError(f"HTTP length {size} for a payload of {len(payload)} bytes")
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    if name.lower() == "sha1" and value.upper() != own and value.lower() != hashlib.sha1(payload).hexdigest() and "warc-truncated" not in named:
+        raise ValueError("payload digest does not match")
+    return _page(named["warc-record-id"].strip("<>")), len(payload), own, kind, None, named.get("warc-target-uri"), named["warc-record-id"].strip("<>"), None, payload, None
 
 
 def write_archives(pages: DataFrame, least: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -186,7 +217,7 @@ def write_archives(pages: DataFrame, least: int = 0, date: str = "2000-01-01T00:
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Rows of RECORD for all records of the column archive; payloads=False leaves the payload column null."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
     def rows(data: bytes | None) -> Iterator[tuple]:
         for got in frames(data or b""):
@@ -194,9 +225,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if isinstance(got, ValueError):
                     raise got
                 row = parse(got)
-                yield row if payloads else (*row[:6], None, None)
+                yield row if payloads else (*row[:-2], None, None)
             except ValueError as e:
-                yield (None,) * 7 + (str(e),)
+                yield (None,) * (len(schema) - 1) + (str(e),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -204,7 +235,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for data in batch.column(0):
                 for row in rows(data.as_py()):
                     out.append(row)
-                    size += 200 + len(row[6] or b"")
+                    size += 200 + len(row[-2] or b"")
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
                         out, size = [], 0
@@ -221,4 +252,4 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes all pages to archives in the shared folder and reads them back."""
-    return read_archives(materialize(write_archives(pages, least), "warc"), payloads=False).drop("payload")
+    return read_archives(materialize(write_archives(pages, least), "warc"), payloads=False).drop("payload", "record_id", "refers_to_id")

@@ -139,3 +139,64 @@ def test_media_query(documents):
     assert T.digest(T.store(documents([]))).count() == 0
     listed = T.units(T.store(documents([(4, texts[4])]))).orderBy("unit").collect()
     assert len(listed) == -(-rows[4].payload_bytes // T.UNIT_BYTES) and listed[0].random_access and listed[8].pts > listed[7].pts
+
+
+def _foreign(kind, block, *more, record_id="<urn:uuid:00000000-0000-0000-0000-000000000001>"):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+    return b"WARC/1.1\r\n" + "".join(f"{h}\r\n" for h in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = "Content-Type: application/http; msgtype=response"
+
+
+def test_archives_of_others(spark, tmp_path):
+    records = [
+        _foreign("warcinfo", b"software: x", "Content-Type: application/warc-fields"), _foreign("request", b"GET / HTTP/1.1\r\n\r\n", HTTP.replace("response", "request")), _foreign("metadata", b"a: b"),
+        _foreign("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nno length", HTTP, "WARC-Target-URI: http://e.org/"), _foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc", HTTP, "WARC-Payload-Digest: sha256:zz"),
+        _foreign("response", b"20200101 1.2.3.4", "Content-Type: text/dns"), _foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nabc", HTTP, "WARC-Truncated: length"), _foreign("strange", b"z"),
+        _foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", HTTP, "WARC-Refers-To: <urn:uuid:7>"), _foreign("resource", b"r", record_id="<" + Z.URN + "9" * 30 + ">"), _foreign("resource", b"r", "WARC-Block-Digest: sha1:AAAA"),
+        _foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: " + b"9" * 40 + b"\r\n\r\nabc", HTTP), _foreign("metadata", b"a", "Folded: one\r\n two"), _foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\nabc", HTTP),
+    ]
+    (tmp_path / "o.warc.zst").write_bytes(Z.pack(records))
+    rows = Z.read_files(spark, str(tmp_path)).collect()
+    assert [r.error is None for r in rows] == [True] * 10 + [False, False, True, False]
+    assert [r.record_type for r in rows[:6]] == ["warcinfo", "request", "metadata", "response", "response", "response"] and rows[7].record_type == "strange"
+    assert [bytes(r.payload) for r in rows[2:7]] == [b"a: b", b"no length", b"abc", b"20200101 1.2.3.4", b"abc"] and bytes(rows[1].payload) == b""
+    assert rows[3].payload_digest == b32("no length") and rows[3].page_id is None and rows[3].record_id.startswith("urn:uuid:") and rows[3].url == "http://e.org/"
+    assert (rows[8].record_type, rows[8].refers_to, rows[8].refers_to_id, rows[8].payload) == ("revisit", None, "urn:uuid:7", None)
+    assert rows[9].page_id is None and rows[9].record_id.endswith("9" * 30)
+
+
+def test_flipped_bytes_give_rows(spark):
+    """No damage of an archive or a stream stops a reader."""
+    import random
+
+    rng = random.Random(6)
+    archive = Z.pack([Z.record(i, "u", f"payload {i} ".encode() * 9, b32(f"payload {i} " * 9), None if i % 3 else i + 1, "2000-01-01T00:00:00Z") for i in range(12)])
+    plain = Z.record(5, "u", b"payload", b32("payload"), None, "2000-01-01T00:00:00Z")
+    stream = T.mux(b"a" * 192 * 12)
+
+    def flipped(data):
+        out = bytearray(data)
+        for _ in range(rng.randrange(1, 4)):
+            out[rng.randrange(len(out))] = rng.randrange(256)
+        return bytes(out[: rng.randrange(len(out))] if rng.random() < 0.1 else out)
+
+    for _ in range(300):
+        try:
+            Z.parse(flipped(plain))
+        except ValueError:
+            pass
+    archives = spark.createDataFrame([(flipped(archive),) for _ in range(150)], "archive binary")
+    assert Z.read_archives(archives).where("error is not null").count() > 0
+    media = spark.createDataFrame([(i, 1, flipped(stream)) for i in range(300)], "doc_id long, n_bytes long, media binary")
+    assert T.digest(media).count() == 300 and T.units(media).count() > 0
+
+
+def test_damaged_program_tables_give_rows(spark):
+    data = T.mux(b"a" * 192)[2 * T.PACKET :]
+    pat, pmt = T.TABLES[: T.PACKET], T.TABLES[T.PACKET :]
+    odd = [T._table(0, 0, 1, b"\x00\x01") + pmt, pat + T._table(T.PMT_PID, 2, T.PROGRAM, b"\x00"), pat + T._table(T.PMT_PID, 2, T.PROGRAM, b""), pat + T._table(T.PMT_PID, 2, T.PROGRAM, struct.pack(">HH", 0xE000, 0xF000) + b"\x06\xe1"), pat + T._table(T.PMT_PID, 2, T.PROGRAM, struct.pack(">HH", 0xE000, 0xFFFF))]
+    media = spark.createDataFrame([(i, 1, tables + data) for i, tables in enumerate(odd)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in T.digest(media).collect()}
+    assert len(got) == len(odd) and all(r.error and r.payload_sha256 is None for r in got.values())
