@@ -193,7 +193,10 @@ def gather(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot
 
 
 def enrich(rows: DataFrame, legacy: DataFrame, repositories: DataFrame, snapshot: DataFrame, fetch: bool = True) -> DataFrame:
-    """The nested record of each classified failure; rows have one execution each."""
+    """The nested record of each classified failure.
+
+    Rows have one execution each: those that repeat an id become one record, and rows without an id none (`quarantine_bad_rows` is for those).
+    """
     out = once(gather(rows, legacy, repositories, snapshot, fetch), "remote", kept(rows, ("notebook_context",), lambda: notebook_context(F.col("content"), F.col("error_cell_index"))))
     none = F.array().cast("array<struct<cell_index:bigint,source:string>>")
     files = F.col("dependency_files")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultsieve.operators import attempts as A
+from faultsieve.operators import context as C
 from faultsieve.operators import graph as G
 from faultsieve.operators import lineage as L
 from faultsieve.operators import prompts as P
@@ -97,6 +98,32 @@ def test_templates_are_rows(spark):
         assert compiled == got[int(name[1])][0]
 
 
+# records
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_as_their_single_joins(spark, seed):
+    """One lookup and one aggregation give what the joins of hints, sources and files give by themselves."""
+    rng = random.Random(seed)
+    pick = lambda *v: rng.choice(v)
+    rows = [(i, pick(1, 2, 3, 4, None), pick(10, 11, 12, None), pick("nb", "nc", None), "u", pick("ModuleNotFoundError", "ImportError", None), pick("No module named 'a'", "cannot import name 'b' from 'a'", None), pick(0, 1, None), pick("a", "b", "", None), "s", "r", "c", "h") for i in range(60)]
+    kind = "notebook_execution_id long, repository_id long, notebook_id long, notebook_name string, repository_url string, error_type string, error_message string, error_cell_index long, failing_module string, subtype string, refined_subtype string, confidence string, root_cause_hint string"
+    data = spark.createDataFrame(rows, kind)
+    legacy = spark.createDataFrame([(k, pick(10, 11, 13, None), pick("x No module named 'a' y", "a cannot import name 'b' from 'a'", "a only", "", None)) for k in range(40)], "id long, notebook_id long, msg string")
+    repositories = spark.createDataFrame([(1, "r1", "c", "a.txt; b.txt;a.txt", "s.py", None, ";"), (2, "r2", None, "a.txt", None, "p", None), (3, "", "c", "a.txt", None, None, None), (5, "r5", "c", None, None, None, None)], "id long, repository string, commit_ref string, requirements string, setups string, pipfiles string, pipfile_locks string")
+    shots = [(r, ref, path, pick("", "x" * 5000, '{"cells":[{"cell_type":"code","source":"import a"}]}', None)) for r in ("r1", "r2", "") for ref in ("c", "main", "master") for path in ("nb", "nc", "a.txt", "b.txt", "s.py", "p") if rng.random() < 0.4]
+    snapshot = spark.createDataFrame(shots, "repository string, ref string, path string, content string").where("content is not null")
+    got = {r.notebook_execution_id: r for r in C.gather(data, legacy, repositories, snapshot).collect()}
+    assert len(got) == len(rows)
+    own = C.join_repository(data, repositories)
+    hints = {r.notebook_execution_id: (r.legacy_traceback_hint, r.legacy_hint_rejected) for r in C.join_legacy_hint(data, legacy).collect()}
+    sources = {r.notebook_execution_id: r.content for r in C.join_source_snapshot(own, snapshot).collect()}
+    files = {r.notebook_execution_id: r.dependency_files for r in C.collect_files(C.join_dependency_files(own, snapshot)).collect()}
+    for i, r in got.items():
+        assert (r.legacy_traceback_hint, r.legacy_hint_rejected) == hints[i] and r.content == sources[i] and r.dependency_files == files.get(i, []), i
+        assert tuple(r[c] for c in data.columns) == rows[i]
+
+
 # triples
 
 
