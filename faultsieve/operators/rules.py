@@ -32,6 +32,18 @@ MISMATCHES = {
     "skimage": "scikit-image", "serial": "pyserial", "openssl": "pyOpenSSL", "usb": "pyusb", "docx": "python-docx",
     "fitz": "PyMuPDF", "dotenv": "python-dotenv", "git": "GitPython",
 }
+# Why a failure is out of scope, and the subtypes, confidences and hints that the rules give.
+REASONS = {
+    "system_library": "requires system library, outside pip-only scope",
+    "mapping_unknown": "ambiguous local/module-path import",
+    "out_of_scope": "unsupported dependency-error pattern",
+}
+SUBTYPES = ["missing_package", "wrong_version", "system_library", "mapping_unknown", "out_of_scope"]
+CONFIDENCES = ["high", "medium", "low"]
+HINTS = [
+    "direct_missing_package", "import_distribution_name_mismatch", "version_or_api_incompatibility", "transitive_dependency",
+    "system_level_dependency", "local_import_or_path_issue", "insufficient_context",
+]
 
 
 def cases(rules: list[tuple[Column, Column]], default: Column) -> Column:
@@ -53,15 +65,16 @@ def _labels(names: tuple[str, ...], *values: str | Column) -> Column:
 def classify_subtype(error_type: Column, message: Column, module: Column) -> Column:
     """subtype, scope_status, exclusion_reason: the first pass over a failure, sensitive to case."""
     m, out = filled(message), lambda *v: _labels(("subtype", "scope_status", "exclusion_reason"), *v)
+    missing, version, library, unclear, _ = SUBTYPES
     return cases(
         [
-            (m.contains(".so") | m.contains("shared object file"), out("system_library", "excluded", "requires system library, outside pip-only scope")),
-            (filled(module).isin(LOCAL_MODULES), out("mapping_unknown", "excluded", "ambiguous local/module-path import")),
-            ((filled(error_type) == "ModuleNotFoundError") | m.contains("No module named"), out("missing_package", "usable", "")),
-            (m.contains("cannot import name"), out("wrong_version", "usable", "")),
-            (F.lower(m).contains("install") | F.lower(m).contains("required"), out("missing_package", "usable", "")),
+            (m.contains(".so") | m.contains("shared object file"), out(library, "excluded", REASONS["system_library"])),
+            (filled(module).isin(LOCAL_MODULES), out(unclear, "excluded", REASONS["mapping_unknown"])),
+            ((filled(error_type) == "ModuleNotFoundError") | m.contains("No module named"), out(missing, "usable", "")),
+            (m.contains("cannot import name"), out(version, "usable", "")),
+            (F.lower(m).contains("install") | F.lower(m).contains("required"), out(missing, "usable", "")),
         ],
-        out("out_of_scope", "excluded", "unsupported dependency-error pattern"),
+        out(SUBTYPES[-1], "excluded", REASONS["out_of_scope"]),
     )
 
 
@@ -81,21 +94,24 @@ def classify_refined(error_type: Column, message: Column, module: Column, origin
     """refined_subtype, confidence, root_cause_hint: the second pass, in other order and mostly blind to case."""
     m, low, kind = filled(message), F.lower(filled(message)), filled(error_type)
     name = strip(filled(module))
+    package, version, library, unclear, outside = SUBTYPES
+    high, medium, low_confidence = CONFIDENCES
+    direct, mismatch, api, transitive, system, local, unknown = HINTS
     out = lambda *v: _labels(("refined_subtype", "confidence", "root_cause_hint"), *v)
-    hint = F.when(is_mismatch(module), "import_distribution_name_mismatch").otherwise("direct_missing_package")
+    hint = F.when(is_mismatch(module), mismatch).otherwise(direct)
     missing = (kind == "ModuleNotFoundError") | low.contains("no module named")
     asked = low.contains("install") | low.contains("required")
     return cases(
         [
-            (m.contains(".so") | low.contains("shared object file"), out("system_library", "high", "system_level_dependency")),
-            (is_local(module), out(F.when(filled(original).isin("mapping_unknown", "out_of_scope"), original).otherwise("mapping_unknown"), "low", "local_import_or_path_issue")),
-            (low.contains("cannot import name"), out("wrong_version", "high", "version_or_api_incompatibility")),
-            ((missing | asked) & (name == ""), out("mapping_unknown", "low", "insufficient_context")),
-            (missing, out("missing_package", "high", hint)),
-            (asked, out("missing_package", "medium", hint)),
-            (kind == "ImportError", out("wrong_version", "medium", "transitive_dependency")),
+            (m.contains(".so") | low.contains("shared object file"), out(library, high, system)),
+            (is_local(module), out(F.when(filled(original).isin(unclear, outside), original).otherwise(unclear), low_confidence, local)),
+            (low.contains("cannot import name"), out(version, high, api)),
+            ((missing | asked) & (name == ""), out(unclear, low_confidence, unknown)),
+            (missing, out(package, high, hint)),
+            (asked, out(package, medium, hint)),
+            (kind == "ImportError", out(version, medium, transitive)),
         ],
-        out("out_of_scope", "low", "insufficient_context"),
+        out(outside, low_confidence, unknown),
     )
 
 
