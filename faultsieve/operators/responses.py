@@ -39,7 +39,7 @@ def extract_json(responses: DataFrame, column: str = "raw_response") -> DataFram
     out = out.withColumns({"payload": payload, "shape": shape}).drop("_text", "_whole", "_block", "_fenced", "_span", "_inner")
     kind = F.schema_of_variant("payload")
     error = F.when(F.col("payload").isNull(), "invalid_json: no JSON object found in model response").when(~kind.startswith("OBJECT"), "non_object_json: model response must be a JSON object")
-    return out.withColumn("parse_error", error)
+    return once(out, "parse_error", error)
 
 
 def violations(rows: DataFrame, payload: Column, schema: str | dict = EXPLANATION_SCHEMA) -> DataFrame:
