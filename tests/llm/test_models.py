@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import os
 import random
 import zlib
@@ -63,6 +64,38 @@ def test_stage_drops_rejected_rows_only(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {i for i in range(200) if i % 2}
 
 
+def _plain_features(text):
+    """The features by loops over the bytes and words of a text."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), raw.count(b"\n") + 1
+    n, m = max(1, len(raw)), max(1, len(words))
+    among = lambda chars: sum(b in chars for b in raw)
+    best = run = same = 0
+    for a, b in zip(words, words[1:]):
+        run = run + 1 if a == b else 0
+        same, best = same + (a == b), max(best, run)
+    return [
+        math.log1p(len(words)), n / m, sum(65 <= b <= 90 for b in raw) / n, among(b"!") / m, among(b"#$%&*<>=~^@") / m, among(b"|") / m, among(b"0123456789") / n, among(b".") / m, among(b",;:") / m, m / lines,
+        len(set(words)) / m, same / m, sum(len(w) < 4 for w in words) / m, sum(b < 128 for b in raw) / n, sum(w.islower() for w in words) / m, math.log1p(best),
+    ]
+
+
+def test_scores_as_brute_force(spark, documents):
+    """Scores of all rows are what a loop over bins and tables of the learned model adds up for plainly counted features."""
+    rng = random.Random(12)
+    rows = [(i, (prose if i % 2 else junk)(rng.randrange(1, 80)) + rng.choice(["", "\nand\n", " a a a a", " é|1,2"])) for i in range(150)] + [(900, None), (901, ""), (902, "x" * 100_000)]
+    docs, labels = documents(rows), spark.createDataFrame([(i, i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    model = G.train(docs, labels)
+    assert model.pairs and any(t.any() for t in model.tables)
+    place = lambda edges, v: sum(v >= e for e in edges)
+    got = {r.doc_id: r.score for r in G.classify(docs, labels).collect()}
+    for i, text in rows:
+        x = _plain_features(text)
+        total = model.bias + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, x))
+        total += sum(t[place(model.pair_edges[a], x[a]), place(model.pair_edges[b], x[b])] for a, b, t in model.pairs)
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-9, i
+
+
 def test_pairs_explain_what_single_features_do_not():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
