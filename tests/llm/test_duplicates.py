@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 xxhash = pytest.importorskip("xxhash")
 
@@ -136,28 +137,64 @@ def test_runs_with_different_tails_are_deleted_whole(documents):
     assert got == brute_lines(docs) == {1: docs[1], 2: "start\nshort tail\nrest", 3: "last", 4: "other tail", 5: "x y"}
 
 
+def _text_lines(seed, n):
+    random.seed(seed)
+    return [(d, "\n".join(" ".join(random.choices("abcdefghijklm", k=random.randint(3, 14))) for _ in range(40))) for d in range(n)]
+
+
 def test_fingerprints_are_window_minima(documents):
-    random.seed(8)
-    docs = documents([(d, "\n".join(" ".join(random.choices("abcdefghijklm", k=random.randint(3, 14))) for _ in range(40))) for d in range(30)])
-    want, n_windows = set(), 0
-    lines = {}
+    docs = documents(_text_lines(8, 30))
+    want, lines = set(), {}
     for r in L._lines(docs).orderBy("doc", "pos").collect():
-        lines.setdefault(r.doc, []).append((r.h, r.pos, r.w))
+        lines.setdefault(r.doc, []).append((0 if r.w >= 50 else 1 if r.w >= L.SHORT else 2, r.h, r.pos, r.w))
     for d, own in lines.items():
-        spans = set()
         for p in range(len(own)):
-            for step in (1, -1):
-                n, q = 0, p
-                while 0 <= q < len(own) and n < 50:
-                    n, q = n + own[q][2], q + step
-                if n >= 50:
-                    spans.add((p, q) if step > 0 else (q + 1, p + 1))
-        n_windows += len(spans)
-        want |= {(d, min(own[p:q])[1]) for p, q in spans}
+            n, q = 0, p
+            while q < len(own) and n < 50:
+                n, q = n + own[q][3], q + 1
+            if n >= 50:
+                want.add((d, min(own[p:q])[2]))
     got = L.fingerprints(docs).collect()
     assert {(r.doc, r.pos) for r in got} == want and len(got) == len(want)
-    assert len(got) < 0.4 * n_windows  # constant fingerprints would choose each window's first line
-    assert sum(len(r.windows) for r in got) == n_windows
+    assert len(got) < 0.4 * sum(map(len, lines.values()))
+    for r in got:
+        at = [(x[1], x[3]) for x in lines[r.doc]]
+        assert at[r.pos] == (r.mark, r.w)
+        assert [tuple(x) for x in r.left] == at[: r.pos][::-1][: len(r.left)] and [tuple(x) for x in r.right] == at[r.pos + 1 :][: len(r.right)]
+
+
+def _shared_runs():
+    """Documents that share runs, among them one line in many surroundings and runs that differ in one line."""
+    docs = dict(_text_lines(9, 40))
+    for d in range(1, 40):
+        own, other = docs[d].split("\n"), docs[random.randrange(d)].split("\n")
+        at, n = random.randrange(30), random.randint(2, 10)
+        own[at : at + n] = other[at : at + n]
+        own[::13] = ["one line that stands in all of these documents again"] * len(own[::13])
+        docs[d] = "\n".join(own)
+    words = lambda x, n=20: " ".join(f"{x}{i}" for i in range(n))
+    docs |= {50: "\n".join([words("a"), words("b", 55), words("c")]), 51: "\n".join([words("a"), words("other", 55), words("c")])}
+    return docs
+
+
+@pytest.mark.parametrize("classes", [0, 2, 64])
+def test_line_dedup_with_any_number_of_classes(documents, monkeypatch, classes):
+    monkeypatch.setattr(L, "CLASSES", classes)
+    docs = _shared_runs()
+    got = {r.doc_id: r.text for r in L.line_dedup(documents(docs.items())).collect()}
+    assert got == brute_lines(docs)
+    assert sum(got[d] != docs[d] for d in docs) > 10
+
+
+def test_fingerprints_decide(documents, monkeypatch):
+    docs, find = _shared_runs(), L.fingerprints
+    right = brute_lines(docs)
+    assert right[51] == docs[51]
+    for wrong in (F.lit(0).cast("long"), F.xxhash64("mark", "doc")):
+        monkeypatch.setattr(L, "fingerprints", lambda *a, wrong=wrong: find(*a).withColumn("mark", wrong))
+        got = {r.doc_id: r.text for r in L.line_dedup(documents(docs.items())).collect()}
+        assert got != right
+    assert got == docs  # no two documents share a fingerprint, so nothing goes
 
 
 def test_pipeline_stage_keeps_columns(documents):
