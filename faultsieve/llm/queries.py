@@ -112,17 +112,25 @@ y AS (SELECT x.doc_id, CAST(sum(least(last_, (x.k + 1) * block) - greatest(first
 SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(y.taken, 0) AS taken, y.slot, l.source FROM l LEFT JOIN y ON y.doc_id = l.doc_id
 """
 
-#: Each user turn is a call, the assistant turn behind it its result; all calls stand in the order of their turns.
+#: Each user turn is a call, the assistant turn behind it its result; calls that need others stand behind them, those that wait for a circle at the end.
 OP6_SQL = """
-WITH c AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations),
+WITH RECURSIVE c AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS behind FROM conversations),
 r AS (SELECT conv_id, before AS turn, arg_min(text, turn) AS result, true AS hit FROM c WHERE role NOT IN ('user', 'system') AND before IS NOT NULL GROUP BY 1, 2),
-k AS (SELECT c.conv_id, c.turn, c.role, 'c' || c.conv_id || '-' || c.turn AS call_id, c.text, c.before, r.result, coalesce(r.hit, false) AS linked FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn AND c.role = 'user'
-  WHERE c.role IN ('user', 'system'))
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, call_id, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, linked, text IS NOT NULL AS valid,
-  CASE WHEN text IS NOT NULL THEN '' WHEN role = 'user' THEN 'missing:prompt' ELSE 'missing:instruction' END AS errors,
-  '{"arguments":{' || CASE WHEN role = 'user' THEN concat_ws(',', '"after":"$c' || conv_id || '-' || before || '"', '"prompt":' || to_json(text), '"turn":' || turn) ELSE coalesce('"instruction":' || to_json(text), '') END
+k AS (SELECT c.conv_id, c.turn, c.role, 'c' || c.conv_id || '-' || c.turn AS call_id, c.text, r.result, coalesce(r.hit, false) AS linked,
+  CASE WHEN role <> 'user' THEN NULL WHEN behind IS NOT NULL AND md5('c' || c.conv_id || '-' || c.turn)[1] <= '3' THEN behind
+    WHEN md5('c' || c.conv_id || '-' || before)[1] > '3' OR md5('c' || c.conv_id || '-' || before)[1] = '0' THEN before END AS after
+  FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn AND c.role = 'user' WHERE c.role IN ('user', 'system')),
+p AS (SELECT conv_id, turn AS key, turn AS spot, 0 AS step, after AS next, [turn] AS seen FROM k
+  UNION ALL SELECT p.conv_id, p.key, k.turn, p.step + 1, k.after, list_append(p.seen, k.turn) FROM p JOIN k ON k.conv_id = p.conv_id AND k.turn = p.next WHERE NOT list_contains(p.seen, p.next)),
+o AS (SELECT conv_id, key, max(struct_pack(a := spot, s := step)) AS place, bool_or(next IS NOT NULL AND list_contains(seen, next)) AS circle FROM p GROUP BY 1, 2),
+e AS (SELECT k.*, o.place, o.circle, concat_ws(',', CASE WHEN circle THEN 'cycle' END, CASE WHEN text IS NULL THEN CASE role WHEN 'user' THEN 'missing:prompt' ELSE 'missing:instruction' END END) AS errors
+  FROM k JOIN o ON o.conv_id = k.conv_id AND o.key = k.turn)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY circle, CASE WHEN NOT circle THEN place.a END, CASE WHEN NOT circle THEN place.s END, turn) - 1 AS position,
+  call_id, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, linked, errors = '' AS valid, errors,
+  '{"arguments":{' || CASE WHEN role = 'user' THEN concat_ws(',', '"after":"$c' || conv_id || '-' || after || '"', '"prompt":' || to_json(text), '"turn":' || turn) ELSE coalesce('"instruction":' || to_json(text), '') END
   || '},"id":"' || call_id || '","name":"' || CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END || '","result":' || coalesce(to_json(result), 'null') || '}' AS json
-FROM k
+FROM e
 """
 
 #: Windows of lines that begin or end at each line, by content; all but the first occurrence go.

@@ -8,9 +8,10 @@ conversation, so its call depends on that one.
 Calls and results are hash-joined on conversation and identifier. Calls are ordered so that each stands behind the calls it
 depends on and, as far as that allows, in the order of their turns: a call's place is the pair (turn that it waits for,
 steps behind it), the greatest of its own turn and its dependencies' places one step on. Where all calls of a conversation stand
-behind what they need, their turns are their places. The dependencies of the other conversations fall into connected components;
-one of up to `LOCAL` calls is ordered in one aggregation, a larger one takes rounds of a join over all such components, as many as
-calls were moved one behind another. Arguments are checked against schemas (rows tool, property, type, required), and calls are
+behind what they need, their turns are their places. Of the other conversations, one with up to `LOCAL` calls with dependencies is ordered in one
+aggregation. In larger ones, calls that need one call are led past it by pointer doubling, to the first call that needs none or
+several, in as many joins as the logarithm of the chain; those are settled in rounds, each once all it needs is settled.
+Arguments are checked against schemas (rows tool, property, type, required), and calls are
 written as canonical JSON: keys sorted, no white space.
 
 Defined cases: messages that are no calls or results give no rows; a call without id or without result is unlinked; of
@@ -27,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, running
-from .simhash_dedup import components
+from .common import discard, materialize, running
 
 CALLS_PER_CHUNK = 4096
-#: Calls of a component that are ordered in one aggregation.
-LOCAL = 1024
+#: Calls of a conversation that are ordered in one aggregation, whose work grows with the square.
+LOCAL = 128
+#: Parts that the calls of one conversation are dealt to where they are counted.
+SALTS = 8
 #: Stands for a null conv_id where rows are dealt by it.
 NO_CONV = -(1 << 62)
 
@@ -64,11 +66,11 @@ def places(calls: DataFrame, needs: DataFrame) -> DataFrame:
     moved = materialize(edges.where("on_seq >= seq").select(F.col("conv_id").alias("_conv")).distinct(), "tool-moved")
     if not moved.head(1):
         return plain
-    edges = materialize(edges.join(moved, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi"), "tool-needs")
-    found = components(edges.select(F.col("key").alias("a"), F.col("on").alias("b"))).withColumnRenamed("node", "key")
-    nodes = edges.select("key", "seq").unionByName(edges.select(F.col("on").alias("key"), F.col("on_seq").alias("seq"))).distinct()
-    nodes = nodes.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    nodes = materialize(nodes.join(nodes.groupBy("root").agg(F.count("*").alias("n")), "root"), "tool-nodes")
+    edges = materialize(edges.join(moved, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").withColumn("root", F.coalesce("conv_id", F.lit(NO_CONV))), "tool-needs")
+    nodes = edges.select("root", "key", "seq").unionByName(edges.select("root", F.col("on").alias("key"), F.col("on_seq").alias("seq"))).distinct()
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = materialize(nodes.join(sizes, ["root", "salt"]), "tool-nodes")
     few, many = nodes.where(F.col("n") <= LOCAL), nodes.where(F.col("n") > LOCAL)
     settled = _ordered(few, edges)
     if many.head(1):
@@ -81,8 +83,8 @@ def _place(seq: Column, step: Column) -> Column:
 
 
 def _ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Places of the calls of small components (root, key, seq): calls whose needs are all settled are settled, until none is left or none moves."""
-    wants = edges.join(nodes.select("key", "root"), "key").groupBy("root", "key").agg(F.collect_set("on").alias("needs"))
+    """Places of the calls of small conversations (root, key, seq): calls whose needs are all settled are settled, until none is left or none moves."""
+    wants = edges.drop("root").join(nodes.select("key", "root"), "key").groupBy("root", "key").agg(F.collect_set("on").alias("needs"))
     graph = nodes.join(wants, ["root", "key"], "left").groupBy("root").agg(F.collect_list(F.struct("key", _place(F.col("seq"), F.lit(0)).alias("own"), F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))).alias("g"))
     graph = graph.select("root", F.col("g.key").alias("keys"), F.col("g.own").alias("own"), F.col("g.needs").alias("needs"))
     graph = materialize(graph.withColumn("idx", F.expr("transform(needs, x -> transform(x, k -> cast(array_position(keys, k) - 1 as int)))")).drop("needs"), "tool-graphs")
@@ -95,34 +97,56 @@ def _ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.select(F.explode(F.arrays_zip("keys", places.alias("place"))).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.place").alias("place")).where("place is not null")
 
 
+def _led(ones: DataFrame) -> DataFrame:
+    """Calls that need one call (key, on, own), led to the first one behind which no such call follows: key, on, steps, least.
+
+    The place of key is the greatest of least and that of on, steps further. Calls that go round in a circle, or lead to one, stay with an
+    `on` that is a key.
+    """
+    led = materialize(ones.select("key", "on", F.lit(1).cast("long").alias("steps"), F.col("own").alias("least")), "tool-led")
+    # pointers double in length, so after these rounds only circles are left
+    for _ in range(led.count().bit_length()):
+        then = led.select(F.col("key").alias("on"), F.col("on").alias("_on"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
+        further = _place(F.col("_least.seq"), F.col("_least.step") + F.col("steps"))
+        new = led.join(then, "on", "left").select(
+            "key", F.coalesce("_on", "on").alias("on"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.when(F.col("_on").isNull(), F.col("least")).otherwise(F.greatest("least", further)).alias("least"), F.col("_on").isNotNull().alias("moved"),
+        )
+        new = materialize(new, "tool-led")
+        discard(led)
+        led = new
+        if not led.where("moved").head(1):
+            break
+    return led.drop("moved")
+
+
 def _rounds(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """Places of calls (key, seq) by rounds of a join with what they need."""
-    at = materialize(calls.select("key", "seq", _place(F.col("seq"), F.lit(0)).alias("place")), "tool-places")
-    needs, rounds = materialize(needs, "tool-needs"), 0
-    while True:
-        on = at.select(F.col("key").alias("on"), _place(F.col("place.seq"), F.col("place.step") + 1).alias("least"))
-        bound = needs.join(on, "on").groupBy("key").agg(F.max("least").alias("least"))
-        moved = F.coalesce(F.col("least") > F.col("place"), F.lit(False))
-        new = materialize(at.join(bound, "key", "left").select("key", "seq", F.greatest("place", F.coalesce("least", "place")).alias("place"), moved.alias("moved")), "tool-places")
-        at, rounds = new.drop("moved"), rounds + 1
-        if not new.where("moved").head(1):
-            return at.select("key", "place")
-        if rounds in (8, 64, 512):  # still moving: perhaps in a circle
-            stuck = _waiting(needs)
-            if stuck is not None:
-                at = materialize(at.join(stuck, "key", "left_anti"), "tool-places")
-                needs = materialize(needs.join(stuck, "key", "left_anti"), "tool-needs")
-
-
-def _waiting(needs: DataFrame) -> DataFrame | None:
-    """Keys in a cycle or behind one, if there are any: what is left when needs of calls that need nothing are taken away."""
-    n, left = needs.count(), needs
-    while n:
-        left = materialize(left.join(left.select(F.col("key").alias("on")).distinct(), "on", "left_semi"), "tool-cycle")
-        if (m := left.count()) == n:
-            return left.select("key").distinct()
-        n = m
-    return None
+    """Places of calls (key, seq): chains of single needs are led past first, the others are settled once all they need is."""
+    counts = needs.distinct().groupBy("key").agg(F.count("*").alias("n"))
+    calls = materialize(calls.select("key", _place(F.col("seq"), F.lit(0)).alias("own")).join(counts, "key", "left"), "tool-places")
+    led = _led(needs.distinct().join(calls.where("n = 1").select("key", "own"), "key"))
+    settled = calls.where("n is null").select("key", F.col("own").alias("place"))
+
+    several = needs.distinct().join(calls.where("n > 1"), "key")
+    over = led.select(F.col("key").alias("on"), F.col("on").alias("_on"), F.col("steps").alias("_steps"), F.col("least").alias("_least"))
+    several = several.join(over, "on", "left").select(
+        "key", "n", F.coalesce("_on", "on").alias("on"), (F.coalesce("_steps", F.lit(0)) + 1).alias("steps"),
+        F.when(F.col("_on").isNull(), F.col("own")).otherwise(F.greatest("own", _place(F.col("_least.seq"), F.col("_least.step") + 1))).alias("least"),
+    )
+    waiting = materialize(several, "tool-waiting")
+    while waiting.head(1):
+        reached = waiting.join(settled.withColumnRenamed("key", "on"), "on").groupBy("key", "n").agg(
+            F.count("*").alias("m"), F.max(F.greatest("least", _place(F.col("place.seq"), F.col("place.step") + F.col("steps")))).alias("place")
+        )
+        new = materialize(reached.where("m = n").select("key", "place"), "tool-settled")
+        if not new.head(1):  # what is left waits for a circle
+            break
+        left = materialize(waiting.join(new.select("key"), "key", "left_anti"), "tool-waiting")
+        discard(waiting)
+        settled, waiting = materialize(settled.unionByName(new), "tool-places"), left
+    at = settled.select(F.col("key").alias("on"), "place")
+    chains = led.join(at, "on").select("key", F.greatest("least", _place(F.col("place.seq"), F.col("place.step") + F.col("steps"))).alias("place"))
+    return settled.unionByName(chains)
 
 
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -181,20 +205,28 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 def as_messages(conversations: DataFrame) -> DataFrame:
     """Conversations as messages with tool calls: each user turn is a call of answer, each assistant turn behind one its result.
 
-    A call refers to the conversation's call before it, if there is one; a system turn is a call of configure.
+    A call refers to the user turn before it, if there is one. Where the digest of its id begins with 0 to 3 and a user turn follows, it
+    refers to that one instead, whose call then refers to none unless it refers onwards as well; with 0 that call keeps its own
+    reference, so that the two need each other. A system turn is a call of configure.
     """
-    # the last user turn before: within a chunk of turns, else that of the chunks before, so that one long conversation is no single task
+    # the last user turn before and the first behind: within a chunk of turns, else in other chunks, so that one long conversation is no single task
     asked, chunk = F.when(F.col("role") == "user", F.col("turn")), F.floor(F.col("turn") / CALLS_PER_CHUNK)
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumns({"_conv": F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_CONV)), "_chunk": F.coalesce(chunk, F.lit(NO_CONV))})
-    last = rows.groupBy("_conv", "_chunk").agg(F.max(asked).alias("last"))
-    earlier = F.max("last").over(W.partitionBy("_conv").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
-    last = last.withColumn("earlier", earlier).where("earlier is not null").select("_conv", "_chunk", "earlier")
-    inner = F.max(asked).over(W.partitionBy("_conv", "_chunk").orderBy("turn").rangeBetween(W.unboundedPreceding, -1))
+    ends = rows.groupBy("_conv", "_chunk").agg(F.max(asked).alias("last"), F.min(asked).alias("first"))
+    chunks, turns = W.partitionBy("_conv"), W.partitionBy("_conv", "_chunk")
+    ends = ends.withColumns({
+        "earlier": F.max("last").over(chunks.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)),
+        "later": F.min("first").over(chunks.orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)),
+    }).where("earlier is not null or later is not null").select("_conv", "_chunk", "earlier", "later")
+    near = {"_before": F.max(asked).over(turns.orderBy("turn").rangeBetween(W.unboundedPreceding, -1)), "_behind": F.min(asked).over(turns.orderBy(F.desc("turn")).rangeBetween(W.unboundedPreceding, -1))}
     # dealt by plain columns, so that the window's rows are joined where they are
-    rows = rows.withColumn("inner", inner).join(last, ["_conv", "_chunk"], "left")
-    rows = rows.select("conv_id", "turn", "role", "text", F.coalesce("inner", "earlier").alias("before"))
+    rows = rows.withColumns(near).join(ends, ["_conv", "_chunk"], "left")
+    rows = rows.select("conv_id", "turn", "role", "text", F.coalesce("_before", "earlier").alias("before"), F.coalesce("_behind", "later").alias("behind"))
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
-    ask = F.to_json(F.struct(F.col("text").alias("prompt"), F.concat(F.lit("$"), name(F.col("before"))).alias("after"), F.col("turn").alias("turn")))
+    digit = lambda turn: F.substring(F.md5(name(turn)), 1, 1)
+    onwards = lambda turn: F.coalesce(digit(turn) <= "3", F.lit(False))
+    after = F.when(onwards(F.col("turn")) & F.col("behind").isNotNull(), F.col("behind")).when(~onwards(F.col("before")) | (digit(F.col("before")) == "0"), F.col("before"))
+    ask = F.to_json(F.struct(F.col("text").alias("prompt"), F.concat(F.lit("$"), name(after)).alias("after"), F.col("turn").alias("turn")))
     call = lambda tool, arguments: F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.lit(tool).alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
     result = F.to_json(F.struct(name(F.col("before")).alias("tool_call_id"), F.col("text").alias("content")))
     text = F.when(F.col("role") == "user", call("answer", ask)).when(F.col("role") == "system", call("configure", F.to_json(F.struct(F.col("text").alias("instruction"))))).otherwise(result)

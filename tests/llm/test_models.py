@@ -331,6 +331,45 @@ def test_components_larger_than_one_aggregation(spark, monkeypatch):
             assert {r.call_id for r in own if "cycle" in r.errors} == {"o", "p", "q", "r"}
 
 
+def test_orders_of_random_needs(spark, monkeypatch):
+    """Chains, forks and circles against plain recursion, in one aggregation and in rounds."""
+    rng = np.random.default_rng(6)
+    seqs, needs = {}, []
+    for conv in range(4):
+        for i in range(60):
+            seqs[f"{conv}-{i}"] = i
+            for on in rng.choice(60, size=rng.choice([0, 1, 1, 1, 2]), replace=False):
+                if conv < 2 and on > i or conv >= 2 and rng.random() < 0.7:  # the first two have no circles
+                    needs.append((conv or None, f"{conv}-{i}", f"{conv}-{on}"))
+    of = {k: [o for _, a, o in needs if a == k] for k in seqs}
+
+    def place(key, path=()):
+        if key in path:
+            return None
+        below = [place(o, (*path, key)) for o in of[key]]
+        return None if None in below else max([(seqs[key], 0), *((a, s + 1) for a, s in below)])
+
+    want = {k: p for k in seqs if (p := place(k))}
+    assert 0 < len(want) < len(seqs)
+    calls, edges = spark.createDataFrame(list(seqs.items()), "key string, seq long"), spark.createDataFrame(needs, "conv_id long, key string, on string")
+    for local in (1024, 4):
+        monkeypatch.setattr(T, "LOCAL", local)
+        assert {r.key: (r.place.seq, r.place.step) for r in T.places(calls, edges).collect()} == want, local
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(T, "LOCAL", 4)
+    rounds, write = [], T.materialize
+    for n in (8, 600):
+        names = []
+        monkeypatch.setattr(T, "materialize", lambda df, name, names=names: names.append(name) or write(df, name))
+        calls = spark.createDataFrame([(f"c{i}", i) for i in range(n)], "key string, seq long")
+        needs = spark.createDataFrame([(1, f"c{i}", f"c{i + 1}") for i in range(n - 1)], "conv_id long, key string, on string")
+        assert {(r.key, r.place.seq, r.place.step) for r in T.places(calls, needs).collect()} == {(f"c{i}", n - 1, n - 1 - i) for i in range(n)}
+        rounds.append(len(names))
+    assert rounds[1] <= rounds[0] + 8
+
+
 def test_conversations_as_messages(spark):
     rows = [(1, 0, "system", "be good"), (1, 1, "user", 'a "b"'), (1, 2, "assistant", "c"), (1, 3, "user", None), (2, 0, "assistant", "alone"), (None, 0, "user", "x")]
     schemas = spark.createDataFrame([("answer", "prompt", "string", True), ("answer", "turn", "integer", True), ("answer", "after", "string", False), ("configure", "instruction", "string", True)], "tool string, property string, type string, required boolean")
