@@ -186,3 +186,21 @@ def test_json_as_python_reads_it(spark):
 def test_not_a_number_is_a_number_of_no_whole_value(spark):
     rows = spark.createDataFrame([("NaN",), ("-Infinity",), ("2.0",)], "t string").select(*[S.violations(J.loads(F.col("t")), {"type": k}).alias(k) for k in ("number", "integer", "object", "string")])
     assert [[len(x) for x in r] for r in rows.collect()] == [[0, 1, 1, 1], [0, 1, 1, 1], [0, 0, 1, 1]]
+
+
+def test_values_that_keep_a_schema_are_told_without_its_rules(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from faultsieve.functions import schema as J
+    from faultsieve.operators.contracts import EXPLANATION_SCHEMA
+
+    good = {"summary": "s", "root_cause": "r", "evidence": ["e"], "failing_module": None, "explanation_confidence": "low", "limitations": "l"}
+    wrong = [{"summary": ""}, {"summary": None}, {"evidence": ["e", None]}, {"evidence": [""]}, {"evidence": ["e", 1]}, {"failing_module": 1}, {"explanation_confidence": "sure"}, {"a: STRING, b": "x"}]
+    rows = [good, good | {"failing_module": "m"}, *[good | w for w in wrong], {k: v for k, v in good.items() if k != "limitations"}]
+    v = F.parse_json("t")
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "i int, t string")
+    got = df.select("i", J.Compiler(EXPLANATION_SCHEMA)._sound(v, json.loads(EXPLANATION_SCHEMA)).alias("sound"), J.violations(v, EXPLANATION_SCHEMA).alias("v")).orderBy("i").collect()
+    assert [r.sound for r in got] == [True, True] + [False] * (len(rows) - 2)
+    assert [len(r.v) for r in got] == [0, 0] + [1] * (len(rows) - 2)
