@@ -225,3 +225,27 @@ def test_margins_and_nulls_are_told_apart(spark):
             expected[level, key] = (n + 1, fixed + (row[3] == "fixed"))
     assert {(r.level, (r.subtype, r.llm_model, r.round)): (r.attempted, r.fixed) for r in found} == expected and len(found) == len(expected)
     assert expected[4, (None, "a", 1)] != expected[0, (None, "a", 1)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_replies_and_fixes_are_dealt_out_before_they_are_parsed(spark):
+    from faultsieve.plans.catalog import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df in (t.outcomes, t.facts):
+        top, *below = _plan(df).split("RepartitionByExpression")
+        assert below and "try_variant_get" in top + below[0] or "Generate" in top
+    assert "Generate" not in _plan(t.outcomes).split("RepartitionByExpression", 1)[1]
+
+
+def test_facts_are_made_once_for_all_commits(spark, monkeypatch):
+    from faultsieve.plans import catalog
+    from faultsieve.sources import storage
+
+    plans, commit = [], storage.commit_runs
+    monkeypatch.setattr(storage, "commit_runs", lambda rows, *a, **k: plans.append(_plan(rows)) or commit(rows, *a, **k))
+    catalog.QUERIES["sink_repair_attempts"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Generate" in p or "Join" in p for p in plans)
