@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE = "▁"
 #: Texts are encoded in groups of at most about so many characters.
 GROUP_CHARS = 2_000_000
 #: A task remembers the ids of words of up to so many characters in all, then starts anew.
-MEMORY_CHARS = 8_000_000
+MEMORY_CHARS = 2_000_000
 #: Words of more characters are cut into segments.
 LONG_WORD = 32
 NONE = np.int32(2**31 - 1)
@@ -406,7 +408,7 @@ def _over(docs: DataFrame, model_path: str, schema: str, row) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(model.value))
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             for texts in groups(batch.column(1).to_pylist()):
                 rows = [row(encoder.v, ids) for ids in encoder.encode(texts)]
@@ -438,7 +440,7 @@ def decode(tokens: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [v.decode(np.array(ids or [], dtype=np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

@@ -78,3 +78,14 @@ def test_encode_then_decode(documents, library):
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         S.Vocabulary(b"")
+
+
+def test_workers_take_batches_in_slices():
+    import pyarrow as pa
+
+    from faultsieve.llm.common import ROWS, slices
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 1, ROWS, 3 * ROWS + 7)]
+    parts = list(slices(iter(batches)))
+    assert [p.num_rows for p in parts] == [1, ROWS, ROWS, ROWS, ROWS, 7]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
